@@ -1,0 +1 @@
+"""proselens streaming."""
