@@ -344,3 +344,52 @@ def q_m_morphology() -> str:
             ("num_proper_noun_incidence", inc("propn")), ("num_third_pers_pron_incidence", inc("prs3")),
             ("num_verb_incidence", inc("verb")), ("ratio_proper_nouns_per_nouns", div("propn", "noun + propn"))]
     return _with(token_ctes(), DOC_AGG) + "\n" + out(cols, "dc")
+
+
+PAIR_AGG = """
+si0 AS (SELECT s.doc_id, s.sent_id, t.form, t.lemma, t.stem, t.upos, t.content, t.prs0, t.person,
+               coalesce(t.number, '-') || '/' || coalesce(t.gender, '-') AS agr,
+               t.upos IN ('NOUN', 'PROPN') AS noun
+        FROM sent s LEFT JOIN tok t ON t.doc_id = s.doc_id AND t.sent_id = s.sent_id),
+si AS (SELECT doc_id, sent_id,
+              coalesce(list(DISTINCT form) FILTER (WHERE noun), []) AS nouns,
+              coalesce(list(DISTINCT CASE WHEN noun THEN 'n|' || lemma ELSE 'p|' || form END)
+                       FILTER (WHERE noun OR prs0), []) AS args,
+              coalesce(list(DISTINCT stem) FILTER (WHERE noun), []) AS nstems,
+              coalesce(list(DISTINCT stem) FILTER (WHERE content), []) AS cstems,
+              coalesce(list(DISTINCT agr) FILTER (WHERE noun), []) AS nagr,
+              coalesce(list(DISTINCT agr) FILTER (WHERE prs0 AND person = '3'), []) AS pagr,
+              coalesce(list(DISTINCT form) FILTER (WHERE content), []) AS cw
+       FROM si0 GROUP BY doc_id, sent_id),
+pr AS (SELECT a.doc_id, b.sent_id - a.sent_id = 1 AS adj,
+              list_has_any(a.nouns, b.nouns)::INT AS no_, list_has_any(a.args, b.args)::INT AS ao,
+              (list_has_any(a.nstems, b.cstems) OR list_has_any(a.cstems, b.nstems))::INT AS so,
+              list_has_any(a.nagr, b.pagr)::INT AS anp,
+              CASE WHEN len(a.cw) + len(b.cw) = 0 THEN 0.0::DOUBLE
+                   ELSE 2.0::DOUBLE * len(list_intersect(a.cw, b.cw))::DOUBLE / (len(a.cw) + len(b.cw))::DOUBLE END AS dice
+       FROM si a JOIN si b ON a.doc_id = b.doc_id AND a.sent_id < b.sent_id),
+pa AS (SELECT d.doc_id,
+              avg(no_) FILTER (WHERE adj) AS CRFNO1, avg(ao) FILTER (WHERE adj) AS CRFAO1,
+              avg(so) FILTER (WHERE adj) AS CRFSO1, avg(dice) FILTER (WHERE adj) AS CRFCWO1,
+              stddev_pop(dice) FILTER (WHERE adj) AS CRFCWO1d, avg(anp) FILTER (WHERE adj) AS CRFANP1,
+              avg(no_) AS CRFNOa, avg(ao) AS CRFAOa, avg(so) AS CRFSOa, avg(dice) AS CRFCWOa,
+              stddev_pop(dice) AS CRFCWOad, avg(anp) AS CRFANPa
+       FROM d LEFT JOIN pr ON pr.doc_id = d.doc_id GROUP BY d.doc_id)"""
+
+C_COHESION = ["CRFNO1", "CRFAO1", "CRFSO1", "CRFCWO1", "CRFCWO1d", "CRFANP1",
+              "CRFNOa", "CRFAOa", "CRFSOa", "CRFCWOa", "CRFCWOad", "CRFANPa"]
+M_COHESION = {
+    "argument_overlap_adjacent": "CRFAO1", "argument_overlap_all": "CRFAOa",
+    "content_overlap_adjacent_mean": "CRFCWO1", "content_overlap_adjacent_std": "CRFCWO1d",
+    "content_overlap_all_mean": "CRFCWOa", "content_overlap_all_std": "CRFCWOad",
+    "noun_overlap_adjacent": "CRFNO1", "noun_overlap_all": "CRFNOa",
+    "stem_overlap_adjacent": "CRFSO1", "stem_overlap_all": "CRFSOa",
+}
+
+
+def q_c_referential_cohesion() -> str:
+    return _with(token_ctes(), PAIR_AGG) + "\n" + out([(c, c) for c in C_COHESION], "pa")
+
+
+def q_m_referential_cohesion() -> str:
+    return _with(token_ctes(), PAIR_AGG) + "\n" + out(list(M_COHESION.items()), "pa")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators import metrics as M
+from ..operators import pairs as PR
 from ..session import table_path
+from ..sources.corpus import read_documents
 from . import oracle as O
 
 
@@ -24,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return read_documents(spark, sf_dir)
 
 
 def round6(df: DataFrame) -> DataFrame:
@@ -50,6 +52,8 @@ METRIC_KEYS = {
     "m_readability": (M.m_readability, O.q_m_readability),
     "m_syntax": (M.m_syntax, O.q_m_syntax),
     "m_morphology": (M.m_morphology, O.q_m_morphology),
+    "c_referential_cohesion": (PR.c_referential_cohesion, O.q_c_referential_cohesion),
+    "m_referential_cohesion": (PR.m_referential_cohesion, O.q_m_referential_cohesion),
 }
 
 
