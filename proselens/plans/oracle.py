@@ -393,3 +393,52 @@ def q_c_referential_cohesion() -> str:
 
 def q_m_referential_cohesion() -> str:
     return _with(token_ctes(), PAIR_AGG) + "\n" + out(list(M_COHESION.items()), "pa")
+
+
+def q_m_word_frequency() -> str:
+    extra = f"""
+voc AS (SELECT lang, form, count(*) AS n FROM tok WHERE form IS NOT NULL GROUP BY lang, form),
+tot AS (SELECT lang, sum(n) AS total FROM voc GROUP BY lang),
+vz AS (SELECT v.lang, v.form, log10(1e9::DOUBLE * v.n::DOUBLE / t.total::DOUBLE) AS zipf
+       FROM voc v JOIN tot t USING (lang)),
+tz AS (SELECT t.*, vz.zipf, t.content AND vz.zipf < {L.RARE_ZIPF}::DOUBLE AS rare
+       FROM tok t JOIN vz ON vz.lang = t.lang AND vz.form = t.form),
+wf AS (SELECT doc_id, count(*) AS N, count(*) FILTER (WHERE content) AS content_n,
+              count(*) FILTER (WHERE rare) AS rare_n,
+              count(*) FILTER (WHERE rare AND upos = 'ADJ') AS rare_adj,
+              count(*) FILTER (WHERE rare AND upos = 'ADV') AS rare_adv,
+              count(*) FILTER (WHERE rare AND upos = 'NOUN') AS rare_noun,
+              count(*) FILTER (WHERE rare AND upos = 'VERB') AS rare_verb,
+              count(DISTINCT form) AS V, count(DISTINCT form) FILTER (WHERE content) AS V_content,
+              count(DISTINCT form) FILTER (WHERE rare) AS V_rare
+       FROM tz GROUP BY doc_id),
+mz AS (SELECT doc_id, avg(m) AS min_wf FROM (SELECT doc_id, sent_id, min(zipf) AS m FROM tz GROUP BY doc_id, sent_id)
+       GROUP BY doc_id),
+wfd AS (SELECT d.doc_id, wf.*, mz.min_wf FROM d LEFT JOIN wf ON wf.doc_id = d.doc_id LEFT JOIN mz ON mz.doc_id = d.doc_id)"""
+    cols = [("mean_distinct_rare", f"100.0::DOUBLE * {div('V_rare', 'V_content')}"),
+            ("mean_rare", f"100.0::DOUBLE * {div('rare_n', 'content_n')}"),
+            ("min_wf_per_sentence", "min_wf"),
+            ("num_dif_rare_words_incidence", inc("V_rare")), ("num_different_forms_incidence", inc("V")),
+            ("num_lexic_words_incidence", inc("content_n")), ("num_rare_adj_incidence", inc("rare_adj")),
+            ("num_rare_advb_incidence", inc("rare_adv")), ("num_rare_nouns_incidence", inc("rare_noun")),
+            ("num_rare_verbs_incidence", inc("rare_verb")), ("num_rare_words_incidence", inc("rare_n"))]
+    return _with(token_ctes(), extra) + "\n" + out(cols, "wfd")
+
+
+def semantic_values() -> str:
+    rows = [f"({_q(lg)}, {_q(f)}, {n}, {h!r}::DOUBLE)" for lg, f, n, h in L.semantic_rows()]
+    return f"sem(lang, form, n_senses, hyper_depth) AS (VALUES {', '.join(rows)})"
+
+
+def q_m_semantics() -> str:
+    extra = f"""
+{semantic_values()},
+se AS (SELECT d.doc_id,
+              avg(s.hyper_depth) FILTER (WHERE t.upos IN ('NOUN', 'PROPN', 'VERB')) AS hypernymy_index,
+              avg(s.hyper_depth) FILTER (WHERE t.upos IN ('NOUN', 'PROPN')) AS hypernymy_nouns_index,
+              avg(s.hyper_depth) FILTER (WHERE t.upos = 'VERB') AS hypernymy_verbs_index,
+              avg(s.n_senses) FILTER (WHERE t.content) AS polysemic_index
+       FROM d LEFT JOIN tok t ON t.doc_id = d.doc_id
+       LEFT JOIN sem s ON s.lang = t.lang AND s.form = t.form GROUP BY d.doc_id)"""
+    names = ["hypernymy_index", "hypernymy_nouns_index", "hypernymy_verbs_index", "polysemic_index"]
+    return _with(token_ctes(), extra) + "\n" + out([(n, n) for n in names], "se")

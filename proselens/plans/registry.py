@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators import metrics as M
 from ..operators import pairs as PR
+from ..operators import frequency as FQ
 from ..session import table_path
 from ..sources.corpus import read_documents
 from . import oracle as O
@@ -54,6 +55,8 @@ METRIC_KEYS = {
     "m_morphology": (M.m_morphology, O.q_m_morphology),
     "c_referential_cohesion": (PR.c_referential_cohesion, O.q_c_referential_cohesion),
     "m_referential_cohesion": (PR.m_referential_cohesion, O.q_m_referential_cohesion),
+    "m_word_frequency": (FQ.m_word_frequency, O.q_m_word_frequency),
+    "m_semantics": (FQ.m_semantics, O.q_m_semantics),
 }
 
 
