@@ -12,13 +12,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from ..operators import metrics as M
 from ..operators import pairs as PR
 from ..operators import frequency as FQ
 from ..session import table_path
 from ..sources.corpus import read_documents
+from . import eval_queries as EQ
 from . import oracle as O
 
 
@@ -31,8 +32,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round6(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), 6).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
-                       else F.col(f.name) for f in df.schema.fields])
+    def r(f):
+        if isinstance(f.dataType, (DoubleType, FloatType)):
+            return F.round(F.col(f.name), 6).alias(f.name)
+        if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, (DoubleType, FloatType)):
+            return F.transform(F.col(f.name), lambda x: F.round(x.cast("double"), 6)).alias(f.name)
+        return F.col(f.name)
+    return df.select(*[r(f) for f in df.schema.fields])
 
 
 def _metric(fn) -> Callable[[SparkSession, str], DataFrame]:
@@ -62,9 +68,11 @@ METRIC_KEYS = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _metric(fn) for k, (fn, _) in METRIC_KEYS.items()}
+    out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in EQ.QUERIES.items()})
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: sql() for k, (_, sql) in METRIC_KEYS.items() if sql is not None}
+    out.update(EQ.ORACLE)
     return out

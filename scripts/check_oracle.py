@@ -22,11 +22,19 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+def _cell(v):
+    if hasattr(v, "__len__") and not isinstance(v, str):
+        return str([round(float(a), 6) if isinstance(a, float) else a for a in list(v)])
+    return v
+
+
 def canon(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         if pd.api.types.is_float_dtype(df[c]):
             df[c] = df[c].round(6)
+        elif df[c].dtype == object:
+            df[c] = df[c].map(_cell)
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
