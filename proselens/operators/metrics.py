@@ -469,3 +469,27 @@ def m_morphology(documents: DataFrame, tok: DataFrame | None = None) -> DataFram
         safe_div(C("propn"), C("noun") + C("propn")).alias("ratio_proper_nouns_per_nouns"),
     )
     return finish(out, M_MORPHOLOGY)
+
+
+LIGHT = C_DESCRIPTIVE + C_LEXICAL_DIVERSITY + C_READABILITY
+
+
+def light_matrix(documents: DataFrame, tok: DataFrame | None = None, raw: bool = False) -> DataFrame:
+    """Descriptive, lexical-diversity and readability metrics of family C from one aggregate.
+
+    ``raw=True`` keeps nulls (before the P5 rule).
+    """
+    d = doc_counts(tok if tok is not None else _tok(documents))
+    N, S, P = C("N"), C("S"), C("P")
+    pl, pld = mean_std(P, S, C("para_q"))
+    sl, sld = mean_std(S, N, C("sent_q"))
+    sy, syd = mean_std(N, C("syl_s"), C("syl_q"))
+    lt, ltd = mean_std(N, C("chr_s"), C("chr_q"))
+    out = d.select("doc_id", P.alias("DESPC"), S.alias("DESSC"), N.alias("DESWC"),
+                   pl.alias("DESPL"), pld.alias("DESPLd"), sl.alias("DESSL"), sld.alias("DESSLd"),
+                   sy.alias("DESWLsy"), syd.alias("DESWLsyd"), lt.alias("DESWLlt"), ltd.alias("DESWLltd"),
+                   safe_div(C("V"), N).alias("LDTTRa"), safe_div(C("V_content"), C("content_n")).alias("LDTTRcw"),
+                   _huerta(C("syl_s"), N, S).alias("RDFHGL"))
+    if raw:
+        return out.select("doc_id", *[C(m).cast("double").alias(m) for m in LIGHT])
+    return finish(out, LIGHT)

@@ -20,6 +20,7 @@ from ..operators import frequency as FQ
 from ..session import table_path
 from ..sources.corpus import read_documents
 from . import eval_queries as EQ
+from . import matrix_queries as MQ
 from . import oracle as O
 
 
@@ -69,10 +70,12 @@ METRIC_KEYS = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _metric(fn) for k, (fn, _) in METRIC_KEYS.items()}
     out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in EQ.QUERIES.items()})
+    out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in MQ.QUERIES.items()})
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: sql() for k, (_, sql) in METRIC_KEYS.items() if sql is not None}
     out.update(EQ.ORACLE)
+    out.update(MQ.ORACLE)
     return out
