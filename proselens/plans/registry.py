@@ -21,6 +21,7 @@ from ..session import table_path
 from ..sources.corpus import read_documents
 from . import eval_queries as EQ
 from . import matrix_queries as MQ
+from . import ml_queries as MLQ
 from . import oracle as O
 
 
@@ -71,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _metric(fn) for k, (fn, _) in METRIC_KEYS.items()}
     out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in EQ.QUERIES.items()})
     out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in MQ.QUERIES.items()})
+    out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in MLQ.QUERIES.items()})
     return out
 
 

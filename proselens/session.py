@@ -23,6 +23,9 @@ def get_session(master: str | None = None, app: str = "proselens",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: every task runs in the driver JVM
+            b = b.config("spark.driver.memory", os.environ.get("PROSELENS_DRIVER_MEMORY", "16g"))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
