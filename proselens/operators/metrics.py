@@ -18,8 +18,10 @@ Empty denominators give null, which ``finish`` turns into 0 (P5); NaN stays.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import lexicon as L
 from ..functions.text import incidence, punct_count, safe_div
@@ -356,6 +358,37 @@ def mtld_expr(words: Column, threshold: float = L.MTLD_THRESHOLD) -> Column:
     return F.when(n > 0, (F.when(fwd > 0, n / fwd) + F.when(bwd > 0, n / bwd)) / 2.0)
 
 
+def mtld_one(words, threshold: float = L.MTLD_THRESHOLD):
+    """MTLD of one word sequence: the same arithmetic as ``mtld_expr``."""
+    def factors(ws):
+        f, types, n = 0.0, set(), 0
+        for w in ws:
+            types.add(w)
+            n += 1
+            if len(types) / n < threshold:
+                f, types, n = f + 1.0, set(), 0
+        if n > 0:
+            f += (1.0 - len(types) / n) / (1.0 - threshold)
+        return f
+    n = len(words)
+    if n == 0:
+        return None
+    a, b = factors(words), factors(words[::-1])
+    if a <= 0 or b <= 0:
+        return None
+    return (n / a + n / b) / 2.0
+
+
+@F.pandas_udf(DoubleType())
+def mtld_udf(words: pd.Series) -> pd.Series:
+    """Arrow-batched MTLD: a sequential fold with resets, O(n) per document with a hash set.
+
+    (``mtld_expr`` computes the same with built-in ``aggregate``, but its state
+    array is copied at every step, which is quadratic in the segment length.)
+    """
+    return words.map(lambda ws: mtld_one(list(ws)) if ws is not None else None).astype("float64")
+
+
 def doc_words(documents: DataFrame, preprocess=None) -> DataFrame:
     """Ordered lower-cased words of each document, in-row (for sequential metrics)."""
     text = C("text") if preprocess is None else preprocess(C("text"))
@@ -366,7 +399,7 @@ def doc_words(documents: DataFrame, preprocess=None) -> DataFrame:
 
 def m_lexical_diversity(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
     tok = tok if tok is not None else _tok(documents)
-    mt = doc_words(documents).select("doc_id", mtld_expr(C("words")).alias("mtld"))
+    mt = doc_words(documents).select("doc_id", mtld_udf(C("words")).alias("mtld"))
     d = _join(doc_counts(tok), form_level(tok), mt)
     N, V = C("N"), C("V")
     honore = F.when((V > 0) & (C("V1") < V),
