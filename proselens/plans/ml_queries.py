@@ -21,7 +21,7 @@ from . import jobs
 
 C = F.col
 FAST_MODELS = ("svm", "lr")
-PARALLELISM = 4
+PARALLELISM = 8
 
 
 def _features(spark, sf_dir):

@@ -26,6 +26,8 @@ def get_session(master: str | None = None, app: str = "proselens",
         if master.startswith("local"):
             # local mode: every task runs in the driver JVM
             b = b.config("spark.driver.memory", os.environ.get("PROSELENS_DRIVER_MEMORY", "16g"))
+            # many sort / hash consumers share one task in the matrix join stage
+            b = b.config("spark.buffer.pageSize", "2m")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
