@@ -220,7 +220,10 @@ def train_mlp(table: DataFrame, array_col: str, max_iter: int = 100, block: int
     scored = model.transform(d).select("doc_id", "split", C("label").cast("int").alias("label"),
                                        vector_to_array("probability")[1].alias("p"),
                                        C("prediction").cast("int").alias("prediction"))
-    history = list(model.summary.objectiveHistory) if model.hasSummary else []
+    summ = None
+    if model.hasSummary:
+        summ = model.summary() if callable(model.summary) else model.summary
+    history = list(summ.objectiveHistory) if summ is not None else []
     return model, scored, history
 
 

@@ -23,7 +23,7 @@ from ..sources import corpus as CO
 from ..sources import io as IO
 
 C = F.col
-MATRIX_VERSION = "1"
+MATRIX_VERSION = "2"
 
 C_KEYS = [M.c_descriptive, M.c_word_information, M.c_pattern_density, M.c_syntactic_complexity,
           M.c_connectives, M.c_lexical_diversity, M.c_readability]
@@ -41,11 +41,20 @@ def full_matrix(documents: DataFrame, corpus: DataFrame | None = None, tok: Data
     parts.append(M.finish(coh, PR.C_REFERENTIAL_COHESION))
     parts.append(M.finish(coh.select("doc_id", *[C(c).alias(m) for m, c in PR.M_FROM_C.items()]),
                           PR.M_REFERENTIAL_COHESION))
-    out = parts[0]
+    return combine(parts, [m for _, _, m, _ in G.group_rows()])
+
+
+def combine(parts: list[DataFrame], order: list[str]) -> DataFrame:
+    """Align per-key results on ``doc_id``: union, then one ``groupBy(doc_id)``.
+
+    Each metric column is non-null in exactly one part, so ``max`` picks it (and
+    keeps NaN).  One hash aggregate replaces a chain of ~20 sort-merge joins whose
+    sorters would all live in the same task.
+    """
+    u = parts[0]
     for p in parts[1:]:
-        out = out.join(p, "doc_id")
-    order = [m for _, _, m, _ in G.group_rows()]
-    return out.select("doc_id", *order)
+        u = u.unionByName(p, allowMissingColumns=True)
+    return u.groupBy("doc_id").agg(*[F.max(m).alias(m) for m in order]).select("doc_id", *order)
 
 
 def matrix_path(spark: SparkSession, sf_dir: str, subset: str) -> str:

@@ -36,3 +36,17 @@ def test_oracle_parity_small(spark):
         a = _canon(q[k](spark, SF).toPandas())
         b = _canon(con.execute(sql[k]).df())
         assert a.equals(b), k
+
+
+def test_full_matrix_equals_per_key(spark):
+    from proselens.functions import groups as G
+    from proselens.operators import metrics as M
+    from proselens.plans import jobs
+    from proselens.sources import corpus as CO
+    docs = CO.read_documents(spark, SF).where("doc_id < 40")
+    full = {r["doc_id"]: r for r in jobs.full_matrix(docs).collect()}
+    assert len(full) == 40 and len(next(iter(full.values()))) == 1 + len(G.group_rows())
+    for fn in (M.c_descriptive, M.m_syntax):
+        for r in fn(docs).collect():
+            for k, v in r.asDict().items():
+                assert full[r["doc_id"]][k] == v, (k, r["doc_id"])
