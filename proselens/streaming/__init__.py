@@ -1 +1,7 @@
-"""proselens streaming."""
+"""Streaming: nothing to build.
+
+The reference has no stream source, watermark, event-time window or stateful
+operator.  The per-document metrics are stateless per row, so a stream of
+documents can reuse the batch operators inside ``foreachBatch`` unchanged; no
+operator here is streaming-specific.
+"""
