@@ -47,6 +47,8 @@ GBT_SMALL_SPACE = {"maxDepth": [1, 2], "maxIter": list(range(20, 250, 10)), "ste
 # spins: one SVM fit with 40000 took minutes on 300 rows).
 SVM_MAX_ITER = 100
 LR_MAX_ITER = 100
+# Stopping tolerance of the reference's linear models (their library default).
+LINEAR_TOL = 1e-4
 RANDOM_ITER = 10
 MLP_HIDDEN = (100, 50)
 
@@ -69,7 +71,7 @@ def _pipeline(clf) -> Pipeline:
 def lr_search(n_train: int, grid: dict = LR_GRID):
     """L3: logistic regression, L2 penalty, grid over C."""
     clf = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=0.0,
-                             standardization=False, maxIter=LR_MAX_ITER)
+                             standardization=False, maxIter=LR_MAX_ITER, tol=LINEAR_TOL)
     n = fold_train_rows(n_train)
     maps = ParamGridBuilder().addGrid(clf.regParam, [1.0 / (c * n) for c in grid["C"]]).build()
     return _pipeline(clf), maps
@@ -77,7 +79,8 @@ def lr_search(n_train: int, grid: dict = LR_GRID):
 
 def svm_search(n_train: int, grid: dict = SVM_GRID):
     """L2: linear SVM (hinge, L2); the L1 half of the reference grid needs ``train_svm_l1``."""
-    clf = LinearSVC(featuresCol="features", labelCol="label", standardization=False, maxIter=SVM_MAX_ITER)
+    clf = LinearSVC(featuresCol="features", labelCol="label", standardization=False, maxIter=SVM_MAX_ITER,
+                    tol=LINEAR_TOL)
     n = fold_train_rows(n_train)
     cs = [c for c in grid["C"]] if "l2" in grid.get("penalty", ["l2"]) else []
     maps = ParamGridBuilder().addGrid(clf.regParam, [1.0 / (c * n) for c in cs]).build()
@@ -122,7 +125,8 @@ def gbt_random_search(space: dict = GBT_SMALL_SPACE, n_iter: int = RANDOM_ITER,
 
 def svm_random_search(n_train: int, n_iter: int = RANDOM_ITER, seed: int = SEED):
     """The SVM space sampled; candidates with the L1 penalty need ``train_svm_l1``."""
-    clf = LinearSVC(featuresCol="features", labelCol="label", standardization=False, maxIter=SVM_MAX_ITER)
+    clf = LinearSVC(featuresCol="features", labelCol="label", standardization=False, maxIter=SVM_MAX_ITER,
+                    tol=LINEAR_TOL)
     n = fold_train_rows(n_train)
     cands = [c for c in random_candidates(SVM_GRID, n_iter, seed) if c["penalty"] == "l2"]
     return _pipeline(clf), [{clf.regParam: 1.0 / (c["C"] * n)} for c in cands]
