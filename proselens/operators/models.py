@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import itertools
 import random
-from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
@@ -152,11 +151,6 @@ def grid_search(pipeline: Pipeline, maps, train: DataFrame, parallelism: int = 4
     return cv.fit(train)
 
 
-@dataclass
-class RunResult:
-    rows: list = field(default_factory=list)
-
-
 def macro_f1_of(model, df: DataFrame) -> float:
     pred = model.transform(df).select(C("label").cast("int").alias("label"), C("prediction").cast("int").alias("prediction"))
     r = E.macro_f1(pred).first()

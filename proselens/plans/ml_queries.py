@@ -197,7 +197,26 @@ def q_score_classifier(spark, sf_dir):
     return E.macro_f1(s, by=["split"])
 
 
+def q_train_svm_l1(spark, sf_dir):
+    """Squared-hinge SVM with L1 and with L2 penalty (C = 1) on family C descriptive."""
+    t = _features(spark, sf_dir)
+    cols = G.metrics_of("coh_metrix", "DESCRIPTIVE")
+    from pyspark.ml.feature import MinMaxScaler
+    v = ML.with_vector(t, cols)
+    scaler = MinMaxScaler(inputCol="raw", outputCol="s").fit(v.where(C("split") == "train"))
+    d = scaler.transform(v).select("doc_id", "label", "split", ML.vector_to_array("s").alias("x")).cache()
+    rows = []
+    for pen in ("l1", "l2"):
+        w, b = ML.train_svm_l1(d.where(C("split") == "train"), "x", C_=1.0, penalty=pen)
+        p = ML.svm_l1_predict(d, "x", w, b)
+        f = {r["split"]: float(r["macro_f1"]) for r in E.macro_f1(p, by=["split"]).collect()}
+        rows.append(("coh_metrix_descriptive", f"svm_{pen}", f.get("train", 0.0), f.get("test", 0.0)))
+    d.unpersist()
+    return _rows(spark, rows)
+
+
 QUERIES = {
+    "train_svm_l1": q_train_svm_l1,
     "train_lr": q_train_lr, "train_svm": q_train_svm, "train_rf": q_train_rf,
     "train_svm_random": q_train_svm_random, "grid_search": q_grid_search, "random_search": q_random_search,
     "train_models": q_train_models, "train_families": q_train_families, "train_groups": q_train_groups,
