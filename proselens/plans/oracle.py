@@ -58,16 +58,16 @@ def token_ctes() -> str:
 d AS (SELECT doc_id, lang, text FROM documents),
 p0 AS (SELECT doc_id, lang, unnest(string_split_regex(text, E'\\n+')) AS p,
               generate_subscripts(string_split_regex(text, E'\\n+'), 1) AS pi FROM d),
-para AS (SELECT doc_id, lang, p, row_number() OVER (PARTITION BY doc_id ORDER BY pi) - 1 AS para_id
+para AS (SELECT doc_id, lang, p, (row_number() OVER (PARTITION BY doc_id ORDER BY pi) - 1)::INT AS para_id
          FROM p0 WHERE regexp_matches(p, '\\p{{L}}')),
 s0 AS (SELECT doc_id, lang, para_id, unnest(string_split_regex(p, '{L.SENT_SPLIT}')) AS raw,
               generate_subscripts(string_split_regex(p, '{L.SENT_SPLIT}'), 1) AS si FROM para),
 sent AS (SELECT doc_id, lang, para_id, raw,
-                row_number() OVER (PARTITION BY doc_id, para_id ORDER BY si) - 1 AS sent_in_para,
-                row_number() OVER (PARTITION BY doc_id ORDER BY para_id, si) - 1 AS sent_id
+                (row_number() OVER (PARTITION BY doc_id, para_id ORDER BY si) - 1)::INT AS sent_in_para,
+                (row_number() OVER (PARTITION BY doc_id ORDER BY para_id, si) - 1)::INT AS sent_id
          FROM s0 WHERE regexp_matches(raw, '\\p{{L}}')),
 w0 AS (SELECT doc_id, lang, para_id, sent_id, unnest(regexp_extract_all(raw, '\\p{{L}}+')) AS word,
-              generate_subscripts(regexp_extract_all(raw, '\\p{{L}}+'), 1) - 1 AS tok_id FROM sent),
+              (generate_subscripts(regexp_extract_all(raw, '\\p{{L}}+'), 1) - 1)::INT AS tok_id FROM sent),
 w1 AS (SELECT *, lower(word) AS form, left(word, 1) <> lower(left(word, 1)) AS cap FROM w0),
 t0 AS (SELECT x.*, {_suffix_case()} AS rule, lx.upos AS lx_upos, lx.person AS lx_person,
               lx.number AS lx_number, lx.gender AS lx_gender, lx.prontype AS lx_prontype,
