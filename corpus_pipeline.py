@@ -2,7 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet in the shared
 folder and read again as the next stage's ``docs``.  All stages but the last return the
-columns of ``documents``, with ``n_chars`` following the text.
+columns of ``documents``, with ``n_chars`` following the text.  Rows are told apart by
+doc_id; rows without one cannot be decided about and are left out by the stages that join
+decisions to rows.  Other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -12,33 +14,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselens.llm import bpe, line_dedup
+from proselens.llm import decontam, jaccard_join, line_dedup, toxicity
 from proselens.llm import queries as Q
-from proselens.llm.common import stored
+from proselens.llm.common import read, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network predicts to be toxic go."""
+    bad = toxicity.toxicity(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out later copies of repeated multi-line chunks; every document stays."""
-    cut = line_dedup.line_dedup(docs).select("doc_id", "text")
-    return docs.drop("text", "n_chars").join(cut, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Later copies of repeated multi-line chunks are cut out; every document stays, with what is left of it."""
+    cut = line_dedup.line_dedup(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("_cut")) \
+        .dropDuplicates(["doc_id"])
+    text = F.coalesce("_cut", "text")
+    return docs.select(*COLUMNS).join(cut, "doc_id", "left").select(
+        "doc_id", text.alias("text"), "lang", "source",
+        F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_cut")).cast("long").alias("n_chars"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least doc_id stays."""
+    stay = jaccard_join.jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    bad = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes."""
     return Q.encoded(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", not_toxic),
     ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", not_leaked),
     ("byte-level BPE", encoding),
 ]
 
+#: the networks and the tokenizer are not SQL; tests/llm compares the stages with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
     return docs
