@@ -28,6 +28,16 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
+def slices(column: pa.Array, size: int = 1 << 20):
+    """Rows lo to hi of the column, about ``size`` bytes of text at a time."""
+    at = text_buffer(column)[1]
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of SplitMix64, a bijection."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)

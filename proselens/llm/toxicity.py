@@ -215,17 +215,15 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of texts of each label with each slot, of one task: rows (kind, label, counts)."""
     sums = np.zeros((2, 2, 1 << BITS), np.int32)
     for b in batches:
-        data, offsets = K.text_buffer(b.column("_text"))
-        first, word_slot, grams = gram_slots(data, offsets)
-        y = np.asarray(b.column("_y"))
-        doc = np.repeat(np.arange(len(y)), np.diff(first))
-        owner = np.concatenate([doc[o] for o, _ in grams]) if grams else np.zeros(0, np.int64)
-        slot = np.concatenate([s for _, s in grams]) if grams else np.zeros(0, np.int32)
-        for kind, o, s in ((0, owner, slot), (1, doc, word_slot)):
-            pair = np.unique(o.astype(np.int64) << BITS | s)
-            o, s = pair >> BITS, pair & ((1 << BITS) - 1)
-            for label in (0, 1):
-                sums[kind, label] += np.bincount(s[y[o] == label], minlength=1 << BITS).astype(np.int32)
+        column, ys = b.column("_text"), np.asarray(b.column("_y"))
+        for lo, hi in K.slices(column):
+            first, word_slot, grams = gram_slots(*K.text_buffer(column.slice(lo, hi - lo)))
+            y, doc = ys[lo:hi], np.repeat(np.arange(hi - lo), np.diff(first))
+            for kind, o, s in [(0, doc[o], s) for o, s in grams] + [(1, doc, word_slot)]:
+                pair = np.unique(o << BITS | s)
+                o, s = pair >> BITS, pair & ((1 << BITS) - 1)
+                for label in (0, 1):
+                    np.add.at(sums[kind, label], s[y[o] == label], 1)
     kinds, labels, slots = np.nonzero(sums)
     for at in range(0, len(slots), 1 << 16):
         k, l, s = (a[at:at + (1 << 16)] for a in (kinds, labels, slots))
@@ -245,14 +243,10 @@ class Model:
 
     def score(self, column: pa.Array) -> np.ndarray:
         out = np.empty(len(column))
-        size = np.asarray([0, *np.cumsum(np.diff(K.text_buffer(column)[1]))])
-        lo = 0
-        while lo < len(column):  # about a megabyte of texts at a time
-            hi = max(lo + 1, int(np.searchsorted(size, size[lo] + (1 << 20), "right")) - 1)
+        for lo, hi in K.slices(column):
             first, word_slot, grams = gram_slots(*K.text_buffer(column.slice(lo, hi - lo)))
             x = inputs(len(word_slot), word_slot, grams, self.table, self.word_table)
             out[lo:hi] = sigmoid(self.network.scores(x, first))
-            lo = hi
         return out
 
 
