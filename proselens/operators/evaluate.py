@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 C = F.col
 EPS_KERAS = 1e-7
 CLIP = 1e-7
@@ -127,27 +129,23 @@ def log_loss(pred: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
 
 # --------------------------------------------------------------------------- W2, O1: folds and shuffles
 
-HASH_PRIME = 65521
-HASH_MULT = 40503
-
-
-def int_hash(key: Column, seed: int = 0) -> Column:
-    """Small multiplicative hash of a non-negative integer key, identical in SQL engines."""
-    return F.pmod(F.pmod(key, F.lit(HASH_PRIME)) * F.lit(HASH_MULT) + F.lit(seed), F.lit(HASH_PRIME))
+def hash_key(key: str, seed: int) -> Column:
+    """MD5 of ``seed:key``: the same in SQL engines, without visible order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), C(key).cast("string")).cast("binary"))
 
 
-def stratified_fold(df: DataFrame, k: int = 5, key: str = "doc_id", seed: int = 0) -> DataFrame:
-    """Fold id by hash of the key [pin]: per class, folds are balanced in expectation.
+def stratified_fold(df: DataFrame, k: int = 5, key: str = "doc_id", label: str = "label", seed: int = 0) -> DataFrame:
+    """Exact stratified folds: position within the class in hash order, modulo ``k``.
 
-    A rank-based exact split would need one ordered window per class, which puts
-    a whole class into one task; the hash needs no shuffle at all.
+    The sizes of a class's folds differ by at most 1.
     """
-    return df.withColumn("fold", F.pmod(int_hash(C(key), seed), F.lit(k)).cast("int"))
+    placed = ranked(df.withColumn("_hash", hash_key(key, seed)), [C("_hash"), C(key)], "_rank", by=label)
+    return placed.withColumn("fold", (C("_rank") % k).cast("int")).drop("_hash", "_rank")
 
 
 def seeded_shuffle(df: DataFrame, key: str = "doc_id", seed: int = 42) -> DataFrame:
-    """O1: a reproducible permutation key; ordering by it is a distributed sort."""
-    return df.withColumn("shuffle_key", int_hash(C(key), seed))
+    """O1: ``position``, each row's place (from 0) in a seeded permutation; ties by key."""
+    return ranked(df.withColumn("_hash", hash_key(key, seed)), [C("_hash"), C(key)], "position").drop("_hash")
 
 
 # --------------------------------------------------------------------------- A8, A9, O2: candidates x folds

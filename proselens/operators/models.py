@@ -1,25 +1,31 @@
-"""Learning operators on ``pyspark.ml``.
+"""Learning operators.
 
 A run takes a feature table ``doc_id, label, split, <feature columns>`` (or an
 ``array<double>`` column) and trains scaler + classifier pipelines under a
 cross-validated search whose selection metric is the F1 of class 1; reported
 scores are macro-F1 on the train and test rows (A6).
 
-Parameter mapping of the reference grids: sklearn's ``C`` becomes
-``regParam = 1 / (C * n)`` with ``n`` the rows of a training fold; trees map
-one to one.  The min-max stage is Spark's ``MinMaxScaler`` fitted inside each
-fold; its value for a constant column (0.5) differs from the reference (0) but
-no model can use a feature that is constant on its training rows.
+Linear models (logistic regression, squared-hinge SVM with L1 or L2 penalty) are
+solved by ``operators.linear``: all candidates and folds of a run together, on the
+min-max features of each fold (A3), with sklearn's ``C`` as it is.  Forests and boosted
+trees are ``pyspark.ml`` pipelines under ``CrossValidator``; their scaler is Spark's
+``MinMaxScaler`` (0.5 instead of 0 for a constant column, which no tree can split).
 """
 
 from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import AnalysisException
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
+                                       RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, MinMaxScaler, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -28,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate as E
+from . import linear as LN
 
 C = F.col
 K_FOLDS = 5
@@ -40,22 +47,10 @@ LR_GRID = {"C": list(range(1, 15, 2))}
 RF_SPACE = {"numTrees": list(range(20, 250, 10)), "impurity": ["gini", "entropy", "log_loss"],
             "featureSubsetStrategy": ["sqrt", "log2"], "maxDepth": [1, 2]}
 GBT_SMALL_SPACE = {"maxDepth": [1, 2], "maxIter": list(range(20, 250, 10)), "stepSize": [0.1, 0.01, 0.05]}
-# The reference caps its own solvers at 40000 / 20000 iterations; those caps belong
-# to liblinear / lbfgs in another library.  Spark's L-BFGS stops on its tolerance;
-# its default cap (100) is kept (the hinge loss is not smooth, so a large cap only
-# spins: one SVM fit with 40000 took minutes on 300 rows).
-SVM_MAX_ITER = 100
-LR_MAX_ITER = 100
-# Stopping tolerance of the reference's linear models (their library default).
-LINEAR_TOL = 1e-4
 RANDOM_ITER = 10
 MLP_HIDDEN = (100, 50)
 
 
-def fold_train_rows(n_train: int, k: int = K_FOLDS) -> int:
-    return max(1, n_train * (k - 1) // k)
-
-
 def with_vector(df: DataFrame, cols: list[str] | None, array_col: str | None = None, out: str = "raw") -> DataFrame:
     """Feature columns -> one vector column (P7); NaN is an error, as in the reference."""
     if array_col is not None:
@@ -67,23 +62,19 @@ def _pipeline(clf) -> Pipeline:
     return Pipeline(stages=[MinMaxScaler(inputCol="raw", outputCol="features"), clf])
 
 
-def lr_search(n_train: int, grid: dict = LR_GRID):
+def lr_candidates(grid: dict = LR_GRID) -> list[dict]:
     """L3: logistic regression, L2 penalty, grid over C."""
-    clf = LogisticRegression(featuresCol="features", labelCol="label", elasticNetParam=0.0,
-                             standardization=False, maxIter=LR_MAX_ITER, tol=LINEAR_TOL)
-    n = fold_train_rows(n_train)
-    maps = ParamGridBuilder().addGrid(clf.regParam, [1.0 / (c * n) for c in grid["C"]]).build()
-    return _pipeline(clf), maps
+    return [{"loss": "logistic", "penalty": "l2", "C": c} for c in grid["C"]]
+
 
+def svm_candidates(grid: dict = SVM_GRID) -> list[dict]:
+    """L2 (with L9): squared-hinge SVM, grid over C and both penalties."""
+    return [{"loss": "squared_hinge", "penalty": p, "C": c} for c in grid["C"] for p in grid["penalty"]]
 
-def svm_search(n_train: int, grid: dict = SVM_GRID):
-    """L2: linear SVM (hinge, L2); the L1 half of the reference grid needs ``train_svm_l1``."""
-    clf = LinearSVC(featuresCol="features", labelCol="label", standardization=False, maxIter=SVM_MAX_ITER,
-                    tol=LINEAR_TOL)
-    n = fold_train_rows(n_train)
-    cs = [c for c in grid["C"]] if "l2" in grid.get("penalty", ["l2"]) else []
-    maps = ParamGridBuilder().addGrid(clf.regParam, [1.0 / (c * n) for c in cs]).build()
-    return _pipeline(clf), maps
+
+def svm_random_candidates(n_iter: int = RANDOM_ITER, seed: int = SEED) -> list[dict]:
+    """The SVM space sampled; all drawn candidates are fitted."""
+    return [{"loss": "squared_hinge", "penalty": c["penalty"], "C": c["C"]} for c in random_candidates(SVM_GRID, n_iter, seed)]
 
 
 def gbt_search(grid: dict = GBT_GRID):
@@ -122,20 +113,64 @@ def gbt_random_search(space: dict = GBT_SMALL_SPACE, n_iter: int = RANDOM_ITER,
     return _pipeline(clf), _maps(clf, random_candidates(space, n_iter, seed))
 
 
-def svm_random_search(n_train: int, n_iter: int = RANDOM_ITER, seed: int = SEED):
-    """The SVM space sampled; candidates with the L1 penalty need ``train_svm_l1``."""
-    clf = LinearSVC(featuresCol="features", labelCol="label", standardization=False, maxIter=SVM_MAX_ITER,
-                    tol=LINEAR_TOL)
-    n = fold_train_rows(n_train)
-    cands = [c for c in random_candidates(SVM_GRID, n_iter, seed) if c["penalty"] == "l2"]
-    return _pipeline(clf), [{clf.regParam: 1.0 / (c["C"] * n)} for c in cands]
+LINEAR = {"svm": svm_candidates, "lr": lr_candidates, "svm_random": svm_random_candidates}
+TREES = {"gbt": gbt_search, "rf": rf_random_search, "gbt_small": gbt_random_search}
+
+
+@dataclass
+class LinearModel:
+    """A fitted linear pipeline: min-max scaler and weights (intercept last), with its search's record."""
+
+    w: list
+    lo: list
+    width: list
+    params: dict
+    cv: float
+    cv_train: float
+    means: list
+
+    def transform(self, df: DataFrame, array_col: str = "x") -> DataFrame:
+        return df.withColumn("prediction", (linear_decision(C(array_col), self.lo, self.width, self.w) > 0).cast("int"))
+
+    def save(self, spark, path: str) -> None:
+        spark.createDataFrame([(self.w, self.lo, self.width, {k: str(v) for k, v in self.params.items()}, self.cv)], LINEAR_SCHEMA) \
+            .coalesce(1).write.mode("overwrite").parquet(path)
+
+
+LINEAR_SCHEMA = "w array<double>, lo array<double>, width array<double>, params map<string,string>, cv double"
+
+
+def linear_decision(x, lo, width, w):
+    return LN.decision(x, (np.asarray(lo), np.asarray(width)), np.asarray(w))
 
 
-SEARCHES = {
-    "gbt": lambda n: gbt_search(), "svm": svm_search, "lr": lr_search,
-    "rf": lambda n: rf_random_search(), "gbt_small": lambda n: gbt_random_search(),
-    "svm_random": svm_random_search,
-}
+def linear_searches(train: DataFrame, searches: dict[str, list[dict]], array_col: str = "x") -> dict[str, LinearModel]:
+    """L4 for linear models: every candidate of every search on every fold in one batch, then the refits.
+
+    ``train`` has ``label, fold`` and the features as an array.  The first candidate wins ties (O2).
+    """
+    search = LN.LinearSearch(train.select(array_col, "label", "fold"), array_col)
+    try:
+        drawn = {c: None for cands in searches.values() for c in map(_frozen, cands)}  # shared candidates once
+        problems = [LN.Problem(**dict(c), fold=f) for c in drawn for f in search.folds]
+        counts = search.confusion(problems, search.solve(problems))
+        scores = LN.f1(counts).reshape(len(drawn), len(search.folds), 2).mean(1)
+        mean = dict(zip(drawn, scores))
+        best = {}
+        for name, cands in searches.items():
+            values = [mean[_frozen(c)][0] for c in cands]
+            best[name] = (cands[int(np.argmax(values))], values)
+        refits = [LN.Problem(**c) for c, _ in best.values()]
+        lo, width = search.scale[LN.ALL_ROWS]
+        return {name: LinearModel(w.tolist(), lo.tolist(), width.tolist(), c, float(mean[_frozen(c)][0]), float(mean[_frozen(c)][1]),
+                                  [(float(mean[_frozen(x)][0]), float(mean[_frozen(x)][1])) for x in searches[name]])
+                for (name, (c, _)), w in zip(best.items(), search.solve(refits))}
+    finally:
+        search.close()
+
+
+def _frozen(candidate: dict) -> tuple:
+    return tuple(sorted(candidate.items()))
 
 
 def evaluator() -> MulticlassClassificationEvaluator:
@@ -151,54 +186,93 @@ def grid_search(pipeline: Pipeline, maps, train: DataFrame, parallelism: int = 4
     return cv.fit(train)
 
 
-def macro_f1_of(model, df: DataFrame) -> float:
+def macro_f1_of(model, df: DataFrame) -> float | None:
+    """A6 of a model on labelled rows; null without rows."""
     pred = model.transform(df).select(C("label").cast("int").alias("label"), C("prediction").cast("int").alias("prediction"))
     r = E.macro_f1(pred).first()
-    return float(r["macro_f1"]) if r and r["macro_f1"] is not None else 0.0
+    return None if r is None or r["macro_f1"] is None else float(r["macro_f1"])
 
 
 def prepare(table: DataFrame, cols: list[str] | None = None, array_col: str | None = None) -> DataFrame:
-    """Feature table -> ``doc_id, label (double), split, fold, raw`` with hash folds."""
-    t = with_vector(table, cols, array_col)
-    t = E.stratified_fold(t, K_FOLDS)
-    return t.select("doc_id", C("label").cast("double").alias("label"), "split", "fold", "raw")
+    """Feature table -> ``doc_id, label, split, fold, x``; exact stratified folds (W2) over the training rows."""
+    x = C(array_col).cast("array<double>") if array_col else F.array(*[C(c).cast("double") for c in cols])
+    t = table.select("doc_id", C("label").cast("int").alias("label"), "split", x.alias("x"))
+    folds = E.stratified_fold(t.where(C("split") == "train").select("doc_id", "label"), K_FOLDS).select("doc_id", "fold")
+    return t.join(folds, "doc_id", "left")
 
 
 def train_models(run: str, table: DataFrame, cols: list[str] | None = None, array_col: str | None = None,
                  models: tuple = ("gbt", "svm", "lr"), parallelism: int = 4, store: str | None = None,
                  with_best: bool = False) -> list[tuple]:
-    """Fit each search, optionally store it (S8), score both splits; result rows."""
-    data = prepare(table, cols, array_col).cache()
-    train = data.where(C("split") == "train")
-    test = data.where(C("split") == "test")
-    n_train = train.count()
+    """Fit each search, optionally store it (S8), score both splits; result rows.
+
+    A split without rows has a null score.
+    """
+    spark = table.sparkSession
+    unknown = [m for m in models if m not in LINEAR and m not in TREES]
+    if unknown:
+        raise ValueError(f"unknown models: {unknown}")
+    # few partitions: a training frame is small beside the tables it comes from
+    data = prepare(table, cols, array_col).coalesce(max(1, spark.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = data.where(C("split") == "train"), data.where(C("split") == "test")
+    linear = [m for m in models if m in LINEAR]
+    fitted = linear_searches(train, {m: LINEAR[m]() for m in linear}) if linear else {}
     out = []
     for name in models:
-        pipe, maps = SEARCHES[name](n_train)
-        if not maps:
-            continue
-        cvm = grid_search(pipe, maps, train, parallelism)
-        best = cvm.bestModel
-        if store:
-            best.write().overwrite().save(f"{store}/{run}_{name}")
-        row = (run, name, macro_f1_of(best, train), macro_f1_of(best, test))
-        if with_best:
+        if name in fitted:
+            best = fitted[name]
+            params, cv = {k: str(v) for k, v in best.params.items()}, best.cv
+            if store:
+                best.save(spark, f"{store}/{run}_{name}")
+        else:
+            pipe, maps = TREES[name]()
+            rows = train.select("doc_id", C("label").cast("double").alias("label"), "fold", array_to_vector("x").alias("raw"))
+            cvm = grid_search(pipe, maps, rows, parallelism)
             i = max(range(len(cvm.avgMetrics)), key=lambda j: (cvm.avgMetrics[j], -j))
-            params = {p.name: str(v) for p, v in maps[i].items()}
-            row = row + (params, float(cvm.avgMetrics[i]))
-        out.append(row)
+            params, cv, model = {p.name: str(v) for p, v in maps[i].items()}, float(cvm.avgMetrics[i]), cvm.bestModel
+            if store:
+                model.write().overwrite().save(f"{store}/{run}_{name}")
+            best = _Vectors(model)
+        row = (run, name, macro_f1_of(best, train), macro_f1_of(best, test))
+        out.append(row + (params, cv) if with_best else row)
     data.unpersist()
     return out
 
 
+class _Vectors:
+    """A ``pyspark.ml`` model on rows that hold the features as an array."""
+
+    def __init__(self, model: PipelineModel):
+        self.model = model
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df.withColumn("raw", array_to_vector("x")))
+
+
+def train_runs(runs: list[tuple[str, list[str]]], table: DataFrame, models: tuple, threads: int = 6) -> list[tuple]:
+    """Runs over column subsets of one table, several at a time (each is bound by job latency)."""
+    sc = table.sparkSession
+    with ThreadPoolExecutor(threads) as pool:
+        jobs = [pool.submit(inheritable_thread_target(sc)(train_models), name, table, cols, models=models) for name, cols in runs]
+        return [row for j in jobs for row in j.result()]
+
+
 RESULT_SCHEMA = "run string, model string, train_score double, test_score double"
 RESULT_SCHEMA_BEST = RESULT_SCHEMA + ", best_params map<string,string>, best_cv double"
 
 
 def predict(model_path: str, table: DataFrame, cols: list[str] | None = None, array_col: str | None = None) -> DataFrame:
-    """L12 + S8: load a stored pipeline and score a feature table."""
-    m = PipelineModel.load(model_path)
-    return m.transform(with_vector(table, cols, array_col)).select("doc_id", C("prediction").cast("int").alias("prediction"))
+    """L12 + S8: load a stored model (linear weights or a pipeline) and score a feature table."""
+    spark = table.sparkSession
+    x = C(array_col).cast("array<double>") if array_col else F.array(*[C(c).cast("double") for c in cols])
+    t = table.select("doc_id", x.alias("x"))
+    try:
+        r = spark.read.schema(LINEAR_SCHEMA).parquet(model_path).first()
+    except AnalysisException:
+        r = None
+    if r is None:
+        return _Vectors(PipelineModel.load(model_path)).transform(t).select("doc_id", C("prediction").cast("int").alias("prediction"))
+    return LinearModel(r["w"], r["lo"], r["width"], dict(r["params"]), r["cv"], float("nan"), []).transform(t).select("doc_id", "prediction")
 
 
 # --------------------------------------------------------------------------- L10, L11: small network
@@ -271,69 +345,17 @@ def score_classifier(model: PipelineModel, labelled: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- L9: exact squared-hinge SVM
 
-def train_svm_l1(train: DataFrame, array_col: str, C_: float = 1.0, penalty: str = "l1",
-                 max_iter: int = 500, tol: float = 1e-6):
-    """``min_w,b  penalty(w) + C * sum_i max(0, 1 - y_i (w.x_i + b))^2`` (y in {-1, 1}).
+def train_svm_l1(train: DataFrame, array_col: str, C_: float = 1.0, penalty: str = "l1"):
+    """``min_w,b  penalty(w, b) + C * sum_i max(0, 1 - y_i (w.x_i + b))^2`` on min-max features (A3).
 
-    ``penalty`` is ``||w||_1`` or ``0.5 ||w||^2``; the intercept is penalised too,
-    as the reference's solver does (it is an extra constant feature).  Solved by
-    accelerated proximal gradient; each iteration's gradient is one
-    ``treeAggregate`` over per-partition numpy blocks built once and cached.
-    Returns ``(w, b)``.
+    ``penalty`` is the L1 norm or half the squared L2 norm; the intercept is penalised too, as an extra
+    constant feature.  Returns the fitted ``LinearModel``.
     """
-    import numpy as np
-
-    def to_block(rows):
-        rows = list(rows)
-        if not rows:
-            return []
-        X = np.array([list(r[0]) + [1.0] for r in rows], dtype=float)
-        y = np.array([1.0 if r[1] > 0 else -1.0 for r in rows])
-        return [(X, y)]
-
-    blocks = train.select(array_col, "label").rdd.mapPartitions(to_block).cache()
-    stats = blocks.map(lambda b: (b[0].shape[0], float((b[0] ** 2).sum()))).reduce(lambda a, c: (a[0] + c[0], a[1] + c[1]))
-    d = blocks.first()[0].shape[1]
-    lip = 2.0 * C_ * max(stats[1], 1e-12)  # bound on the Lipschitz constant of the loss gradient
-    if penalty == "l2":
-        lip += 1.0
-    step = 1.0 / lip
-    sc = train.sparkSession.sparkContext
-
-    def grad_loss(w):
-        wb = sc.broadcast(w)
-
-        def g(b):
-            X, y = b
-            m = np.maximum(0.0, 1.0 - y * (X @ wb.value))
-            return -2.0 * C_ * (X.T @ (y * m))
-
-        out = blocks.map(g).treeAggregate(np.zeros(d), lambda a, v: a + v, lambda a, v: a + v)
-        wb.unpersist()
-        return out
-
-    w = np.zeros(d)
-    z, t = w.copy(), 1.0
-    for _ in range(max_iter):
-        gz = grad_loss(z)
-        if penalty == "l2":
-            gz = gz + z
-            w_new = z - step * gz
-        else:
-            v = z - step * gz
-            w_new = np.sign(v) * np.maximum(np.abs(v) - step, 0.0)
-        t_new = (1.0 + (1.0 + 4.0 * t * t) ** 0.5) / 2.0
-        z = w_new + ((t - 1.0) / t_new) * (w_new - w)
-        if np.max(np.abs(w_new - w)) < tol:
-            w = w_new
-            break
-        w, t = w_new, t_new
-    blocks.unpersist()
-    return w[:-1], float(w[-1])
-
-
-def svm_l1_predict(df: DataFrame, array_col: str, w, b: float) -> DataFrame:
-    """Decision ``w.x + b > 0`` as a built-in expression (weights as literals)."""
-    score = F.aggregate(F.zip_with(C(array_col), F.array(*[F.lit(float(v)) for v in w]), lambda x, c: x * c),
-                        F.lit(float(b)), lambda a, v: a + v)
-    return df.withColumn("prediction", (score > 0).cast("int"))
+    search = LN.LinearSearch(train.select(array_col, "label", F.lit(0).alias("fold")), array_col)
+    try:
+        p = {"loss": "squared_hinge", "penalty": penalty, "C": C_}
+        w = search.solve([LN.Problem(**p)])[0]
+        lo, width = search.scale[LN.ALL_ROWS]
+        return LinearModel(w.tolist(), lo.tolist(), width.tolist(), p, float("nan"), float("nan"), [])
+    finally:
+        search.close()

@@ -141,8 +141,8 @@ st AS (SELECT avg(n_chars) AS mu, max(n_chars) AS mx FROM b0),
 b AS (SELECT doc_id, label, n_chars, n_chars::DOUBLE / st.mx::DOUBLE AS p,
              (n_chars::DOUBLE > st.mu)::INT AS prediction FROM b0, st)"""
 
-_FOLD = f"((((doc_id % {E.HASH_PRIME}) * {E.HASH_MULT} + 0) % {E.HASH_PRIME}) % {K_FOLDS})::INT"
-_CV = f"""WITH f AS (SELECT l.doc_id, l.quality::INT AS label, {_FOLD.replace('doc_id', 'l.doc_id')} AS fold, d.n_chars
+_FOLD = (f"((row_number() OVER (PARTITION BY quality ORDER BY md5('0:' || l.doc_id::VARCHAR), l.doc_id) - 1) % {K_FOLDS})::INT")
+_CV = f"""WITH f AS (SELECT l.doc_id, l.quality::INT AS label, {_FOLD} AS fold, d.n_chars
            FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
 cands(candidate, t) AS (VALUES {', '.join(f'({i}, {t})' for i, t in enumerate(THRESHOLDS))}),
 folds(ff) AS (SELECT * FROM range({K_FOLDS})),
@@ -190,9 +190,9 @@ SELECT """ + _r("avg(f1)") + " AS macro_f1 FROM pc",
                     + " AS x FROM u JOIN st USING (i) GROUP BY vec_id",
     "argmax_label": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS argmax FROM embeddings",
     "cls_vector": "SELECT vec_id, " + _rl(f"embedding[1:{HIDDEN_TOKENS}]") + " AS cls FROM embeddings",
-    "stratified_fold": f"SELECT doc_id, quality::INT AS label, {_FOLD} AS fold FROM labels",
-    "seeded_shuffle": f"SELECT doc_id, quality::INT AS label, ((doc_id % {E.HASH_PRIME}) * {E.HASH_MULT} + {SEED}) "
-                      f"% {E.HASH_PRIME} AS shuffle_key FROM labels",
+    "stratified_fold": f"SELECT doc_id, quality::INT AS label, {_FOLD} AS fold FROM labels l",
+    "seeded_shuffle": f"SELECT doc_id, quality::INT AS label, (row_number() OVER (ORDER BY md5('{SEED}:' || doc_id::VARCHAR), doc_id) - 1)"
+                      "::BIGINT AS position FROM labels",
     "cv_mean_score": _CV + "\nSELECT candidate, " + _r("mean_score") + " AS mean_score FROM m",
     "cv_train_score": _CV + "\nSELECT candidate, " + _r("mean_train_score") + " AS mean_train_score FROM m",
     "best_candidate": _CV + "\nSELECT candidate, " + _r("mean_score") + " AS mean_score FROM m "

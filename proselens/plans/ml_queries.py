@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import groups as G
 from ..operators import evaluate as E
 from ..operators import models as ML
-from ..session import table_path
+from ..session import new_path, table_path
 from ..sources import corpus as CO
 from ..sources import io as IO
 from . import jobs
 
 C = F.col
-FAST_MODELS = ("svm", "lr")
+LINEAR_MODELS = ("svm", "lr")
 PARALLELISM = 8
 
 
@@ -56,64 +56,71 @@ def q_train_svm_random(spark, sf_dir):
 
 
 def q_train_models(spark, sf_dir):
-    """One run (family C, word information group)."""
-    return _rows(spark, _family_run(spark, sf_dir, "coh_metrix", FAST_MODELS, "WORD INFORMATION"))
+    """One run over all metrics of family C, linear models (boosted trees: see the README)."""
+    return _rows(spark, _family_run(spark, sf_dir, "coh_metrix", LINEAR_MODELS))
 
 
 def q_train_families(spark, sf_dir):
     """A run per family."""
-    rows = []
-    for fam in ("coh_metrix", "multiazter"):
-        rows += _family_run(spark, sf_dir, fam, FAST_MODELS)
-    return _rows(spark, rows)
+    runs = [(fam, G.metrics_of(fam, None)) for fam in ("coh_metrix", "multiazter")]
+    return _rows(spark, ML.train_runs(runs, _features(spark, sf_dir), LINEAR_MODELS))
 
 
 def q_train_groups(spark, sf_dir):
     """A run per metric group of both families (8 + 9 runs) on one cached feature table."""
     t = _features(spark, sf_dir).cache()
-    rows = []
-    for fam in ("coh_metrix", "multiazter"):
-        for g in G.groups_of(fam):
-            rows += ML.train_models(f"{fam}_{g.lower()}", t, G.metrics_of(fam, g), models=("lr",),
-                                    parallelism=PARALLELISM)
+    runs = [(f"{fam}_{g.lower()}", G.metrics_of(fam, g)) for fam in ("coh_metrix", "multiazter") for g in G.groups_of(fam)]
+    rows = ML.train_runs(runs, t, LINEAR_MODELS)
     t.unpersist()
     return _rows(spark, rows)
 
 
 def q_grid_search(spark, sf_dir):
-    """L4: mean fold score of every logistic-regression candidate (A8 of the search)."""
+    """L4: mean validation and training score of every logistic-regression candidate."""
     t = ML.prepare(_features(spark, sf_dir), G.metrics_of("coh_metrix"))
-    train = t.where(C("split") == "train")
-    pipe, maps = ML.lr_search(train.count())
-    cvm = ML.grid_search(pipe, maps, train, PARALLELISM)
-    rows = [(i, float(list(m.values())[0]), float(s)) for i, (m, s) in enumerate(zip(maps, cvm.avgMetrics))]
-    return spark.createDataFrame(rows, "candidate int, regParam double, mean_score double")
+    best = ML.linear_searches(t.where(C("split") == "train"), {"lr": ML.lr_candidates()})["lr"]
+    rows = [(i, float(c["C"]), *m) for i, (c, m) in enumerate(zip(ML.lr_candidates(), best.means))]
+    return spark.createDataFrame(rows, "candidate int, C double, mean_score double, mean_train_score double")
 
 
 def q_random_search(spark, sf_dir):
     """The sampled random-forest candidates and their mean fold scores."""
     t = ML.prepare(_features(spark, sf_dir), G.metrics_of("multiazter"))
-    train = t.where(C("split") == "train")
+    train = t.where(C("split") == "train").select(
+        "doc_id", C("label").cast("double").alias("label"), "fold", ML.array_to_vector("x").alias("raw"))
     pipe, maps = ML.rf_random_search()
     cvm = ML.grid_search(pipe, maps, train, PARALLELISM)
     rows = [(i, {p.name: str(v) for p, v in m.items()}, float(s)) for i, (m, s) in enumerate(zip(maps, cvm.avgMetrics))]
     return spark.createDataFrame(rows, "candidate int, params map<string,string>, mean_score double")
 
 
-def q_model_store(spark, sf_dir):
-    """S8 + L12: store the fitted search, load it, score every labelled document."""
+def _stored_model(spark, sf_dir):
     t = _features(spark, sf_dir)
     cols = G.metrics_of("coh_metrix", "READABILITY")
-    store = IO.shared_path(spark, "models", IO.run_key(sf_dir))
-    ML.train_models("coh_metrix_readability", t, cols, models=("lr",), store=store, parallelism=PARALLELISM)
-    return ML.predict(f"{store}/coh_metrix_readability_lr", t, cols)
+    store = new_path(spark, "models")
+    rows = ML.train_models("coh_metrix_readability", t, cols, models=("lr",), store=store)
+    return t, cols, f"{store}/coh_metrix_readability_lr", rows
+
+
+def q_model_store(spark, sf_dir):
+    """The stored search as it is read back, with the scores of its run."""
+    _, _, path, rows = _stored_model(spark, sf_dir)
+    return spark.read.schema(ML.LINEAR_SCHEMA).parquet(path).select(
+        F.lit(rows[0][0]).alias("run"), F.size("w").alias("n_weights"), C("params")["C"].alias("c"), "cv",
+        F.lit(rows[0][2]).cast("double").alias("train_score"), F.lit(rows[0][3]).cast("double").alias("test_score"))
+
+
+def q_predict(spark, sf_dir):
+    """The stored model loaded; a prediction for every labelled document."""
+    t, cols, path, _ = _stored_model(spark, sf_dir)
+    return ML.predict(path, t, cols)
 
 
 def q_sink_results(spark, sf_dir):
-    """Result rows of two runs written partitioned by run and read back."""
-    rows = _family_run(spark, sf_dir, "coh_metrix", ("lr",), "READABILITY")
-    rows += _family_run(spark, sf_dir, "multiazter", ("lr",), "READABILITY")
-    path = IO.shared_path(spark, "results", IO.run_key(sf_dir))
+    """Result rows of the readability runs of both families, written partitioned by run and read back."""
+    rows = _family_run(spark, sf_dir, "coh_metrix", LINEAR_MODELS, "READABILITY")
+    rows += _family_run(spark, sf_dir, "multiazter", LINEAR_MODELS, "READABILITY")
+    path = new_path(spark, "results")
     IO.sink_results(_rows(spark, rows), path)
     return spark.read.parquet(path)
 
@@ -141,7 +148,7 @@ def _mlp_rows(spark, sf_dir, family, group, max_iter, run):
     _, scored, hist = ML.train_mlp(t, "x", max_iter=max_iter)
     f = E.macro_f1(scored, by=["split"]).collect()
     s = {r["split"]: float(r["macro_f1"]) for r in f}
-    return [(run, "mlp", s.get("train", 0.0), s.get("test", 0.0))], hist
+    return [(run, "mlp", s.get("train"), s.get("test"))], hist
 
 
 def q_train_mlp(spark, sf_dir):
@@ -201,16 +208,12 @@ def q_train_svm_l1(spark, sf_dir):
     """Squared-hinge SVM with L1 and with L2 penalty (C = 1) on family C descriptive."""
     t = _features(spark, sf_dir)
     cols = G.metrics_of("coh_metrix", "DESCRIPTIVE")
-    from pyspark.ml.feature import MinMaxScaler
-    v = ML.with_vector(t, cols)
-    scaler = MinMaxScaler(inputCol="raw", outputCol="s").fit(v.where(C("split") == "train"))
-    d = scaler.transform(v).select("doc_id", "label", "split", ML.vector_to_array("s").alias("x")).cache()
+    d = t.select("doc_id", "label", "split", F.array(*[C(c).cast("double") for c in cols]).alias("x")).cache()
     rows = []
     for pen in ("l1", "l2"):
-        w, b = ML.train_svm_l1(d.where(C("split") == "train"), "x", C_=1.0, penalty=pen)
-        p = ML.svm_l1_predict(d, "x", w, b)
+        p = ML.train_svm_l1(d.where(C("split") == "train"), "x", C_=1.0, penalty=pen).transform(d)
         f = {r["split"]: float(r["macro_f1"]) for r in E.macro_f1(p, by=["split"]).collect()}
-        rows.append(("coh_metrix_descriptive", f"svm_{pen}", f.get("train", 0.0), f.get("test", 0.0)))
+        rows.append(("coh_metrix_descriptive", f"svm_{pen}", f.get("train"), f.get("test")))
     d.unpersist()
     return _rows(spark, rows)
 
@@ -220,7 +223,7 @@ QUERIES = {
     "train_lr": q_train_lr, "train_svm": q_train_svm, "train_rf": q_train_rf,
     "train_svm_random": q_train_svm_random, "grid_search": q_grid_search, "random_search": q_random_search,
     "train_models": q_train_models, "train_families": q_train_families, "train_groups": q_train_groups,
-    "model_store": q_model_store, "predict": q_model_store, "sink_results": q_sink_results,
+    "model_store": q_model_store, "predict": q_predict, "sink_results": q_sink_results,
     "train_embedding_metrics": q_train_embedding_metrics, "train_mlp": q_train_mlp,
     "train_embedding_extra": q_train_mlp, "train_mlp_fixed": q_train_mlp_fixed,
     "train_embedding_metrics_mlp": q_train_mlp_fixed, "early_stop_epoch": q_early_stop_epoch,

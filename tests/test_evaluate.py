@@ -58,11 +58,11 @@ def test_argmax_first_wins(spark):
 
 
 def test_folds_disjoint_and_complete(spark):
-    df = spark.range(1000).withColumnRenamed("id", "doc_id")
+    df = spark.range(1000).selectExpr("id as doc_id", "1 as label")
     f = E.stratified_fold(df, 5)
     counts = {r["fold"]: r["count"] for r in f.groupBy("fold").count().collect()}
     assert set(counts) == set(range(5)) and sum(counts.values()) == 1000
-    assert min(counts.values()) > 150
+    assert min(counts.values()) == 200
 
 
 def test_best_candidate_tie_first(spark):

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from proselens.operators import evaluate as E
+from proselens.operators import linear as LN
 from proselens.operators import models as ML
 
 
@@ -27,8 +30,10 @@ def test_gbt_search_on_fixture(spark):
     t = separable(spark, n=60)
     pipe, maps = ML.gbt_search({"maxDepth": [2], "maxIter": [3], "stepSize": [0.1]})
     data = ML.prepare(t, array_col="x")
-    m = ML.grid_search(pipe, maps, data.where("split = 'train'"), parallelism=1)
-    assert ML.macro_f1_of(m.bestModel, data.where("split = 'test'")) == 1.0
+    rows = data.where("split = 'train'").select("doc_id", F.col("label").cast("double").alias("label"), "fold",
+                                                ML.array_to_vector("x").alias("raw"))
+    m = ML.grid_search(pipe, maps, rows, parallelism=1)
+    assert ML.macro_f1_of(ML._Vectors(m.bestModel), data.where("split = 'test'")) == 1.0
 
 
 def test_random_candidates_seeded_without_replacement():
@@ -41,9 +46,72 @@ def test_random_candidates_seeded_without_replacement():
 def test_svm_l1_separable(spark):
     t = separable(spark)
     for pen in ("l1", "l2"):
-        w, b = ML.train_svm_l1(t.where("split = 'train'"), "x", C_=10.0, penalty=pen, max_iter=300)
-        p = ML.svm_l1_predict(t.where("split = 'test'"), "x", w, b)
-        assert E.macro_f1(p).first()["macro_f1"] == 1.0
-    # the L1 penalty zeroes the uninformative second feature
-    w, b = ML.train_svm_l1(t.where("split = 'train'"), "x", C_=1.0, penalty="l1", max_iter=300)
-    assert abs(w[1]) < abs(w[0])
+        m = ML.train_svm_l1(t.where("split = 'train'"), "x", C_=10.0, penalty=pen)
+        assert E.macro_f1(m.transform(t.where("split = 'test'"))).first()["macro_f1"] == 1.0
+    # the L1 penalty shrinks the uninformative second feature
+    m = ML.train_svm_l1(t.where("split = 'train'"), "x", C_=1.0, penalty="l1")
+    assert abs(m.w[1]) < abs(m.w[0])
+
+
+def noisy(spark, n=150, d=6, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) * rng.gamma(1, 4, size=d)
+    x[:, -1] = 3.0  # a constant column
+    y = (x[:, 0] / x[:, 0].std() + 0.5 * x[:, 1] / x[:, 1].std() + rng.normal(size=n) > 0).astype(int)
+    rows = [(i, x[i].tolist(), int(y[i]), i % 5) for i in range(n)]
+    return x, y, spark.createDataFrame(rows, "doc_id long, x array<double>, label int, fold int").repartition(3)
+
+
+def test_linear_search_reaches_the_optimum(spark):
+    x, y, t = noisy(spark)
+    search = LN.LinearSearch(t)
+    problems = [LN.Problem(loss, pen, c, f) for loss, pen in (("logistic", "l2"), ("squared_hinge", "l1"), ("squared_hinge", "l2"))
+                for c in (1, 13) for f in (0, 3, LN.ALL_ROWS)]
+    w = search.solve(problems, tol=1e-8)
+    rng = np.random.default_rng(0)
+    for p, own in zip(problems, w):
+        use = np.arange(len(y)) % 5 != p.fold
+        lo, hi = x[use].min(0), x[use].max(0)
+        z = np.c_[(x - lo) / np.where(hi > lo, hi - lo, 1), np.ones(len(y))][use]
+        s = np.where(y > 0, 1, -1)[use]
+
+        def objective(v):
+            m = s * (z @ v)
+            loss = np.logaddexp(0, -m).sum() if p.loss == "logistic" else (np.maximum(0, 1 - m) ** 2).sum()
+            size = np.abs(v).sum() if p.penalty == "l1" else 0.5 * (v[:-1] @ v[:-1]) + (0 if p.loss == "logistic" else 0.5 * v[-1] ** 2)
+            return size + p.C * loss
+        best = objective(own)
+        for scale in (1e-5, 1e-3, 1e-1):
+            for _ in range(60):
+                assert objective(own + scale * rng.normal(size=len(own)) * (rng.random(len(own)) < 0.4)) >= best * (1 - 1e-9)
+    counts = search.confusion(problems, w)
+    guess = np.c_[(x - x.min(0)) / np.where(x.max(0) > x.min(0), x.max(0) - x.min(0), 1), np.ones(len(y))] @ w[2] > 0
+    assert counts[2, 1].tolist() == [(guess & (y > 0)).sum(), (y > 0).sum(), guess.sum()]
+    search.close()
+
+
+def test_stored_model_predicts_the_same(spark, tmp_path):
+    _, y, t = noisy(spark)
+    t = t.withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train")).drop("fold")
+    rows = ML.train_models("toy", t, array_col="x", models=("svm", "svm_random", "lr"), store=str(tmp_path), with_best=True)
+    assert [r[1] for r in rows] == ["svm", "svm_random", "lr"] and all(0 < r[2] <= 1 and 0 < r[3] <= 1 for r in rows)
+    for r in rows:
+        p = ML.predict(f"{tmp_path}/toy_{r[1]}", t, array_col="x").join(t, "doc_id")
+        assert abs(E.macro_f1(p.where("split = 'test'")).first()["macro_f1"] - r[3]) < 1e-12
+
+
+def test_folds_are_stratified(spark):
+    t = spark.createDataFrame([(i * 37 % 1009, int(i % 7 == 0)) for i in range(403)], "doc_id long, label int")
+    n = {}
+    for r in E.stratified_fold(t, 5).collect():
+        n[r.label, r.fold] = n.get((r.label, r.fold), 0) + 1
+    for label in (0, 1):
+        own = [v for (k, _), v in n.items() if k == label]
+        assert len(own) == 5 and max(own) - min(own) <= 1
+
+
+def test_shuffle_is_a_permutation(spark):
+    t = spark.range(500).withColumnRenamed("id", "doc_id")
+    a = {r.doc_id: r.position for r in E.seeded_shuffle(t, seed=1).collect()}
+    b = {r.doc_id: r.position for r in E.seeded_shuffle(t, seed=2).collect()}
+    assert sorted(a.values()) == sorted(b.values()) == list(range(500)) and a != b
