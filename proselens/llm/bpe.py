@@ -21,6 +21,7 @@ Why the outside is stable:
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: code points of a leaf text, bytes of a leaf piece, ids of a decoding leaf
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 1 << 14, 48, 1 << 15
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 1 << 14, 8, 1 << 15
+#: bytes from which pairs are kept in a heap; more than any rank
+HEAP_BYTES, NO_RANK = 256, 1 << 32
 #: pieces remembered by a task
-MEMO = 300_000
+MEMO = 500_000
 #: code points before a border up to which a piece may still change
 LOOK_AHEAD = 3
 
@@ -48,6 +51,7 @@ class ByteBpe:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.token = {i: b for b, i in ranks.items()}
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[bytes, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     @classmethod
@@ -59,18 +63,50 @@ class ByteBpe:
 
     def _merge(self, data: bytes) -> list[int]:
         """Merge the pair of least rank, leftmost first, until none is left."""
+        if len(data) > HEAP_BYTES:
+            return self._merge_long(data)
+        get = self.ranks.get
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = self.ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        rank = [get(data[i:i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while rank:
+            least = min(rank)
+            if least == NO_RANK:
                 break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            i = rank.index(least)
+            joined = parts[i] + parts.pop(i + 1)
+            parts[i] = joined
+            del rank[i]
+            if i < len(rank):
+                rank[i] = get(joined + parts[i + 1], NO_RANK)
+            if i:
+                rank[i - 1] = get(parts[i - 1] + joined, NO_RANK)
         return [self.ranks[p] for p in parts]
 
+    def _merge_long(self, data: bytes) -> list[int]:
+        """The same with a heap of pairs: (rank, place), stale entries passed over."""
+        get, n = self.ranks.get, len(data)
+        end = list(range(1, n + 1))  # end of the part that begins at each place; 0 where none begins
+        before = list(range(-1, n))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(data[i:i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
+                continue
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := get(data[i:end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if (h := before[i]) >= 0 and (r := get(data[h:stop])) is not None:
+                heapq.heappush(heap, (r, h, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i:end[i]]])
+            i = end[i]
+        return out
+
     def _fits(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
@@ -80,22 +116,36 @@ class ByteBpe:
         return known
 
     def _join_tokens(self, left: list[int], right: list[int]) -> list[int]:
-        i, j = len(left), 0  # left[:i] and right[j:] are outside the window
-        middle: list[int] = []
+        if self._fits(left[-1], right[0]):
+            return left + right
+        i, j = len(left) - 1, 1  # left[:i] and right[j:] are outside the window
+        grow_left = grow_right = 1
         while True:
-            ends = ([left[i - 1]] if i else []) + middle + ([right[j]] if j < len(right) else [])
-            open_left = i > 0 and len(ends) > 1 and not self._fits(ends[0], ends[1])
-            open_right = j < len(right) and len(ends) > 1 and not self._fits(ends[-2], ends[-1])
+            window = b"".join([self.token[t] for t in left[i:] + right[:j]])
+            middle = self._tree(window) if len(window) <= LEAF_BYTES else self._merge(window)
+            open_left = i > 0 and not self._fits(left[i - 1], middle[0])
+            open_right = j < len(right) and not self._fits(middle[-1], right[j])
             if not (open_left or open_right):
                 return left[:i] + middle + right[j:]
-            i, j = i - open_left, j + open_right
-            middle = self._merge(b"".join(self.token[t] for t in left[i:] + right[:j]))
+            if open_left:
+                i, grow_left = max(0, i - grow_left), 2 * grow_left
+            if open_right:
+                j, grow_right = min(len(right), j + grow_right), 2 * grow_right
 
     def _tree(self, data: bytes) -> list[int]:
+        known = self.parts.get(data)
+        if known is not None:
+            return known
         if len(data) <= LEAF_BYTES:
-            return self._merge(data)
-        half = len(data) // 2
-        return self._join_tokens(self._tree(data[:half]), self._tree(data[half:]))
+            known = self._merge(data)
+        else:
+            half = len(data) // 2
+            known = self._join_tokens(self._tree(data[:half]), self._tree(data[half:]))
+        if len(data) <= 2 * LEAF_BYTES:
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            self.parts[data] = known
+        return known
 
     def piece(self, piece: str) -> bytes:
         """The ids of a piece, packed; a piece that is a token as a whole is that token."""
