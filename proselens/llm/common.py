@@ -55,8 +55,11 @@ def rounds(runs: int, fan_in: int) -> int:
     return max(1, math.ceil(math.log(max(2, runs), fan_in) - 1e-9))
 
 
+def bounded(stored_rows: DataFrame) -> DataFrame:
+    """Stored thin rows, marked for broadcast only where their count is bounded."""
+    return F.broadcast(stored_rows) if stored_rows.count() <= BROADCAST_KEYS else stored_rows
+
+
 def join_keys(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     """Semi or anti join with stored, distinct ``keys``; broadcast only when their count is bounded."""
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return rows.join(keys, on, how)
+    return rows.join(bounded(keys), on, how)

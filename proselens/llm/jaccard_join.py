@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored, tasks, text_of
+from .common import bounded, stored, tasks, text_of
 
 TREES, MAX_DEPTH, TARGET_RECALL = 16, 8, 0.9995
 #: members of a component that are compared with each other at a time
@@ -165,7 +165,7 @@ def link_counts(sets: list[np.ndarray], weights: np.ndarray, block: np.ndarray,
 
 def _verify(threshold: float):
     def compare(key: tuple, part: list[tuple]) -> pd.DataFrame:
-        part.sort(key=lambda r: r[0])
+        part = sorted({r[0]: r for r in part}.values())  # a repeated row counts in its class's weight
         rep = np.array([r[0] for r in part], np.int64)
         links, first = link_counts([np.frombuffer(r[3], np.uint64) for r in part],
                                    np.array([r[2] for r in part], np.int64),
@@ -233,7 +233,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: st
             F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int").alias("_blocks"))
         .withColumn("_block", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
         .join(classes.select("_rep", F.col("_n").alias("_weight")), "_rep"))
-    texts = rows.withColumnRenamed("_id", "_rep").join(members, "_rep").dropDuplicates(["_rep"])
+    texts = rows.withColumnRenamed("_id", "_rep").join(bounded(members), "_rep")
     sets = texts.select("_rep", "_comp", "_blocks", "_block", "_weight", "_text").mapInArrow(
         _sets(n), "_rep long, _comp long, _blocks int, _block int, _weight long, _set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
