@@ -32,9 +32,9 @@ BITS = 20
 HIDDEN, INPUTS = 8, 6
 #: labelled rows that are counted, and those of each label that the network is trained on
 SAMPLE, TRAIN_EACH = 20_000, 800
-EPOCHS, RATE, SEED = 14, 0.02, 7
+EPOCHS, RATE, SEED = 20, 0.02, 7
 #: weight of the prior in the log-odds, in documents
-PRIOR = 2.0
+PRIOR = 1.0
 F32 = np.float32
 
 
@@ -299,6 +299,7 @@ def _train(network: Network, rows: pa.Table, pos, neg, word_pos, word_neg, rate:
         if epoch in (3, 6, 10):  # the windows that the network itself finds highest
             best = np.concatenate([network.forward(*batch(x, at[lo:lo + 4096], size[lo:lo + 4096], WINDOW))
                                    for lo in range(0, len(at), 4096)])
+        steps.rate = RATE * (1 - epoch / EPOCHS)
         order = np.lexsort((best, owner))
         pick = order[np.concatenate((owner[order][1:] != owner[order][:-1], [True]))]
         turn = rng.permutation(len(pick))
