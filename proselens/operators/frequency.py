@@ -15,13 +15,14 @@ broadcast only when a bounded count shows it is small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.text import incidence, safe_div
+from ..session import stored
 from . import annotate as A
-from .metrics import finish
+from .metrics import base, finish
 
 C = F.col
 BROADCAST_MAX_ROWS = 2_000_000
@@ -35,20 +36,27 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 def vocabulary(tok: DataFrame) -> DataFrame:
     """``lang, form, n, total, zipf`` over the whole corpus (map-side combine handles hot words)."""
     v = tok.where(C("form").isNotNull()).groupBy("lang", "form").agg(F.count("*").alias("n"))
-    totals = v.groupBy("lang").agg(F.sum("n").alias("total"))  # one row per language
-    return (v.join(F.broadcast(totals), "lang")
+    totals = v.groupBy(C("lang").alias("_lang")).agg(F.sum("n").alias("total"))  # one row per language
+    return (v.join(totals, v["lang"].eqNullSafe(totals["_lang"])).drop("_lang")
             .withColumn("zipf", F.log10(F.lit(1e9) * C("n").cast("double") / C("total").cast("double"))))
 
 
 def with_zipf(rows: DataFrame, vocab: DataFrame, rare_zipf: float = L.RARE_ZIPF) -> DataFrame:
-    """Attach ``zipf`` to rows keyed by ``lang, form`` with the frequent / rare split."""
-    frequent = vocab.where(C("zipf") >= rare_zipf).select("lang", "form", C("zipf").alias("zf"))
-    rare = vocab.where(C("zipf") < rare_zipf).select("lang", "form", C("zipf").alias("zr"))
-    small = F.broadcast(frequent) if fits_broadcast(frequent) else frequent
-    a = rows.join(small, ["lang", "form"], "left")
+    """Attach ``zipf`` to rows keyed by ``lang, form`` (null-safe on ``lang``); ``vocab`` is stored.
+
+    A vocabulary of bounded size is broadcast whole; a larger one is split into frequent and rare forms.
+    """
+    def joined(left, right, name):
+        v = right.select(C("lang").alias("_lang"), C("form").alias("_form"), C("zipf").alias(name))
+        return left.join(v, left["lang"].eqNullSafe(v["_lang"]) & (left["form"] == v["_form"]), "left").drop("_lang", "_form")
+
+    if fits_broadcast(vocab):
+        return joined(rows, F.broadcast(vocab), "zipf")
+    frequent, rare = vocab.where(C("zipf") >= rare_zipf), vocab.where(C("zipf") < rare_zipf)
+    # bounded: at most 10**(9 - rare_zipf) forms of a language can be that frequent
+    a = joined(rows, F.broadcast(frequent) if fits_broadcast(frequent) else frequent, "zf")
     hit = a.where(C("zf").isNotNull()).withColumnRenamed("zf", "zipf")
-    miss = a.where(C("zf").isNull()).drop("zf").join(rare, ["lang", "form"], "left").withColumnRenamed("zr", "zipf")
-    return hit.unionByName(miss)
+    return hit.unionByName(joined(a.where(C("zf").isNull()).drop("zf"), rare, "zipf"))
 
 
 M_WORD_FREQUENCY = ["mean_distinct_rare", "mean_rare", "min_wf_per_sentence", "num_dif_rare_words_incidence",
@@ -57,30 +65,25 @@ M_WORD_FREQUENCY = ["mean_distinct_rare", "mean_rare", "min_wf_per_sentence", "n
                     "num_rare_words_incidence"]
 
 
-def m_word_frequency(documents: DataFrame, tok: DataFrame | None = None, vocab: DataFrame | None = None,
-                     rare_zipf: float = L.RARE_ZIPF) -> DataFrame:
-    tok = tok if tok is not None else A.tokens(documents)
-    vocab = vocab if vocab is not None else vocabulary(tok)
-    # per sentence, per form and tag: pre-aggregated before the join
-    st = (tok.groupBy("doc_id", "sent_id", "lang", "form", "upos").agg(F.count("*").alias("c")))
-    z = with_zipf(st.where(C("form").isNotNull()), vocab, rare_zipf)
+def frequency_level(tok: DataFrame, vocab: DataFrame | None = None, rare_zipf: float = L.RARE_ZIPF) -> DataFrame:
+    """Word-frequency sums per document: one join with the stored vocabulary, rolled up by sentence."""
+    vocab = stored(vocabulary(tok)) if vocab is None else vocab
+    st = (tok.where(C("form").isNotNull()).groupBy("doc_id", "sent_id", "lang", "form", "upos").agg(F.count("*").alias("c")))
+    z = with_zipf(st, vocab, rare_zipf)
     content = A.is_content(C("upos"))
     rare = content & (C("zipf") < rare_zipf)
-    sent = z.groupBy("doc_id", "sent_id").agg(F.min("zipf").alias("mz"))
-    per_doc = z.groupBy("doc_id").agg(
-        F.sum("c").alias("N"),
-        F.sum(F.when(content, C("c"))).alias("content_n"),
-        F.sum(F.when(rare, C("c"))).alias("rare_n"),
+    sent = z.groupBy("doc_id", "sent_id").agg(
+        F.min("zipf").alias("mz"), F.sum(F.when(rare, C("c"))).alias("rare_n"),
         *[F.sum(F.when(rare & (C("upos") == u), C("c"))).alias(f"rare_{u}") for u in ("ADJ", "ADV", "NOUN", "VERB")],
-        F.size(F.collect_set("form")).alias("V"),
-        F.size(F.collect_set(F.when(content, C("form")))).alias("V_content"),
-        F.size(F.collect_set(F.when(rare, C("form")))).alias("V_rare"),
-    )
-    mz = sent.groupBy("doc_id").agg(F.avg("mz").alias("min_wf"))
-    d = documents.select("doc_id").join(per_doc, "doc_id", "left").join(mz, "doc_id", "left")
+        F.collect_set(F.when(rare, C("form"))).alias("rare_forms"))  # bounded by the sentence
+    return sent.groupBy("doc_id").agg(
+        F.avg("mz").alias("min_wf"), *[F.sum(x).alias(x) for x in ("rare_n", "rare_ADJ", "rare_ADV", "rare_NOUN", "rare_VERB")],
+        F.size(F.array_distinct(F.flatten(F.collect_list("rare_forms")))).alias("V_rare"))
+
+
+def m_word_frequency_columns() -> list[Column]:
     N = C("N")
-    out = d.select(
-        "doc_id",
+    return [
         (F.lit(100.0) * safe_div(C("V_rare"), C("V_content"))).alias("mean_distinct_rare"),
         (F.lit(100.0) * safe_div(C("rare_n"), C("content_n"))).alias("mean_rare"),
         C("min_wf").alias("min_wf_per_sentence"),
@@ -92,8 +95,14 @@ def m_word_frequency(documents: DataFrame, tok: DataFrame | None = None, vocab:
         incidence(C("rare_NOUN"), N).alias("num_rare_nouns_incidence"),
         incidence(C("rare_VERB"), N).alias("num_rare_verbs_incidence"),
         incidence(C("rare_n"), N).alias("num_rare_words_incidence"),
-    )
-    return finish(out, M_WORD_FREQUENCY)
+    ]
+
+
+def m_word_frequency(documents: DataFrame, tok: DataFrame | None = None, vocab: DataFrame | None = None,
+                     rare_zipf: float = L.RARE_ZIPF) -> DataFrame:
+    tok = tok if tok is not None else A.tokens(documents)
+    d = base(documents, tok, ("doc", "form")).join(frequency_level(tok, vocab, rare_zipf), "doc_id", "left")
+    return finish(d.select("doc_id", *m_word_frequency_columns()), M_WORD_FREQUENCY)
 
 
 def default_semantic_lexicon(spark: SparkSession) -> DataFrame:
@@ -103,16 +112,19 @@ def default_semantic_lexicon(spark: SparkSession) -> DataFrame:
 M_SEMANTICS = ["hypernymy_index", "hypernymy_nouns_index", "hypernymy_verbs_index", "polysemic_index"]
 
 
-def m_semantics(documents: DataFrame, tok: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
-    tok = tok if tok is not None else A.tokens(documents)
-    lex = lexicon if lexicon is not None else default_semantic_lexicon(documents.sparkSession)
+def semantic_level(tok: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Means over the semantic lexicon per document, under the metrics' names."""
+    lex = lexicon if lexicon is not None else default_semantic_lexicon(tok.sparkSession)
     lex = F.broadcast(lex) if fits_broadcast(lex) else lex
     t = tok.join(lex, ["lang", "form"], "left")
     u = C("upos")
-    d = t.groupBy("doc_id").agg(
+    return t.groupBy("doc_id").agg(
         F.avg(F.when(u.isin("NOUN", "PROPN", "VERB"), C("hyper_depth"))).alias("hypernymy_index"),
         F.avg(F.when(u.isin("NOUN", "PROPN"), C("hyper_depth"))).alias("hypernymy_nouns_index"),
         F.avg(F.when(u == "VERB", C("hyper_depth"))).alias("hypernymy_verbs_index"),
         F.avg(F.when(A.is_content(u), C("n_senses"))).alias("polysemic_index"),
     )
-    return finish(d, M_SEMANTICS)
+
+
+def m_semantics(documents: DataFrame, tok: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    return finish(semantic_level(tok if tok is not None else A.tokens(documents), lexicon), M_SEMANTICS)

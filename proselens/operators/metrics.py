@@ -11,7 +11,11 @@ aggregates over the token rows of ``annotate.tokens``:
   position of a sentence in its paragraph gives paragraph moments.
 * ``sentence_level``: ``groupBy(doc_id, sent_id)`` then ``groupBy(doc_id)`` for
   what needs a per-sentence value (words without stopwords, first verb, tag runs).
-* ``form_level``: ``groupBy(doc_id, form)`` then ``groupBy(doc_id)`` for V1.
+* ``form_level``, ``lemma_level``: ``groupBy(doc_id, value)`` with a bit mask of tags,
+  then ``groupBy(doc_id)``: distinct counts in fixed-width buffers.
+
+A key is the columns it computes over the per-document frames it needs (``metric_key``),
+so the full matrix joins each frame once and selects the columns of all keys.
 
 Empty denominators give null, which ``finish`` turns into 0 (P5); NaN stays.
 """
@@ -54,17 +58,14 @@ def _tok_flags(tok: DataFrame) -> DataFrame:
 
 
 def doc_counts(tok: DataFrame) -> DataFrame:
-    """Token-level sums and distinct sets per document."""
+    """Token-level sums per document: fixed-width buffers only (code-generated hash aggregate)."""
     t = _tok_flags(tok)
-    u, form, lemma, w = C("upos"), C("form"), C("lemma"), C("form").isNotNull()
+    u, lemma, w = C("upos"), C("lemma"), C("form").isNotNull()
     first = w & (C("tok_id") == 0)
 
     def cnt(cond):
         return F.count_if(w & cond)
 
-    def ndist(col, cond=None):
-        return F.size(F.collect_set(col if cond is None else F.when(cond, col)))
-
     aggs = [
         F.count("form").alias("N"),
         F.count_if(first).alias("S"),
@@ -85,18 +86,12 @@ def doc_counts(tok: DataFrame) -> DataFrame:
         cnt(C("mood") == "Imp").alias("imp"), cnt(C("mood") == "Ind").alias("ind"),
         cnt(C("tense") == "Past").alias("past"), cnt(C("tense") == "Pres").alias("pres"),
         cnt((C("tense") == "Past") & C("irregular")).alias("past_irr"),
-        ndist(form).alias("V"), ndist(form, C("content")).alias("V_content"),
-        ndist(form, u == "ADJ").alias("V_adj"), ndist(form, u == "ADV").alias("V_adv"),
-        ndist(form, u == "NOUN").alias("V_noun"), ndist(form, u == "VERB").alias("V_verb"),
-        ndist(lemma).alias("VL"), ndist(lemma, C("content")).alias("VL_content"),
-        ndist(lemma, u == "ADJ").alias("VL_adj"), ndist(lemma, u == "ADV").alias("VL_adv"),
-        ndist(lemma, u == "NOUN").alias("VL_noun"), ndist(lemma, u == "VERB").alias("VL_verb"),
     ]
     for p in ("1", "2", "3"):
         aggs.append(cnt(C("prs") & (C("person") == p)).alias(f"prs{p}"))
         for num, tag in (("Sing", "s"), ("Plur", "p")):
             aggs.append(cnt(C("prs") & (C("person") == p) & (C("number") == num)).alias(f"prs{p}{tag}"))
-    return t.groupBy("doc_id").agg(F.first("lang").alias("lang"), *aggs)
+    return t.groupBy("doc_id", "lang").agg(*aggs)
 
 
 # tag code per token for phrase runs (W4): N noun, A adjective, D determiner/number,
@@ -132,10 +127,36 @@ def sentence_level(tok: DataFrame) -> DataFrame:
     )
 
 
+TAG_BITS = (("content", 1), ("adj", 2), ("adv", 4), ("noun", 8), ("verb", 16))
+
+
+def _tag_mask() -> Column:
+    """Bits of a token's tags: content word, ADJ, ADV, NOUN, VERB."""
+    u = C("upos")
+    flags = [A.is_content(u), u == "ADJ", u == "ADV", u == "NOUN", u == "VERB"]
+    return sum((F.when(f, F.lit(bit)).otherwise(F.lit(0)) for f, (_, bit) in zip(flags, TAG_BITS)), F.lit(0))
+
+
+def _distinct(tok: DataFrame, col: str, prefix: str, *extra) -> DataFrame:
+    """Distinct values of a column per document, in all and by tag (a value counts for each tag it occurs with)."""
+    g = tok.where(C("form").isNotNull()).groupBy("doc_id", col).agg(F.count("*").alias("n"), F.bit_or(_tag_mask()).alias("tags"))
+    return g.groupBy("doc_id").agg(
+        F.count("*").alias(prefix),
+        *[F.count_if(C("tags").bitwiseAND(F.lit(bit)) > 0).alias(f"{prefix}_{name}") for name, bit in TAG_BITS], *extra)
+
+
 def form_level(tok: DataFrame) -> DataFrame:
-    """Forms seen once (V1) and distinct forms per document."""
-    f = tok.where(C("form").isNotNull()).groupBy("doc_id", "form").agg(F.count("*").alias("n"))
-    return f.groupBy("doc_id").agg(F.count("*").alias("V_f"), F.count_if(C("n") == 1).alias("V1"))
+    """Distinct forms per document (V, by tag) and forms seen once (V1)."""
+    return _distinct(tok, "form", "V", F.count_if(C("n") == 1).alias("V1"))
+
+
+def lemma_level(tok: DataFrame) -> DataFrame:
+    """Distinct lemmas per document (VL, by tag)."""
+    return _distinct(tok, "lemma", "VL")
+
+
+def punct_level(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", punct_count(C("text")).alias("punct"))
 
 
 def connective_counts(documents: DataFrame, preprocess=None) -> DataFrame:
@@ -166,15 +187,38 @@ def connective_counts(documents: DataFrame, preprocess=None) -> DataFrame:
 
 # --------------------------------------------------------------------------- helpers
 
-def _tok(documents: DataFrame, preprocess=None) -> DataFrame:
-    return A.tokens(documents, preprocess)
+FRAMES = {
+    "doc": lambda documents, tok: doc_counts(tok),
+    "sent": lambda documents, tok: sentence_level(tok),
+    "form": lambda documents, tok: form_level(tok),
+    "lemma": lambda documents, tok: lemma_level(tok),
+    "conn": lambda documents, tok: connective_counts(documents),
+    "punct": lambda documents, tok: punct_level(documents),
+    "mtld": lambda documents, tok: doc_words(documents).select("doc_id", mtld_udf(C("words")).alias("mtld")),
+}
+
+
+def base(documents: DataFrame, tok: DataFrame | None, need: tuple[str, ...]) -> DataFrame:
+    """The per-document frames a key needs, joined on ``doc_id``; the first one has every document."""
+    tok = tok if tok is not None else A.tokens(documents)
+    out = FRAMES[need[0]](documents, tok)
+    for k in need[1:]:
+        out = out.join(FRAMES[k](documents, tok), "doc_id", "left")
+    return out
+
 
+def metric_key(names: list[str], need: tuple[str, ...]):
+    """A metric key from a function that gives its columns over the joined frames ``need``.
 
-def _join(*dfs: DataFrame) -> DataFrame:
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.join(d, "doc_id", "left")
-    return out
+    The key is ``documents[, tok] -> doc_id, metrics``; ``key.columns()`` are the columns themselves, so that
+    the full matrix selects the columns of all keys from one joined frame.
+    """
+    def wrap(columns):
+        def key(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
+            return finish(base(documents, tok, need).select("doc_id", *columns()), names)
+        key.columns, key.names, key.need, key.__doc__, key.__name__ = columns, names, need, columns.__doc__, columns.__name__
+        return key
+    return wrap
 
 
 # --------------------------------------------------------------------------- family C
@@ -183,25 +227,24 @@ C_DESCRIPTIVE = ["DESPC", "DESSC", "DESWC", "DESPL", "DESPLd", "DESSL", "DESSLd"
                  "DESWLsy", "DESWLsyd", "DESWLlt", "DESWLltd"]
 
 
-def c_descriptive(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    d = doc_counts(tok if tok is not None else _tok(documents))
+@metric_key(C_DESCRIPTIVE, ("doc",))
+def c_descriptive() -> list[Column]:
     N, S, P = C("N"), C("S"), C("P")
     pl, pld = mean_std(P, S, C("para_q"))
     sl, sld = mean_std(S, N, C("sent_q"))
     sy, syd = mean_std(N, C("syl_s"), C("syl_q"))
     lt, ltd = mean_std(N, C("chr_s"), C("chr_q"))
-    out = d.select("doc_id", P.alias("DESPC"), S.alias("DESSC"), N.alias("DESWC"),
+    return [P.alias("DESPC"), S.alias("DESSC"), N.alias("DESWC"),
                    pl.alias("DESPL"), pld.alias("DESPLd"), sl.alias("DESSL"), sld.alias("DESSLd"),
-                   sy.alias("DESWLsy"), syd.alias("DESWLsyd"), lt.alias("DESWLlt"), ltd.alias("DESWLltd"))
-    return finish(out, C_DESCRIPTIVE)
+                   sy.alias("DESWLsy"), syd.alias("DESWLsyd"), lt.alias("DESWLlt"), ltd.alias("DESWLltd")]
 
 
 C_WORD_INFORMATION = ["WRDNOUN", "WRDVERB", "WRDADJ", "WRDADV", "WRDPRO", "WRDPRP1s", "WRDPRP1p",
                       "WRDPRP2s", "WRDPRP2p", "WRDPRP3s", "WRDPRP3p"]
 
 
-def c_word_information(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    d = doc_counts(tok if tok is not None else _tok(documents))
+@metric_key(C_WORD_INFORMATION, ("doc",))
+def c_word_information() -> list[Column]:
     N = C("N")
     cols = [incidence(C("noun") + C("propn"), N).alias("WRDNOUN"), incidence(C("verb"), N).alias("WRDVERB"),
             incidence(C("adj"), N).alias("WRDADJ"), incidence(C("adv"), N).alias("WRDADV"),
@@ -209,53 +252,45 @@ def c_word_information(documents: DataFrame, tok: DataFrame | None = None) -> Da
     for p in ("1", "2", "3"):
         for tag in ("s", "p"):
             cols.append(incidence(C(f"prs{p}{tag}"), N).alias(f"WRDPRP{p}{tag}"))
-    return finish(d.select("doc_id", *cols), C_WORD_INFORMATION)
+    return cols
 
 
 C_PATTERN_DENSITY = ["DRNP", "DRVP", "DRNEG"]
 
 
-def c_pattern_density(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    tok = tok if tok is not None else _tok(documents)
-    d = _join(doc_counts(tok).select("doc_id", "N", "neg_n"), sentence_level(tok))
+@metric_key(C_PATTERN_DENSITY, ("doc", "sent"))
+def c_pattern_density() -> list[Column]:
     N = C("N")
-    out = d.select("doc_id", incidence(C("NP"), N).alias("DRNP"), incidence(C("VP"), N).alias("DRVP"),
-                   incidence(C("neg_n"), N).alias("DRNEG"))
-    return finish(out, C_PATTERN_DENSITY)
+    return [incidence(C("NP"), N).alias("DRNP"), incidence(C("VP"), N).alias("DRVP"),
+                   incidence(C("neg_n"), N).alias("DRNEG")]
 
 
 C_SYNTACTIC_COMPLEXITY = ["SYNNP", "SYNLE"]
 
 
-def c_syntactic_complexity(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    s = sentence_level(tok if tok is not None else _tok(documents))
-    docs = documents.select("doc_id")
-    out = _join(docs, s).select("doc_id", safe_div(C("NP_adj"), C("NP")).alias("SYNNP"),
-                                safe_div(C("mv_s"), C("mv_n")).alias("SYNLE"))
-    return finish(out, C_SYNTACTIC_COMPLEXITY)
+@metric_key(C_SYNTACTIC_COMPLEXITY, ("doc", "sent"))
+def c_syntactic_complexity() -> list[Column]:
+    return [safe_div(C("NP_adj"), C("NP")).alias("SYNNP"), safe_div(C("mv_s"), C("mv_n")).alias("SYNLE")]
 
 
 C_CONNECTIVES = ["CNCAll", "CNCCaus", "CNCLogic", "CNCADC", "CNCTemp", "CNCAdd"]
 
 
-def c_connectives(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    tok = tok if tok is not None else _tok(documents)
-    d = _join(doc_counts(tok).select("doc_id", "N"), connective_counts(documents))
+@metric_key(C_CONNECTIVES, ("doc", "conn"))
+def c_connectives() -> list[Column]:
     N = C("N")
-    out = d.select("doc_id", *[incidence(C(src), N).alias(dst) for dst, src in (
+    return [*[incidence(C(src), N).alias(dst) for dst, src in (
         ("CNCAll", "conn_all"), ("CNCCaus", "conn_causal"), ("CNCLogic", "conn_logical"),
-        ("CNCADC", "conn_adversative"), ("CNCTemp", "conn_temporal"), ("CNCAdd", "conn_additive"))])
-    return finish(out, C_CONNECTIVES)
+        ("CNCADC", "conn_adversative"), ("CNCTemp", "conn_temporal"), ("CNCAdd", "conn_additive"))]]
 
 
 C_LEXICAL_DIVERSITY = ["LDTTRa", "LDTTRcw"]
 
 
-def c_lexical_diversity(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    d = doc_counts(tok if tok is not None else _tok(documents))
-    out = d.select("doc_id", safe_div(C("V"), C("N")).alias("LDTTRa"),
-                   safe_div(C("V_content"), C("content_n")).alias("LDTTRcw"))
-    return finish(out, C_LEXICAL_DIVERSITY)
+@metric_key(C_LEXICAL_DIVERSITY, ("doc", "form"))
+def c_lexical_diversity() -> list[Column]:
+    return [safe_div(C("V"), C("N")).alias("LDTTRa"),
+                   safe_div(C("V_content"), C("content_n")).alias("LDTTRcw")]
 
 
 C_READABILITY = ["RDFHGL"]
@@ -269,9 +304,9 @@ def _flesch_en(syl: Column, n: Column, s: Column) -> Column:
     return F.lit(206.835) - F.lit(84.6) * safe_div(syl, n) - F.lit(1.015) * safe_div(n, s)
 
 
-def c_readability(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    d = doc_counts(tok if tok is not None else _tok(documents))
-    return finish(d.select("doc_id", _huerta(C("syl_s"), C("N"), C("S")).alias("RDFHGL")), C_READABILITY)
+@metric_key(C_READABILITY, ("doc",))
+def c_readability() -> list[Column]:
+    return [_huerta(C("syl_s"), C("N"), C("S")).alias("RDFHGL")]
 
 
 # --------------------------------------------------------------------------- family M
@@ -281,12 +316,10 @@ M_CONNECTIVES = ["adversative_connectives_incidence", "all_connectives_incidence
                  "logical_connectives_incidence", "temporal_connectives_incidence"]
 
 
-def m_connectives(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    tok = tok if tok is not None else _tok(documents)
-    d = _join(doc_counts(tok).select("doc_id", "N"), connective_counts(documents))
+@metric_key(M_CONNECTIVES, ("doc", "conn"))
+def m_connectives() -> list[Column]:
     N = C("N")
-    out = d.select("doc_id", *[incidence(C("conn_" + m.split("_")[0]), N).alias(m) for m in M_CONNECTIVES])
-    return finish(out, M_CONNECTIVES)
+    return [*[incidence(C("conn_" + m.split("_")[0]), N).alias(m) for m in M_CONNECTIVES]]
 
 
 M_DESCRIPTIVE = ["lemmas_length_mean", "lemmas_length_std", "num_paragraphs_incidence",
@@ -297,9 +330,8 @@ M_DESCRIPTIVE = ["lemmas_length_mean", "lemmas_length_std", "num_paragraphs_inci
                  "words_length_no_stopwords_mean", "words_length_no_stopwords_std", "words_length_std"]
 
 
-def m_descriptive(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    tok = tok if tok is not None else _tok(documents)
-    d = _join(doc_counts(tok), sentence_level(tok))
+@metric_key(M_DESCRIPTIVE, ("doc", "sent"))
+def m_descriptive() -> list[Column]:
     N, S, P = C("N"), C("S"), C("P")
     lm, ls = mean_std(N, C("lem_s"), C("lem_q"))
     sy, syd = mean_std(N, C("syl_s"), C("syl_q"))
@@ -308,7 +340,7 @@ def m_descriptive(documents: DataFrame, tok: DataFrame | None = None) -> DataFra
     pl, pld = mean_std(P, S, C("para_q"))
     wl, wld = mean_std(N, C("chr_s"), C("chr_q"))
     nwl, nwld = mean_std(C("ns_n"), C("ns_chr_s"), C("ns_chr_q"))
-    out = d.select("doc_id", lm.alias("lemmas_length_mean"), ls.alias("lemmas_length_std"),
+    return [lm.alias("lemmas_length_mean"), ls.alias("lemmas_length_std"),
                    incidence(P, N).alias("num_paragraphs_incidence"),
                    incidence(S, N).alias("num_sentences_incidence"),
                    sy.alias("num_syllables_words_mean"), syd.alias("num_syllables_words_std"),
@@ -316,8 +348,7 @@ def m_descriptive(documents: DataFrame, tok: DataFrame | None = None) -> DataFra
                    nsld.alias("sentences_length_no_stopwords_std"), sld.alias("sentences_length_std"),
                    pl.alias("sentences_per_paragraph_mean"), pld.alias("sentences_per_paragraph_std"),
                    wl.alias("words_length_mean"), nwl.alias("words_length_no_stopwords_mean"),
-                   nwld.alias("words_length_no_stopwords_std"), wld.alias("words_length_std"))
-    return finish(out, M_DESCRIPTIVE)
+                   nwld.alias("words_length_no_stopwords_std"), wld.alias("words_length_std")]
 
 
 M_LEXICAL_DIVERSITY = ["adj_density", "adj_ttr", "adv_density", "adv_ttr", "content_ttr", "honore",
@@ -397,17 +428,14 @@ def doc_words(documents: DataFrame, preprocess=None) -> DataFrame:
     return documents.select("doc_id", words.alias("words"))
 
 
-def m_lexical_diversity(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    tok = tok if tok is not None else _tok(documents)
-    mt = doc_words(documents).select("doc_id", mtld_udf(C("words")).alias("mtld"))
-    d = _join(doc_counts(tok), form_level(tok), mt)
+@metric_key(M_LEXICAL_DIVERSITY, ("doc", "form", "lemma", "mtld"))
+def m_lexical_diversity() -> list[Column]:
     N, V = C("N"), C("V")
     honore = F.when((V > 0) & (C("V1") < V),
                     F.lit(100.0) * F.log(N.cast("double")) / (F.lit(1.0) - C("V1").cast("double") / V.cast("double")))
     maas = F.when((N > 1) & (V > 0), (F.log(N.cast("double")) - F.log(V.cast("double")))
                   / (F.log(N.cast("double")) * F.log(N.cast("double"))))
-    out = d.select(
-        "doc_id",
+    return [
         safe_div(C("adj"), N).alias("adj_density"), safe_div(C("V_adj"), C("adj")).alias("adj_ttr"),
         safe_div(C("adv"), N).alias("adv_density"), safe_div(C("V_adv"), C("adv")).alias("adv_ttr"),
         safe_div(C("V_content"), C("content_n")).alias("content_ttr"),
@@ -425,19 +453,16 @@ def m_lexical_diversity(documents: DataFrame, tok: DataFrame | None = None) -> D
         safe_div(C("V_noun"), C("noun")).alias("nttr"),
         safe_div(V, N).alias("simple_ttr"),
         safe_div(C("verb"), N).alias("verb_density"),
-        safe_div(C("V_verb"), C("verb")).alias("vttr"),
-    )
-    return finish(out, M_LEXICAL_DIVERSITY)
+        safe_div(C("V_verb"), C("verb")).alias("vttr")]
 
 
 M_READABILITY = ["flesch"]
 
 
-def m_readability(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    d = doc_counts(tok if tok is not None else _tok(documents))
+@metric_key(M_READABILITY, ("doc",))
+def m_readability() -> list[Column]:
     syl, n, s = C("syl_s"), C("N"), C("S")
-    out = d.select("doc_id", F.when(C("lang") == "es", _huerta(syl, n, s)).otherwise(_flesch_en(syl, n, s)).alias("flesch"))
-    return finish(out, M_READABILITY)
+    return [F.when(C("lang") == "es", _huerta(syl, n, s)).otherwise(_flesch_en(syl, n, s)).alias("flesch")]
 
 
 M_SYNTAX = ["gerund_incidence", "infinitive_incidence", "left_embeddedness", "mean_depth_per_sentence",
@@ -446,18 +471,10 @@ M_SYNTAX = ["gerund_incidence", "infinitive_incidence", "left_embeddedness", "me
             "num_punct_marks_per_sentence", "num_subord_incidence", "verb_phrase_density_incidence"]
 
 
-def m_syntax(documents: DataFrame, tok: DataFrame | None = None, depth: DataFrame | None = None) -> DataFrame:
-    """``depth``: optional ``doc_id, mean_depth`` from a supplied parse (see ``syntax.mean_depth``)."""
-    tok = tok if tok is not None else _tok(documents)
-    punct = documents.select("doc_id", punct_count(C("text")).alias("punct"))
-    parts = [doc_counts(tok), sentence_level(tok), punct]
-    if depth is not None:
-        parts.append(depth.select("doc_id", C("mean_depth").alias("mean_depth_per_sentence")))
-    d = _join(*parts)
+def m_syntax_columns(has_depth: bool = False) -> list[Column]:
     N, S = C("N"), C("S")
-    md = C("mean_depth_per_sentence") if depth is not None else F.lit(None).cast("double")
-    out = d.select(
-        "doc_id",
+    md = C("mean_depth") if has_depth else F.lit(None).cast("double")
+    return [
         incidence(C("ger"), N).alias("gerund_incidence"), incidence(C("inf"), N).alias("infinitive_incidence"),
         safe_div(C("mv_s"), C("mv_n")).alias("left_embeddedness"),
         md.alias("mean_depth_per_sentence"),
@@ -470,8 +487,15 @@ def m_syntax(documents: DataFrame, tok: DataFrame | None = None, depth: DataFram
         safe_div(C("punct"), S).alias("num_punct_marks_per_sentence"),
         incidence(C("sconj"), N).alias("num_subord_incidence"),
         incidence(C("VP"), N).alias("verb_phrase_density_incidence"),
-    )
-    return finish(out, M_SYNTAX)
+    ]
+
+
+def m_syntax(documents: DataFrame, tok: DataFrame | None = None, depth: DataFrame | None = None) -> DataFrame:
+    """``depth``: optional ``doc_id, mean_depth`` from a supplied parse; without it the depth metric is 0."""
+    d = base(documents, tok, ("doc", "sent", "punct"))
+    if depth is not None:
+        d = d.join(depth.select("doc_id", "mean_depth"), "doc_id", "left")
+    return finish(d.select("doc_id", *m_syntax_columns(depth is not None)), M_SYNTAX)
 
 
 M_MORPHOLOGY = ["num_adj_incidence", "num_adv_incidence", "num_first_pers_pron_incidence",
@@ -482,11 +506,10 @@ M_MORPHOLOGY = ["num_adj_incidence", "num_adv_incidence", "num_first_pers_pron_i
                 "ratio_proper_nouns_per_nouns"]
 
 
-def m_morphology(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-    d = doc_counts(tok if tok is not None else _tok(documents))
+@metric_key(M_MORPHOLOGY, ("doc",))
+def m_morphology() -> list[Column]:
     N = C("N")
-    out = d.select(
-        "doc_id",
+    return [
         incidence(C("adj"), N).alias("num_adj_incidence"), incidence(C("adv"), N).alias("num_adv_incidence"),
         incidence(C("prs1"), N).alias("num_first_pers_pron_incidence"),
         incidence(C("prs1s"), N).alias("num_first_pers_sing_pron_incidence"),
@@ -499,9 +522,7 @@ def m_morphology(documents: DataFrame, tok: DataFrame | None = None) -> DataFram
         incidence(C("propn"), N).alias("num_proper_noun_incidence"),
         incidence(C("prs3"), N).alias("num_third_pers_pron_incidence"),
         incidence(C("verb"), N).alias("num_verb_incidence"),
-        safe_div(C("propn"), C("noun") + C("propn")).alias("ratio_proper_nouns_per_nouns"),
-    )
-    return finish(out, M_MORPHOLOGY)
+        safe_div(C("propn"), C("noun") + C("propn")).alias("ratio_proper_nouns_per_nouns")]
 
 
 LIGHT = C_DESCRIPTIVE + C_LEXICAL_DIVERSITY + C_READABILITY
@@ -512,7 +533,7 @@ def light_matrix(documents: DataFrame, tok: DataFrame | None = None, raw: bool =
 
     ``raw=True`` keeps nulls (before the P5 rule).
     """
-    d = doc_counts(tok if tok is not None else _tok(documents))
+    d = base(documents, tok, ("doc", "form"))
     N, S, P = C("N"), C("S"), C("P")
     pl, pld = mean_std(P, S, C("para_q"))
     sl, sld = mean_std(S, N, C("sent_q"))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_div
+from ..session import stored
 from . import annotate as A
 from .metrics import finish
 
@@ -80,7 +81,7 @@ def _items(tok: DataFrame) -> DataFrame:
 
 def pair_stats(tok: DataFrame) -> DataFrame:
     """Per document and kind: overlapping adjacent / earlier pair counts; Dice sums."""
-    items = _items(tok)
+    items = stored(_items(tok))  # read by the mask side, the query side and the sizes
     masks = (items.withColumn("chunk", F.floor(C("sent_id") / BLOCK).cast("int"))
              .groupBy("doc_id", "kind", "mkey", "chunk")
              .agg(F.bit_or(F.expr(f"shiftleft(1L, sent_id % {BLOCK})")).alias("mask")))
@@ -137,12 +138,36 @@ def _mean_std_pairs(s: Column, q: Column, m: Column) -> tuple[Column, Column]:
     return mean, std
 
 
+def sentence_counts(tok: DataFrame) -> DataFrame:
+    """Kept sentences per document, those without words too."""
+    return tok.groupBy("doc_id").agg(
+        F.count_if(C("sent_id").isNotNull() & (C("tok_id").isNull() | (C("tok_id") == 0))).alias("S_all"))
+
+
+def adjacent_cohesion(tok: DataFrame) -> DataFrame:
+    """The adjacent-sentence metrics alone: each item is looked up in the sentence before, no pair masks."""
+    items = stored(_items(tok))
+    before = items.select("doc_id", "kind", C("mkey").alias("key"), (C("sent_id") + 1).alias("j")).distinct()
+    here = items.select("doc_id", "kind", C("qkey").alias("key"), C("sent_id").alias("j")).distinct()
+    k = here.join(before, ["doc_id", "kind", "key", "j"]).groupBy("doc_id", "j").agg(
+        *[F.count_if(C("kind") == x).alias(x) for x in ("noun", "arg", "stem", "anp", "cw")])
+    sizes = items.groupBy("doc_id", "sent_id").agg(F.count_if(C("kind") == "cw").alias("n"))
+    own = sizes.select("doc_id", C("sent_id").alias("j"), C("n").alias("nj"))
+    previous = sizes.select("doc_id", (C("sent_id") + 1).alias("j"), C("n").alias("ni"))
+    dice = F.when(C("cw") > 0, 2.0 * C("cw") / (C("ni") + C("nj"))).otherwise(0.0)
+    per_doc = k.join(own, ["doc_id", "j"]).join(previous, ["doc_id", "j"]).groupBy("doc_id").agg(
+        *[F.count_if(C(x) > 0).alias(x) for x in ("noun", "arg", "stem", "anp")], F.sum(dice).alias("cw_s"))
+    m = C("S_all").cast("long") - 1
+    return sentence_counts(tok).join(per_doc, "doc_id", "left").select("doc_id", *[
+        safe_div(F.coalesce(C(x), F.lit(0)), m).alias(name)
+        for x, name in (("noun", "CRFNO1"), ("arg", "CRFAO1"), ("stem", "CRFSO1"), ("cw_s", "CRFCWO1"), ("anp", "CRFANP1"))])
+
+
 def cohesion(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
     """All referential-cohesion values per document (family C names)."""
     tok = tok if tok is not None else A.tokens(documents)
-    s = (A.sentences(documents).groupBy("doc_id").agg(F.count("sent_id").alias("S")))
-    d = s.join(pair_stats(tok), "doc_id", "left")
-    S = C("S").cast("long")
+    d = sentence_counts(tok).join(pair_stats(tok), "doc_id", "left")
+    S = C("S_all").cast("long")
     m_adj, m_all = S - 1, S * (S - 1) / 2
 
     def z(c):

@@ -10,7 +10,6 @@ read that table, as the reference's trainers read its written matrices.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,55 +18,35 @@ from ..operators import annotate as A
 from ..operators import frequency as FQ
 from ..operators import metrics as M
 from ..operators import pairs as PR
+from ..session import stored
 from ..sources import corpus as CO
-from ..sources import io as IO
 
 C = F.col
-MATRIX_VERSION = "2"
 
 C_KEYS = [M.c_descriptive, M.c_word_information, M.c_pattern_density, M.c_syntactic_complexity,
           M.c_connectives, M.c_lexical_diversity, M.c_readability]
-M_KEYS = [M.m_connectives, M.m_descriptive, M.m_lexical_diversity, M.m_readability, M.m_syntax,
-          M.m_morphology, FQ.m_semantics]
+M_KEYS = [M.m_connectives, M.m_descriptive, M.m_lexical_diversity, M.m_readability, M.m_morphology]
 
 
 def full_matrix(documents: DataFrame, corpus: DataFrame | None = None, tok: DataFrame | None = None) -> DataFrame:
-    """All 146 metrics per document.  ``corpus`` (default: ``documents``) defines word frequencies."""
-    tok = tok if tok is not None else A.tokens(documents)
-    vocab_tok = tok if corpus is None else A.tokens(corpus)
-    parts = [fn(documents, tok=tok) for fn in C_KEYS + M_KEYS]
-    parts.append(FQ.m_word_frequency(documents, tok=tok, vocab=FQ.vocabulary(vocab_tok)))
-    coh = PR.cohesion(documents, tok)
-    parts.append(M.finish(coh, PR.C_REFERENTIAL_COHESION))
-    parts.append(M.finish(coh.select("doc_id", *[C(c).alias(m) for m, c in PR.M_FROM_C.items()]),
-                          PR.M_REFERENTIAL_COHESION))
-    return combine(parts, [m for _, _, m, _ in G.group_rows()])
-
+    """All 146 metrics per document.  ``corpus`` (default: ``documents``) defines word frequencies.
 
-def combine(parts: list[DataFrame], order: list[str]) -> DataFrame:
-    """Align per-key results on ``doc_id``: union, then one ``groupBy(doc_id)``.
-
-    Each metric column is non-null in exactly one part, so ``max`` picks it (and
-    keeps NaN).  One hash aggregate replaces a chain of ~20 sort-merge joins whose
-    sorters would all live in the same task.
+    Every per-document frame is computed once and joined on ``doc_id``; all keys are columns over that join.
     """
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
-    return u.groupBy("doc_id").agg(*[F.max(m).alias(m) for m in order]).select("doc_id", *order)
-
-
-def matrix_path(spark: SparkSession, sf_dir: str, subset: str) -> str:
-    return IO.shared_path(spark, "features", IO.run_key(sf_dir, subset, MATRIX_VERSION))
+    tok = tok if tok is not None else A.tokens(documents)
+    vocab = stored(FQ.vocabulary(tok if corpus is None else A.tokens(corpus)))
+    order = [m for _, _, m, _ in G.group_rows()]
+    wide = M.base(documents, tok, ("doc", "sent", "form", "lemma", "conn", "punct", "mtld"))
+    for part in (FQ.frequency_level(tok, vocab), FQ.semantic_level(tok), PR.cohesion(documents, tok)):
+        wide = wide.join(part, "doc_id", "left")
+    columns = [c for key in C_KEYS + M_KEYS for c in key.columns()]
+    columns += M.m_syntax_columns() + FQ.m_word_frequency_columns() + [C(m) for m in FQ.M_SEMANTICS + PR.C_REFERENTIAL_COHESION]
+    columns += [C(c).alias(m) for m, c in PR.M_FROM_C.items()]
+    return M.finish(wide.select("doc_id", *columns), order)
 
 
 def compute_and_save_metrics(spark: SparkSession, sf_dir: str, subset: str = "labelled") -> DataFrame:
-    """Write the matrix of ``subset`` (``labelled`` or ``all`` documents) once; return it from storage."""
-    path = matrix_path(spark, sf_dir, subset)
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        pass
+    """The matrix of ``subset`` (``labelled`` or ``all`` documents), written under a path of this run and read back."""
     docs = CO.read_documents(spark, sf_dir)
     target = docs
     if subset == "labelled":
@@ -75,10 +54,9 @@ def compute_and_save_metrics(spark: SparkSession, sf_dir: str, subset: str = "la
         target = docs.join(lab, "doc_id", "left_semi")
     tok = A.tokens(target).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        full_matrix(target, corpus=docs, tok=tok).write.mode("overwrite").parquet(path)
+        return stored(full_matrix(target, corpus=docs, tok=tok))
     finally:
         tok.unpersist()
-    return spark.read.parquet(path)
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:

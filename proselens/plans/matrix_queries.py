@@ -20,6 +20,7 @@ from ..operators import pairs as PR
 from ..session import table_path
 from ..sources import corpus as CO
 from ..sources import io as IO
+from . import jobs
 from . import oracle as O
 
 C = F.col
@@ -105,12 +106,34 @@ def q_join_metric_group(spark, sf_dir):
     return long_grouped(spark, sf_dir).select("doc_id", "group", "metric", "value")
 
 
+def full_long(spark, sf_dir) -> DataFrame:
+    """All 146 metrics of both families for every document, long, with their groups."""
+    wide = jobs.full_matrix(_docs(spark, sf_dir))
+    groups = MX.group_map(spark)
+    return MX.to_long(wide, [r[2] for r in G.group_rows()]).join(
+        F.broadcast(groups.select("metric", "family", "group", "pos")), "metric")
+
+
 def q_collect_group_metrics(spark, sf_dir):
-    return MX.collect_group_metrics(long_grouped(spark, sf_dir))
+    """A1 over both maps: the metric list of all 17 groups, and the values seen."""
+    return MX.collect_group_metrics(full_long(spark, sf_dir), by=["family"])
+
+
+def group_names(spark, sf_dir) -> DataFrame:
+    """A2 over both maps, on the group column attached to the values of the light matrix's documents."""
+    ids = _read(spark, sf_dir, "documents").select("doc_id")
+    # one narrow row per document and group: the distinct is combined before its exchange
+    return MX.distinct_groups(ids.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("family"), F.lit(g).alias("group"))
+        for f in ("coh_metrix", "multiazter") for g in G.groups_of(f)])).alias("x")).select("x.*"), by=["family"])
 
 
 def q_distinct_groups(spark, sf_dir):
-    return MX.distinct_groups(long_grouped(spark, sf_dir))
+    return group_names(spark, sf_dir)
+
+
+def q_lower_group(spark, sf_dir):
+    return group_names(spark, sf_dir).select("family", "group", T.lower_group(C("group")).alias("group_lower"))
 
 
 def q_filter_group(spark, sf_dir):
@@ -126,9 +149,8 @@ def q_assemble_features(spark, sf_dir):
 
 
 def q_run_name(spark, sf_dir):
-    g = MX.distinct_groups(long_grouped(spark, sf_dir))
-    return g.select("group", T.lower_group(C("group")).alias("group_lower"),
-                    T.run_name(F.lit(FAMILY), T.lower_group(C("group"))).alias("run_name"))
+    g = group_names(spark, sf_dir)
+    return g.select("family", "group", T.run_name(C("family"), T.lower_group(C("group"))).alias("run_name"))
 
 
 def q_join_features(spark, sf_dir):
@@ -171,12 +193,16 @@ def _payload(spark, sf_dir):
 
 def q_split_marker(spark, sf_dir):
     p, _ = _payload(spark, sf_dir)
-    return p.select("batch", T.split_marker(C("raw"), IO.MARKER).alias("json"))
+    j = T.split_marker(C("raw"), IO.MARKER)
+    # number formats differ between engines: the array's outline and the whole numbers are compared
+    return p.select("batch", F.substring(j, 1, 11).alias("head"), F.right(j, F.lit(2)).alias("tail"),
+                    F.regexp_count(j, F.lit("doc_id")).alias("n_records"), (F.instr(j, IO.MARKER) == 0).alias("marker_gone"))
 
 
 def q_json_to_map(spark, sf_dir):
     p, _ = _payload(spark, sf_dir)
-    return IO.scan_metric_payload(p).select("batch", "pos", F.size("m").alias("n_keys"))
+    return IO.scan_metric_payload(p).select("batch", "pos", F.map_keys("m").alias("keys"),
+                                            C("m")["doc_id"].cast("long").alias("doc_id"), C("m")["DESWC"].alias("DESWC"))
 
 
 def q_scan_metric_payload(spark, sf_dir):
@@ -216,7 +242,7 @@ ALL_KEYS = ["CRFNOa", "CRFAOa", "CRFSOa", "CRFCWOa", "CRFANPa"]
 
 
 def q_adjacent_sentence(spark, sf_dir):
-    return PR.c_referential_cohesion(_docs(spark, sf_dir)).select("doc_id", *ADJ_KEYS)
+    return M.finish(PR.adjacent_cohesion(A.tokens(_docs(spark, sf_dir))), ADJ_KEYS)
 
 
 def q_sentence_pair_join(spark, sf_dir):
@@ -231,7 +257,7 @@ QUERIES = {
     "join_metric_group": q_join_metric_group, "collect_group_metrics": q_collect_group_metrics,
     "distinct_groups": q_distinct_groups, "filter_group": q_filter_group,
     "project_group_columns": q_project_group_columns, "assemble_features": q_assemble_features,
-    "lower_group": q_run_name, "run_name": q_run_name, "join_features": q_join_features,
+    "lower_group": q_lower_group, "run_name": q_run_name, "join_features": q_join_features,
     "join_labels": q_join_labels, "union_batches": q_union_batches, "row_index": q_row_index,
     "scan_group_map": q_scan_group_map, "split_marker": q_split_marker, "json_to_map": q_json_to_map,
     "scan_metric_payload": q_scan_metric_payload, "null_to_zero": q_scan_metric_payload,
@@ -262,6 +288,10 @@ def _gm_values() -> str:
     return f"gm(pos, metric, grp) AS (VALUES {', '.join(rows)})"
 
 
+_BOTH = "both_maps(family, pos, metric, grp) AS (VALUES " + ", ".join(
+    f"({O._q(f)}, {p}, {O._q(m)}, {O._q(g)})" for f, p, m, g in G.group_rows()) + ")"
+
+
 def _long() -> str:
     unp = " UNION ALL ".join(f"SELECT doc_id, '{m}' AS metric, {m} AS value FROM lw" for m in M.LIGHT)
     return _light_ctes() + f",\n{_gm_values()},\nlg AS (SELECT l.doc_id, gm.grp, l.metric, l.value, gm.pos FROM ({unp}) l JOIN gm USING (metric))"
@@ -297,15 +327,17 @@ ORACLE = {
     "sink_metric_matrix": _light_ctes() + f"\nSELECT doc_id, {_LIGHT_OUT} FROM lw",
     "scan_metric_matrix": _light_ctes() + f"\nSELECT doc_id, {_LIGHT_OUT} FROM lw",
     "join_metric_group": _long() + "\nSELECT doc_id, grp AS \"group\", metric, " + _r("value") + " AS value FROM lg",
-    "collect_group_metrics": _long() + "\nSELECT grp AS \"group\", list(metric ORDER BY pos) AS metrics, "
-                                       "sum(n)::BIGINT AS n_values FROM (SELECT grp, metric, pos, count(value) AS n "
-                                       "FROM lg GROUP BY grp, metric, pos) GROUP BY grp",
-    "distinct_groups": _long() + "\nSELECT DISTINCT grp AS \"group\" FROM lg",
+    "collect_group_metrics": f"WITH {_BOTH}, n AS (SELECT count(*) AS n FROM documents)\nSELECT family, grp AS \"group\", "
+                             "list(metric ORDER BY pos) AS metrics, (count(*) * (SELECT n FROM n))::BIGINT AS n_values "
+                             "FROM both_maps GROUP BY family, grp",
+    "distinct_groups": f"WITH {_BOTH}\nSELECT DISTINCT family, grp AS \"group\" FROM both_maps WHERE EXISTS (SELECT 1 FROM documents)",
     "filter_group": _long() + "\nSELECT doc_id, metric, " + _r("value") + " AS value FROM lg WHERE grp = 'LEXICAL DIVERSITY'",
     "project_group_columns": _light_ctes() + f"\nSELECT doc_id, {_DESC_OUT} FROM lw",
     "assemble_features": _light_ctes() + f"\nSELECT doc_id, {_rl(_DESC_LIST)} AS features FROM lw",
-    "lower_group": _long() + f"\nSELECT DISTINCT grp AS \"group\", lower(grp) AS group_lower, '{FAMILY}_' || lower(grp) AS run_name FROM lg",
-    "run_name": _long() + f"\nSELECT DISTINCT grp AS \"group\", lower(grp) AS group_lower, '{FAMILY}_' || lower(grp) AS run_name FROM lg",
+    "lower_group": f"WITH {_BOTH}\nSELECT DISTINCT family, grp AS \"group\", lower(grp) AS group_lower FROM both_maps "
+                   "WHERE EXISTS (SELECT 1 FROM documents)",
+    "run_name": f"WITH {_BOTH}\nSELECT DISTINCT family, grp AS \"group\", family || '_' || lower(grp) AS run_name FROM both_maps "
+                "WHERE EXISTS (SELECT 1 FROM documents)",
     "join_features": _light_ctes() + "\nSELECT lw.doc_id, " + _rl(
         "list_concat(list_transform(e.embedding, lambda v: v::DOUBLE), [" + ", ".join(M.LIGHT) + "])")
                      + " AS features FROM embeddings e JOIN lw ON lw.doc_id = e.vec_id",
@@ -317,6 +349,11 @@ ORACLE = {
     "scan_group_map": _long() + ",\ncov AS (SELECT metric, count(*) FILTER (WHERE value <> 0) AS n FROM lg GROUP BY metric)\n"
                                 "SELECT gm.metric, gm.grp AS \"group\", coalesce(cov.n, 0)::BIGINT AS n_nonzero "
                                 "FROM gm LEFT JOIN cov USING (metric)",
+    "split_marker": "SELECT (doc_id // " + str(PAYLOAD_BATCH) + ")::BIGINT AS batch, '[{\"doc_id\":' AS head, '}]' AS tail, "
+                    "count(*)::INT AS n_records, TRUE AS marker_gone FROM documents GROUP BY 1",
+    "json_to_map": _light_ctes() + f"\nSELECT (doc_id // {PAYLOAD_BATCH})::BIGINT AS batch, "
+                   f"(row_number() OVER (PARTITION BY doc_id // {PAYLOAD_BATCH} ORDER BY doc_id) - 1)::INT AS pos, "
+                   "['doc_id', 'DESWC', 'RDFHGL', 'LDTTRcw'] AS keys, doc_id, " + _r("DESWC") + " AS DESWC FROM lraw",
     "scan_metric_payload": _light_ctes() + "\nSELECT doc_id, " + ", ".join(
         f"{_r(f'coalesce({m}, 0.0)')} AS {m}" for m in ("DESWC", "RDFHGL", "LDTTRcw")) + " FROM lraw",
     "embeddings_roundtrip": "",

@@ -46,7 +46,7 @@ def test_ttr_bounds_and_self_concatenation(spark):
     from conftest import docs_df
     t = "Alpha beta gamma. Beta delta alpha epsilon."
     d = docs_df(spark, [(1, "en", t), (2, "en", t + " " + t)])
-    r = {x["doc_id"]: x for x in M.doc_counts(__import__("proselens.operators.annotate", fromlist=["x"]).tokens(d)).collect()}
+    r = {x["doc_id"]: x for x in M.base(d, None, ("doc", "form")).collect()}
     assert r[1]["V"] == r[2]["V"]
     lex = {x["doc_id"]: x for x in M.c_lexical_diversity(d).collect()}
     assert 0 < lex[1]["LDTTRa"] <= 1
