@@ -10,6 +10,8 @@ from hypothesis import strategies as st
 
 from proselens.llm import bpe as B
 
+from tables import table  # noqa: F401
+
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 with open(PATH, "rb") as f:

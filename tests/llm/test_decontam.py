@@ -4,6 +4,8 @@ import random
 
 from proselens.llm import decontam as D
 
+from tables import table  # noqa: F401
+
 ITEMS = "item_id long, text string, doc_id long, distance int"
 
 

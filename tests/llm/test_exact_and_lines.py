@@ -9,6 +9,8 @@ import pytest
 from proselens.llm import exact_dedup as E
 from proselens.llm import line_dedup as L
 
+from tables import table  # noqa: F401
+
 ROWS = [(5, "a"), (1, "a"), (9, "a"), (2, "b"), (3, None), (4, ""), (6, "A"), (7, "long " * 30_000), (8, "long " * 30_000),
         (10, "é"), (11, "é"), (12, "a "), *((100 + i, "hot") for i in range(300))]
 

@@ -7,6 +7,8 @@ import numpy as np
 
 from proselens.llm import jaccard_join as J
 
+from tables import table  # noqa: F401
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

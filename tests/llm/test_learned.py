@@ -12,6 +12,8 @@ import pytest
 from proselens.llm import html as H
 from proselens.llm import learn, maxent, quality, toxicity
 
+from tables import table  # noqa: F401
+
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(None, "some text"), (900_001, None), (900_002, ""), (900_003, " \n "), (900_004, "word " * 40_000), (900_005, "x" * 100_000),

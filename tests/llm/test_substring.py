@@ -7,6 +7,8 @@ import pytest
 
 from proselens.llm import substring as S
 
+from tables import table  # noqa: F401
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
