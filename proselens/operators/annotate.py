@@ -135,12 +135,17 @@ def tag(words: DataFrame) -> DataFrame:
         ((rule == 0) & _in(key, L.keys_where(lambda u, f: f.get("Irregular") == "Yes"))).alias("irregular"),
         ((rule == 0) & _in(key, L.keys_where(lambda u, f: f.get("Polarity") == "Neg"))).alias("neg"),
         (rule == 0).alias("stop"),
-        F.when(form.isNotNull(), F.greatest(F.lit(1), F.when(F.col("lang") == "es", F.regexp_count(form, F.lit(L.SYLLABLE_ES)))
-                   .otherwise(F.regexp_count(form, F.lit(L.SYLLABLE_OTHER))))).alias("n_syll"),
+        syllables_of(form, F.col("lang")).alias("n_syll"),
         F.length(form).alias("n_char"),
     )
 
 
+def syllables_of(form: Column, lang: Column) -> Column:
+    """vowel groups of a form, one at least."""
+    return F.when(form.isNotNull(), F.greatest(F.lit(1), F.when(lang == "es", F.regexp_count(form, F.lit(L.SYLLABLE_ES)))
+                                               .otherwise(F.regexp_count(form, F.lit(L.SYLLABLE_OTHER)))))
+
+
 def tokens(documents: DataFrame, preprocess=None) -> DataFrame:
     """One tagged row per word of every kept sentence."""
     s = sentences(documents, preprocess)

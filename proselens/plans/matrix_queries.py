@@ -17,7 +17,7 @@ from ..operators import annotate as A
 from ..operators import matrix as MX
 from ..operators import metrics as M
 from ..operators import pairs as PR
-from ..session import table_path
+from ..session import new_path, table_path
 from ..sources import corpus as CO
 from ..sources import io as IO
 from . import jobs
@@ -97,7 +97,7 @@ def q_lexicon_join(spark, sf_dir):
 
 def q_metric_matrix_roundtrip(spark, sf_dir):
     """S3 then S2: write the matrix as CSV into the shared folder, read it back with a schema."""
-    path = IO.shared_path(spark, "matrix", IO.run_key(sf_dir, "light"))
+    path = new_path(spark, "matrix")
     IO.sink_metric_matrix(light(spark, sf_dir), path)
     return IO.scan_metric_matrix(spark, path, M.LIGHT)
 
@@ -216,17 +216,28 @@ def q_scan_metric_payload(spark, sf_dir):
 
 def q_embeddings_roundtrip(spark, sf_dir):
     """S6 then S5."""
-    path = IO.shared_path(spark, "embeddings", IO.run_key(sf_dir))
+    path = new_path(spark, "embeddings")
     IO.sink_embeddings(_read(spark, sf_dir, "embeddings"), path)
     e = IO.scan_embeddings(spark, path)
     return e.select("vec_id", C("embedding").cast("array<double>").alias("embedding"), "label")
 
 
+def _annotated(spark, sf_dir) -> DataFrame:
+    """Tokens rendered as CoNLL-U in the shared folder (HEAD: half the token's number) and read back."""
+    path = new_path(spark, "conllu")
+    head = F.floor((C("tok_id") + 1) / 2).cast("int")
+    IO.tokens_to_conllu(A.tokens(_docs(spark, sf_dir)), head).write.text(path)
+    return IO.scan_annotated_tokens(spark, path)
+
+
 def q_scan_annotated_tokens(spark, sf_dir):
-    """Tokens rendered as CoNLL-U text in the shared folder and read back."""
-    path = IO.shared_path(spark, "conllu", IO.run_key(sf_dir))
-    IO.tokens_to_conllu(A.tokens(_docs(spark, sf_dir))).write.mode("overwrite").text(path)
-    return IO.scan_annotated_tokens(spark, path).select("doc_id", "sent_id", "tok_id", "form", "lemma", "upos")
+    """Sentences are numbered in file order, so those without words do not count."""
+    return _annotated(spark, sf_dir).select("doc_id", "sent_id", "tok_id", "form", "lemma", "upos", "head")
+
+
+def q_mean_depth(spark, sf_dir):
+    """S10 to metrics: mean of the greatest depth of each sentence's parse."""
+    return IO.mean_depth(_annotated(spark, sf_dir))
 
 
 def q_phrase_islands(spark, sf_dir):
@@ -263,6 +274,7 @@ QUERIES = {
     "scan_metric_payload": q_scan_metric_payload, "null_to_zero": q_scan_metric_payload,
     "map_to_wide": q_scan_metric_payload, "scan_embeddings": q_embeddings_roundtrip,
     "sink_embeddings": q_embeddings_roundtrip, "scan_annotated_tokens": q_scan_annotated_tokens,
+    "mean_depth": q_mean_depth,
     "phrase_islands": q_phrase_islands, "adjacent_sentence": q_adjacent_sentence,
     "sentence_pair_join": q_sentence_pair_join,
 }
@@ -311,6 +323,9 @@ _DESC_LIST = "[" + ", ".join(DESCRIPTIVE) + "]"
 _TOK = O._with(O.token_ctes())
 _PAIR_LIGHT = O._with(O.token_ctes(), O.PAIR_AGG)
 
+_NUMBERED = """,
+num AS (SELECT *, (dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1)::INT AS s FROM tok WHERE form IS NOT NULL)"""
+
 ORACLE = {
     "scan_corpus_split": "SELECT d.doc_id, d.text, l.quality::INT AS label, 'train' AS split FROM documents d "
                          "JOIN labels l USING (doc_id) WHERE d.doc_id % 5 <> 0",
@@ -359,7 +374,14 @@ ORACLE = {
     "embeddings_roundtrip": "",
     "scan_embeddings": "SELECT vec_id, " + _rl("embedding") + " AS embedding, label FROM embeddings",
     "sink_embeddings": "SELECT vec_id, " + _rl("embedding") + " AS embedding, label FROM embeddings",
-    "scan_annotated_tokens": _TOK + "\nSELECT doc_id, sent_id, tok_id, form, lemma, upos FROM tok WHERE form IS NOT NULL",
+    "scan_annotated_tokens": _TOK + _NUMBERED + "\nSELECT doc_id, s AS sent_id, tok_id, form, lemma, upos, "
+                             "((tok_id + 1) // 2)::INT AS head FROM num",
+    "mean_depth": "WITH RECURSIVE " + _TOK.lstrip().removeprefix("WITH ") + _NUMBERED + """,
+walk(doc_id, s, tok, up, depth) AS (
+  SELECT doc_id, s, tok_id, (tok_id + 1) // 2, 1 FROM num
+  UNION ALL SELECT doc_id, s, tok, up // 2, depth + 1 FROM walk WHERE up > 0)
+SELECT doc_id, """ + _r("avg(m)") + """ AS mean_depth FROM (
+  SELECT doc_id, s, max(depth) AS m FROM walk WHERE up = 0 GROUP BY doc_id, s) GROUP BY doc_id""",
     "phrase_islands": O._with(O.token_ctes(), O.DOC_AGG, O.SENT_AGG) + "\nSELECT d.doc_id, coalesce(np.k, 0)::BIGINT AS n_np, "
                       "coalesce(vp.k, 0)::BIGINT AS n_vp, coalesce(np.len, 0)::BIGINT AS np_tokens "
                       "FROM d LEFT JOIN np USING (doc_id) LEFT JOIN vp USING (doc_id)",

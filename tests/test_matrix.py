@@ -42,3 +42,43 @@ def test_project_group_columns_missing_raises(spark):
     df = spark.createDataFrame([(1, 2.0)], "doc_id long, DESPC double")
     with pytest.raises(KeyError):
         MX.project_group_columns(df, ["DESPC", "DESSC"])
+
+
+CONLLU = """# newdoc id = 7
+# newpar
+# sent_id = a
+1-2\tdon't\t_\t_\t_\t_\t_\t_\t_\t_
+1\tDo\tdo\tAUX\t_\tMood=Ind|VerbForm=Fin\t3\taux\t_\t_
+2\tn't\tnot\tPART\t_\tPolarity=Neg\t3\tadvmod\t_\t_
+3\trun\trun\tVERB\t_\tMood=Imp\t0\troot\t_\t_
+3.1\tempty\t_\t_\t_\t_\t_\t_\t_\t_
+
+# sent_id = b
+1\tCats\tcat\tNOUN\t_\tNumber=Plur\t2\tnsubj\t_\t_
+2\tsleep\tsleep\tVERB\t_\t_\t0\troot\t_\t_
+
+# newdoc id = name
+1\tA\ta\tX\t_\t_\t2\t_\t_\t_
+2\tB\tb\tX\t_\t_\t1\t_\t_\t_
+3\tC\tc\tX\t_\t_\t4\t_\t_\t_
+4\tD\td\tX\t_\t_\t5\t_\t_\t_
+5\tE\te\tX\t_\t_\t0\t_\t_\t_
+"""
+
+
+def test_conllu_to_metrics(spark, tmp_path):
+    from proselens.operators import metrics as M
+    (tmp_path / "x.conllu").write_text(CONLLU)
+    t = IO.scan_annotated_tokens(spark, str(tmp_path), lang="en").cache()
+    rows = sorted(((r.sent_id, r.tok_id, r.form, r.lemma, r.upos, r.head, r.neg, r.mood) for r in t.where("doc_id = 7").collect()))
+    assert rows == [(0, 0, "do", "do", "AUX", 3, False, "Ind"), (0, 1, "n't", "not", "PART", 3, True, None),
+                    (0, 2, "run", "run", "VERB", 0, False, "Imp"), (1, 0, "cats", "cat", "NOUN", 2, False, None),
+                    (1, 1, "sleep", "sleep", "VERB", 0, False, None)]
+    depth = {r.doc_id: r.mean_depth for r in IO.mean_depth(t).collect()}
+    other = next(i for i in depth if i != 7)
+    assert depth[7] == 2.0 and depth[other] == 3.0  # the cycle of the first two tokens does not count
+    docs = spark.createDataFrame([(7, "en", "Don't run. Cats sleep."), (other, "en", "")], "doc_id long, lang string, text string")
+    syntax = {r.doc_id: r for r in M.m_syntax(docs, tok=t, depth=IO.mean_depth(t)).collect()}
+    assert syntax[7].mean_depth_per_sentence == 2.0 and syntax[7].mean_propositions_per_sentence == 1.0
+    words = {r.doc_id: r for r in M.c_descriptive(docs, tok=t).collect()}
+    assert (words[7].DESWC, words[7].DESSC, words[7].DESPC) == (5.0, 2.0, 1.0)
