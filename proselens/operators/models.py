@@ -24,8 +24,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, MinMaxScaler, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import evaluate as E
 from . import linear as LN
+from . import network as NW
 
 C = F.col
 K_FOLDS = 5
@@ -48,7 +48,6 @@ RF_SPACE = {"numTrees": list(range(20, 250, 10)), "impurity": ["gini", "entropy"
             "featureSubsetStrategy": ["sqrt", "log2"], "maxDepth": [1, 2]}
 GBT_SMALL_SPACE = {"maxDepth": [1, 2], "maxIter": list(range(20, 250, 10)), "stepSize": [0.1, 0.01, 0.05]}
 RANDOM_ITER = 10
-MLP_HIDDEN = (100, 50)
 
 
 def with_vector(df: DataFrame, cols: list[str] | None, array_col: str | None = None, out: str = "raw") -> DataFrame:
@@ -277,26 +276,15 @@ def predict(model_path: str, table: DataFrame, cols: list[str] | None = None, ar
 
 # --------------------------------------------------------------------------- L10, L11: small network
 
-def train_mlp(table: DataFrame, array_col: str, max_iter: int = 100, block: int = 64, seed: int = SEED):
-    """Z-score (A4, fitted on training rows) + dense 100-50 network.
+def train_mlp(table: DataFrame, array_col: str, epochs: int = 100, patience: int | None = 5, seed: int = SEED):
+    """Z-score (A4, fitted on training rows) + dense 100-50 network with validation early stopping.
 
-    Spark's network has sigmoid hidden layers, a softmax output and L-BFGS; the
-    reference's ReLU/Adam net with validation early stopping is approximated by
-    ``max_iter`` and the tolerance.  Returns (model, scored frame, loss history).
+    Returns (network with its history, scored frame ``doc_id, split, label, p, prediction``).
     """
-    z = E.zscore_scale(table, array_col, C("split") == "train", "z")
-    d = z.select("doc_id", C("label").cast("double").alias("label"), "split", array_to_vector("z").alias("features"))
-    n_feat = len(table.select(array_col).first()[0])
-    mlp = MultilayerPerceptronClassifier(layers=[n_feat, *MLP_HIDDEN, 2], maxIter=max_iter, blockSize=block, seed=seed)
-    model = mlp.fit(d.where(C("split") == "train"))
-    scored = model.transform(d).select("doc_id", "split", C("label").cast("int").alias("label"),
-                                       vector_to_array("probability")[1].alias("p"),
-                                       C("prediction").cast("int").alias("prediction"))
-    summ = None
-    if model.hasSummary:
-        summ = model.summary() if callable(model.summary) else model.summary
-    history = list(summ.objectiveHistory) if summ is not None else []
-    return model, scored, history
+    z = E.zscore_scale(table, array_col, C("split") == "train", "z").select("doc_id", C("label").cast("int").alias("label"), "split", "z") \
+        .coalesce(max(1, table.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
+    network = NW.train_network(z.where(C("split") == "train"), "z", epochs=epochs, patience=patience, seed=seed)
+    return network, NW.score_network(z, network, "z")
 
 
 # --------------------------------------------------------------------------- L19-L21: text and vectors

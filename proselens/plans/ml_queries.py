@@ -143,31 +143,49 @@ def q_train_embedding_metrics(spark, sf_dir):
     return _rows(spark, rows, ML.RESULT_SCHEMA_BEST)
 
 
-def _mlp_rows(spark, sf_dir, family, group, max_iter, run):
-    t = _emb_table(spark, sf_dir, family, group)
-    _, scored, hist = ML.train_mlp(t, "x", max_iter=max_iter)
-    f = E.macro_f1(scored, by=["split"]).collect()
-    s = {r["split"]: float(r["macro_f1"]) for r in f}
-    return [(run, "mlp", s.get("train"), s.get("test"))], hist
+def _network(spark, sf_dir, family, group, epochs, patience):
+    return ML.train_mlp(_emb_table(spark, sf_dir, family, group), "x", epochs=epochs, patience=patience)
+
+
+def _split_scores(spark, run, scored):
+    s = {r["split"]: float(r["macro_f1"]) for r in E.macro_f1(scored, by=["split"]).collect()}
+    return _rows(spark, [(run, "mlp", s.get("train"), s.get("test"))])
+
+
+def _history(spark, run, network):
+    return spark.createDataFrame([(run, e, float(t), float(v)) for e, t, v in network.history],
+                                 "run string, epoch int, train_loss double, loss double")
 
 
 def q_train_mlp(spark, sf_dir):
-    """Embeddings + extra features (family C descriptive) -> network, 100 iterations."""
-    rows, _ = _mlp_rows(spark, sf_dir, "coh_metrix", "DESCRIPTIVE", 100, "berta_descriptive")
-    return _rows(spark, rows)
+    """The losses of every epoch on embeddings + extra features (family C descriptive), early stopping."""
+    network, _ = _network(spark, sf_dir, "coh_metrix", "DESCRIPTIVE", 100, 5)
+    return _history(spark, "berta_descriptive", network)
+
+
+def q_train_embedding_extra(spark, sf_dir):
+    """Macro-F1 of the network of L10 on both splits."""
+    return _split_scores(spark, "berta_descriptive", _network(spark, sf_dir, "coh_metrix", "DESCRIPTIVE", 100, 5)[1])
 
 
 def q_train_mlp_fixed(spark, sf_dir):
-    """Embeddings + family M -> network, 20 iterations."""
-    rows, _ = _mlp_rows(spark, sf_dir, "multiazter", None, 20, "berta_multiazter")
-    return _rows(spark, rows)
+    """The losses of 20 epochs on embeddings + family M, no early stopping."""
+    network, _ = _network(spark, sf_dir, "multiazter", None, 20, None)
+    return _history(spark, "berta_multiazter", network)
+
+
+def q_train_embedding_metrics_mlp(spark, sf_dir):
+    """Macro-F1 of the network of L11 on both splits."""
+    return _split_scores(spark, "berta_multiazter", _network(spark, sf_dir, "multiazter", None, 20, None)[1])
+
+
+N_EPOCHS = 40
 
 
 def q_early_stop_epoch(spark, sf_dir):
-    """O3 over the loss history of the network of L10."""
-    _, hist = _mlp_rows(spark, sf_dir, "coh_metrix", "DESCRIPTIVE", 100, "berta_descriptive")
-    h = spark.createDataFrame([("berta_descriptive", i, float(v)) for i, v in enumerate(hist)],
-                              "run string, epoch int, loss double")
+    """O3 over histories made from the documents: run = language, epoch = doc_id mod 40, loss = mean length."""
+    d = spark.read.parquet(table_path(sf_dir, "documents"))
+    h = d.groupBy(C("lang").alias("run"), (C("doc_id") % N_EPOCHS).cast("int").alias("epoch")).agg(F.avg("n_chars").alias("loss"))
     return E.early_stop_epoch(h, patience=5)
 
 
@@ -225,8 +243,19 @@ QUERIES = {
     "train_models": q_train_models, "train_families": q_train_families, "train_groups": q_train_groups,
     "model_store": q_model_store, "predict": q_predict, "sink_results": q_sink_results,
     "train_embedding_metrics": q_train_embedding_metrics, "train_mlp": q_train_mlp,
-    "train_embedding_extra": q_train_mlp, "train_mlp_fixed": q_train_mlp_fixed,
-    "train_embedding_metrics_mlp": q_train_mlp_fixed, "early_stop_epoch": q_early_stop_epoch,
+    "train_embedding_extra": q_train_embedding_extra, "train_mlp_fixed": q_train_mlp_fixed,
+    "train_embedding_metrics_mlp": q_train_embedding_metrics_mlp, "early_stop_epoch": q_early_stop_epoch,
     "embed_documents": q_embed_documents, "train_text_classifier": q_train_text_classifier,
     "score_classifier": q_score_classifier,
 }
+
+ORACLE = {
+    "early_stop_epoch": f"""
+WITH h AS (SELECT lang AS run, (doc_id % {N_EPOCHS})::INT AS epoch, avg(n_chars) AS loss FROM documents GROUP BY 1, 2),
+b AS (SELECT *, min(loss) OVER w AS best FROM h WINDOW w AS (PARTITION BY run ORDER BY epoch)),
+l AS (SELECT *, max(CASE WHEN loss <= best THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS last_best FROM b),
+s AS (SELECT run, min(epoch) AS stop FROM l WHERE epoch - last_best >= 5 GROUP BY run),
+k AS (SELECT l.* FROM l LEFT JOIN s USING (run) WHERE s.stop IS NULL OR epoch <= s.stop)
+SELECT run, arg_min(epoch, (loss, epoch)) AS best_epoch, round(min(loss)::DOUBLE, 6) AS best_loss, max(epoch) AS last_epoch
+FROM k GROUP BY run""",
+}

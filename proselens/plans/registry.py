@@ -80,4 +80,5 @@ def oracle_sql() -> dict[str, str]:
     out = {k: sql() for k, (_, sql) in METRIC_KEYS.items() if sql is not None}
     out.update(EQ.ORACLE)
     out.update(MQ.ORACLE)
+    out.update(MLQ.ORACLE)
     return out

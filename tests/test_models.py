@@ -115,3 +115,27 @@ def test_shuffle_is_a_permutation(spark):
     a = {r.doc_id: r.position for r in E.seeded_shuffle(t, seed=1).collect()}
     b = {r.doc_id: r.position for r in E.seeded_shuffle(t, seed=2).collect()}
     assert sorted(a.values()) == sorted(b.values()) == list(range(500)) and a != b
+
+
+def test_network_learns_and_stops_early(spark):
+    from proselens.operators import network as NW
+    rng = np.random.default_rng(1)
+    params = NW.started(4, (5, 3), 2)
+    x, y = rng.normal(size=(7, 4)), (rng.random(7) > 0.5).astype(float)
+    for k, g in enumerate(NW.gradients(params, x, y)):  # backpropagation against differences
+        at = tuple(0 for _ in g.shape)
+        old = params[k][at]
+        loss = []
+        for d in (1e-6, -1e-6):
+            params[k][at] = old + d
+            loss.append(NW._loss(NW.probability(params, x), y) / len(y))
+        params[k][at] = old
+        assert abs((loss[0] - loss[1]) / 2e-6 - g[at]) < 1e-5
+    t = separable(spark)
+    network, scored = ML.train_mlp(t, "x", epochs=60, patience=5)
+    assert E.macro_f1(scored.where("split = 'test'")).first()["macro_f1"] == 1.0
+    assert scored.count() == t.count()
+    values = [v for _, _, v in network.history]
+    assert network.best_epoch == int(np.argmin(values)) and len(values) <= min(60, network.best_epoch + 6)
+    fixed, _ = ML.train_mlp(t, "x", epochs=4, patience=None)
+    assert len(fixed.history) == 4 and fixed.best_epoch == 3
