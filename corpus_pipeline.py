@@ -29,12 +29,10 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated multi-line chunks are cut out; every document stays, with what is left of it."""
-    cut = line_dedup.line_dedup(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("_cut")) \
-        .dropDuplicates(["doc_id"])
-    text = F.coalesce("_cut", "text")
-    return docs.select(*COLUMNS).join(cut, "doc_id", "left").select(
-        "doc_id", text.alias("text"), "lang", "source",
-        F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_cut")).cast("long").alias("n_chars"))
+    cut = line_dedup.line_dedup(docs, carry=("lang", "source", "n_chars"))
+    # no filter on what the operator computes: it would be pushed below and evaluate the chunks again
+    length = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long")
+    return cut.select("doc_id", "text", "lang", "source", length.alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

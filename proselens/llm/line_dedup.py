@@ -50,9 +50,12 @@ def _chunk_at(k: Column) -> Column:
         F.array_join(F.slice("_lines", start + 1, F.col("_ends")[k] - start), "\n").alias("_chunk"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
+               carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``doc_id, text, n_lines, n_removed`` with later copies of repeated chunks cut out.
 
+    Columns named in ``carry`` follow unchanged.
+
     Lines end at a line feed; a null text counts as empty, and an empty text is one empty line.
     Only chunks of ``min_lines`` lines or more are compared.  The first occurrence stays: smallest
     doc_id (null first), then hash of the document's text, then position.  Rows that repeat both
@@ -60,8 +63,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whatever their names; an empty table gives an empty result.
     """
     runs = tasks(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).select(
-        "_id", F.xxhash64("_text").alias("_key"), "_text")
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None)
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), carried.alias("_carry")).select(
+        "_id", F.xxhash64("_text").alias("_key"), "_text", "_carry")
     chunked = with_chunks(rows).select("_id", "_key", F.explode(
         F.transform(F.sequence(F.lit(0), F.size("_ends") - 1), _chunk_at)).alias("_c")) \
         .select("_id", "_key", "_c.*").where(F.col("_n_lines") >= min_lines) \
@@ -80,7 +84,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     later = later.select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), "_drop")
     joined = rows.join(later, rows["_id"].eqNullSafe(later["_id2"]) & (rows["_key"] == later["_key2"]), "left")
-    cut = with_chunks(joined.select("_id", "_text", "_drop"))
+    cut = with_chunks(joined.select("_id", "_text", "_carry", "_drop"))
     start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.col("_ends")[k - 1])
     kept = F.flatten(F.transform(
         F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), lambda k: ~F.array_contains("_drop", k)),
@@ -89,7 +93,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return cut.select(
         F.col("_id").alias("doc_id"), F.array_join("_kept", "\n").alias("text"),
         F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"))
+        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
+        *[F.col("_carry")[c].alias(c) for c in carry])
 
 
 def oracle_sql() -> str:
