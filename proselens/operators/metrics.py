@@ -162,27 +162,26 @@ def punct_level(documents: DataFrame) -> DataFrame:
 def connective_counts(documents: DataFrame, preprocess=None) -> DataFrame:
     """Connective matches per document and class (n-grams of 1-4 words in a sentence).
 
-    The lexicon is a fixed table of ~100 phrases, compiled into hash-set
-    ``InSet`` tests on ``lang|ngram`` keys; no join and no shuffle before the
-    per-document partial aggregate.
+    The lexicon is a fixed table of ~100 phrases, compiled into hash-set tests on ``lang|ngram`` keys.
+    N-grams are formed only where a phrase can start, and counted inside the sentence's array: one row
+    a sentence reaches the per-document partial aggregate.
     """
     rows = A.L.connective_rows()
     max_n = max(r[2] for r in rows)
+    first = sorted({f"{lg}|{p.split(' ')[0]}" for lg, p, _, _ in rows})
+    keys = {None: sorted({f"{lg}|{p}" for lg, p, _, _ in rows})}
+    keys |= {cls: sorted({f"{lg}|{p}" for lg, p, _, c in rows if c == cls}) for cls in L.CONNECTIVE_CLASSES}
     s = A.sentences(documents, preprocess)
     s = s.select("doc_id", "lang", F.transform(A.T.words_of(C("raw")), F.lower).alias("w"))
-    grams = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))),
-        lambda i: F.transform(
-            F.filter(F.sequence(F.lit(1), F.lit(max_n)), lambda n: i + n - 1 <= F.size("w")),
-            lambda n: F.array_join(F.slice("w", i, n), " "))))
-    g = s.select("doc_id", F.explode_outer(F.when(F.size("w") > 0, grams)).alias("g"), "lang")
-    key = F.concat(C("lang"), F.lit("|"), C("g"))
-    all_keys = sorted({f"{lg}|{p}" for lg, p, _, _ in rows})
-    aggs = [F.count_if(key.isin(all_keys)).alias("conn_all")]
-    for cls in L.CONNECTIVE_CLASSES:
-        keys = sorted({f"{lg}|{p}" for lg, p, _, c in rows if c == cls})
-        aggs.append(F.count_if(key.isin(keys)).alias(f"conn_{cls}"))
-    return g.groupBy("doc_id").agg(*aggs)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))),
+                      lambda i: F.concat(C("lang"), F.lit("|"), F.get(C("w"), i - 1)).isin(first))
+    grams = F.flatten(F.transform(starts, lambda i: F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(max_n)), lambda n: i + n - 1 <= F.size("w")),
+        lambda n: F.concat(C("lang"), F.lit("|"), F.array_join(F.slice("w", i, n), " ")))))
+    g = s.select("doc_id", F.filter(grams, lambda x: x.isin(keys[None])).alias("g"))
+    count = lambda k: F.sum(F.greatest(F.size(F.filter("g", lambda x: x.isin(k))), F.lit(0)))
+    return g.groupBy("doc_id").agg(F.sum(F.greatest(F.size("g"), F.lit(0))).alias("conn_all"),
+                                   *[count(keys[cls]).alias(f"conn_{cls}") for cls in L.CONNECTIVE_CLASSES])
 
 
 # --------------------------------------------------------------------------- helpers
@@ -198,6 +197,11 @@ FRAMES = {
 }
 
 
+def cleaned(documents: DataFrame, preprocess=None) -> DataFrame:
+    """The documents with ``preprocess`` (Column -> Column) applied to the text that every frame reads."""
+    return documents if preprocess is None else documents.withColumn("text", preprocess(C("text")))
+
+
 def base(documents: DataFrame, tok: DataFrame | None, need: tuple[str, ...]) -> DataFrame:
     """The per-document frames a key needs, joined on ``doc_id``; the first one has every document."""
     tok = tok if tok is not None else A.tokens(documents)
@@ -214,8 +218,8 @@ def metric_key(names: list[str], need: tuple[str, ...]):
     the full matrix selects the columns of all keys from one joined frame.
     """
     def wrap(columns):
-        def key(documents: DataFrame, tok: DataFrame | None = None) -> DataFrame:
-            return finish(base(documents, tok, need).select("doc_id", *columns()), names)
+        def key(documents: DataFrame, tok: DataFrame | None = None, preprocess=None) -> DataFrame:
+            return finish(base(cleaned(documents, preprocess), tok, need).select("doc_id", *columns()), names)
         key.columns, key.names, key.need, key.__doc__, key.__name__ = columns, names, need, columns.__doc__, columns.__name__
         return key
     return wrap
