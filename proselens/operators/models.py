@@ -7,8 +7,9 @@ scores are macro-F1 on the train and test rows (A6).
 
 Linear models (logistic regression, squared-hinge SVM with L1 or L2 penalty) are
 solved by ``operators.linear``: all candidates and folds of a run together, on the
-min-max features of each fold (A3), with sklearn's ``C`` as it is.  Forests and boosted
-trees are ``pyspark.ml`` pipelines under ``CrossValidator``; their scaler is Spark's
+min-max features of each fold (A3), with sklearn's ``C`` as it is.  Boosted trees are grown by
+``operators.boosting``, all candidates and folds together (trees do not depend on the scaler).
+Forests are ``pyspark.ml`` pipelines under ``CrossValidator``; their scaler is Spark's
 ``MinMaxScaler`` (0.5 instead of 0 for a constant column, which no tree can split).
 """
 
@@ -24,7 +25,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IDF, MinMaxScaler, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -32,6 +33,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+from . import boosting as BO
 from . import evaluate as E
 from . import linear as LN
 from . import network as NW
@@ -48,6 +51,7 @@ RF_SPACE = {"numTrees": list(range(20, 250, 10)), "impurity": ["gini", "entropy"
             "featureSubsetStrategy": ["sqrt", "log2"], "maxDepth": [1, 2]}
 GBT_SMALL_SPACE = {"maxDepth": [1, 2], "maxIter": list(range(20, 250, 10)), "stepSize": [0.1, 0.01, 0.05]}
 RANDOM_ITER = 10
+ROWS_A_TASK = 2048
 
 
 def with_vector(df: DataFrame, cols: list[str] | None, array_col: str | None = None, out: str = "raw") -> DataFrame:
@@ -76,13 +80,14 @@ def svm_random_candidates(n_iter: int = RANDOM_ITER, seed: int = SEED) -> list[d
     return [{"loss": "squared_hinge", "penalty": c["penalty"], "C": c["C"]} for c in random_candidates(SVM_GRID, n_iter, seed)]
 
 
-def gbt_search(grid: dict = GBT_GRID):
+def gbt_candidates(grid: dict = GBT_GRID) -> list[dict]:
     """L1: boosted trees over the full reference grid (96 candidates)."""
-    clf = GBTClassifier(featuresCol="features", labelCol="label", seed=SEED)
-    b = ParamGridBuilder()
-    for k, v in grid.items():
-        b = b.addGrid(clf.getParam(k), v)
-    return _pipeline(clf), b.build()
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+
+
+def gbt_small_candidates(space: dict = GBT_SMALL_SPACE, n_iter: int = RANDOM_ITER, seed: int = SEED) -> list[dict]:
+    """``n_iter`` candidates of the small space."""
+    return random_candidates(space, n_iter, seed)
 
 
 def random_candidates(space: dict, n_iter: int = RANDOM_ITER, seed: int = SEED) -> list[dict]:
@@ -106,14 +111,9 @@ def rf_random_search(space: dict = RF_SPACE, n_iter: int = RANDOM_ITER, seed: in
     return _pipeline(clf), _maps(clf, random_candidates(space, n_iter, seed))
 
 
-def gbt_random_search(space: dict = GBT_SMALL_SPACE, n_iter: int = RANDOM_ITER, seed: int = SEED):
-    """L7."""
-    clf = GBTClassifier(featuresCol="features", labelCol="label", seed=SEED)
-    return _pipeline(clf), _maps(clf, random_candidates(space, n_iter, seed))
-
-
 LINEAR = {"svm": svm_candidates, "lr": lr_candidates, "svm_random": svm_random_candidates}
-TREES = {"gbt": gbt_search, "rf": rf_random_search, "gbt_small": gbt_random_search}
+BOOSTED = {"gbt": gbt_candidates, "gbt_small": gbt_small_candidates}
+TREES = {"rf": rf_random_search}
 
 
 @dataclass
@@ -168,6 +168,44 @@ def linear_searches(train: DataFrame, searches: dict[str, list[dict]], array_col
         search.close()
 
 
+@dataclass
+class BoostedModel:
+    """Fitted boosted trees on quantile bins, with their search's record."""
+
+    edges: list
+    trees: list
+    depth: int
+    params: dict
+    cv: float
+    means: list
+
+    def transform(self, df: DataFrame, array_col: str = "x") -> DataFrame:
+        return BO.score_trees(df, self.edges, self.trees, self.depth, array_col)
+
+
+def boosted_search(train: DataFrame, candidates: list[dict], array_col: str = "x") -> BoostedModel:
+    """L4/L5 for boosted trees: one run for each (depth, rate, fold), candidates read off at their rounds, then the refit."""
+    folds = sorted(r[0] for r in train.select("fold").distinct().collect())
+    search = BO.BoostSearch(train.select(array_col, "label", "fold"), array_col)
+    try:
+        rounds: dict[tuple, set] = {}
+        for c in candidates:
+            rounds.setdefault((c["maxDepth"], c["stepSize"]), set()).add(c["maxIter"])
+        keys = [(k, f) for k in rounds for f in folds]
+        runs = [BO.Run(k[0], k[1], max(rounds[k]), f) for k, f in keys]
+        _, counts = search.grow(runs, {i: rounds[k] for i, (k, _) in enumerate(keys)})
+        means = []
+        for c in candidates:
+            own = [LN.f1(counts[keys.index(((c["maxDepth"], c["stepSize"]), f)), c["maxIter"]]) for f in folds]
+            means.append(tuple(float(v) for v in np.mean(own, axis=0)))
+        best = int(np.argmax([m[0] for m in means]))
+        c = candidates[best]
+        forest, _ = search.grow([BO.Run(c["maxDepth"], c["stepSize"], c["maxIter"])])
+        return BoostedModel(search.edges, forest[0], c["maxDepth"], c, means[best][0], means)
+    finally:
+        search.close()
+
+
 def _frozen(candidate: dict) -> tuple:
     return tuple(sorted(candidate.items()))
 
@@ -200,6 +238,13 @@ def prepare(table: DataFrame, cols: list[str] | None = None, array_col: str | No
     return t.join(folds, "doc_id", "left")
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Stored, cached rows in tasks of about ROWS_A_TASK: searches run many short passes over them."""
+    kept = stored(df)
+    parts = -(-kept.count() // ROWS_A_TASK)
+    return kept.repartition(max(1, parts)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def train_models(run: str, table: DataFrame, cols: list[str] | None = None, array_col: str | None = None,
                  models: tuple = ("gbt", "svm", "lr"), parallelism: int = 4, store: str | None = None,
                  with_best: bool = False) -> list[tuple]:
@@ -208,11 +253,10 @@ def train_models(run: str, table: DataFrame, cols: list[str] | None = None, arra
     A split without rows has a null score.
     """
     spark = table.sparkSession
-    unknown = [m for m in models if m not in LINEAR and m not in TREES]
+    unknown = [m for m in models if m not in LINEAR and m not in TREES and m not in BOOSTED]
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
-    # few partitions: a training frame is small beside the tables it comes from
-    data = prepare(table, cols, array_col).coalesce(max(1, spark.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = compact(prepare(table, cols, array_col))
     train, test = data.where(C("split") == "train"), data.where(C("split") == "test")
     linear = [m for m in models if m in LINEAR]
     fitted = linear_searches(train, {m: LINEAR[m]() for m in linear}) if linear else {}
@@ -223,6 +267,11 @@ def train_models(run: str, table: DataFrame, cols: list[str] | None = None, arra
             params, cv = {k: str(v) for k, v in best.params.items()}, best.cv
             if store:
                 best.save(spark, f"{store}/{run}_{name}")
+        elif name in BOOSTED:
+            if store:
+                raise ValueError("boosted trees have no stored form")
+            best = boosted_search(train, BOOSTED[name]())
+            params, cv = {k: str(v) for k, v in best.params.items()}, best.cv
         else:
             pipe, maps = TREES[name]()
             rows = train.select("doc_id", C("label").cast("double").alias("label"), "fold", array_to_vector("x").alias("raw"))
@@ -281,8 +330,8 @@ def train_mlp(table: DataFrame, array_col: str, epochs: int = 100, patience: int
 
     Returns (network with its history, scored frame ``doc_id, split, label, p, prediction``).
     """
-    z = E.zscore_scale(table, array_col, C("split") == "train", "z").select("doc_id", C("label").cast("int").alias("label"), "split", "z") \
-        .coalesce(max(1, table.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
+    z = E.zscore_scale(table, array_col, C("split") == "train", "z").select("doc_id", C("label").cast("int").alias("label"), "split", "z")
+    z = compact(z)
     network = NW.train_network(z.where(C("split") == "train"), "z", epochs=epochs, patience=patience, seed=seed)
     return network, NW.score_network(z, network, "z")
 

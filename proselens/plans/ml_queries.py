@@ -2,8 +2,7 @@
 
 They read the labelled feature table written by ``jobs.compute_and_save_metrics``
 (derived from ``documents`` and ``labels``) and the ``embeddings`` table.
-The boosted-tree searches (L1, L7) are library operators but are not
-registered: see the README.
+The full boosted-tree grid (L1) is a library operator but is not registered: see the README.
 """
 
 from __future__ import annotations
@@ -55,6 +54,11 @@ def q_train_svm_random(spark, sf_dir):
     return _rows(spark, _family_run(spark, sf_dir, "multiazter", ("svm_random",)))
 
 
+def q_train_gbt_small(spark, sf_dir):
+    """Boosted trees under random search (10 candidates), family M."""
+    return _rows(spark, _family_run(spark, sf_dir, "multiazter", ("gbt_small",)))
+
+
 def q_train_models(spark, sf_dir):
     """One run over all metrics of family C, linear models (boosted trees: see the README)."""
     return _rows(spark, _family_run(spark, sf_dir, "coh_metrix", LINEAR_MODELS))
@@ -77,7 +81,7 @@ def q_train_groups(spark, sf_dir):
 
 def q_grid_search(spark, sf_dir):
     """L4: mean validation and training score of every logistic-regression candidate."""
-    t = ML.prepare(_features(spark, sf_dir), G.metrics_of("coh_metrix"))
+    t = ML.compact(ML.prepare(_features(spark, sf_dir), G.metrics_of("coh_metrix")))
     best = ML.linear_searches(t.where(C("split") == "train"), {"lr": ML.lr_candidates()})["lr"]
     rows = [(i, float(c["C"]), *m) for i, (c, m) in enumerate(zip(ML.lr_candidates(), best.means))]
     return spark.createDataFrame(rows, "candidate int, C double, mean_score double, mean_train_score double")
@@ -85,7 +89,7 @@ def q_grid_search(spark, sf_dir):
 
 def q_random_search(spark, sf_dir):
     """The sampled random-forest candidates and their mean fold scores."""
-    t = ML.prepare(_features(spark, sf_dir), G.metrics_of("multiazter"))
+    t = ML.compact(ML.prepare(_features(spark, sf_dir), G.metrics_of("multiazter")))
     train = t.where(C("split") == "train").select(
         "doc_id", C("label").cast("double").alias("label"), "fold", ML.array_to_vector("x").alias("raw"))
     pipe, maps = ML.rf_random_search()
@@ -136,9 +140,9 @@ def _emb_table(spark, sf_dir, family: str | None, group: str | None = None) -> D
 
 
 def q_train_embedding_metrics(spark, sf_dir):
-    """Embeddings + family M; forest and SVM under random search, best params and CV score."""
+    """Embeddings + family M; boosted trees, forest and SVM under random search, best params and CV score."""
     t = _emb_table(spark, sf_dir, "multiazter")
-    rows = ML.train_models("berta_multiazter", t, array_col="x", models=("rf", "svm_random"),
+    rows = ML.train_models("berta_multiazter", t, array_col="x", models=("gbt_small", "rf", "svm_random"),
                            parallelism=PARALLELISM, with_best=True)
     return _rows(spark, rows, ML.RESULT_SCHEMA_BEST)
 
@@ -238,7 +242,7 @@ def q_train_svm_l1(spark, sf_dir):
 
 QUERIES = {
     "train_svm_l1": q_train_svm_l1,
-    "train_lr": q_train_lr, "train_svm": q_train_svm, "train_rf": q_train_rf,
+    "train_gbt_small": q_train_gbt_small, "train_lr": q_train_lr, "train_svm": q_train_svm, "train_rf": q_train_rf,
     "train_svm_random": q_train_svm_random, "grid_search": q_grid_search, "random_search": q_random_search,
     "train_models": q_train_models, "train_families": q_train_families, "train_groups": q_train_groups,
     "model_store": q_model_store, "predict": q_predict, "sink_results": q_sink_results,

@@ -4,6 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
+from proselens.operators import boosting as BO
 from proselens.operators import evaluate as E
 from proselens.operators import linear as LN
 from proselens.operators import models as ML
@@ -26,14 +27,33 @@ def test_lr_and_forest_reach_perfect_f1_on_separable_data(spark):
         assert te == 1.0, (model, tr, te)
 
 
-def test_gbt_search_on_fixture(spark):
-    t = separable(spark, n=60)
-    pipe, maps = ML.gbt_search({"maxDepth": [2], "maxIter": [3], "stepSize": [0.1]})
-    data = ML.prepare(t, array_col="x")
-    rows = data.where("split = 'train'").select("doc_id", F.col("label").cast("double").alias("label"), "fold",
-                                                ML.array_to_vector("x").alias("raw"))
-    m = ML.grid_search(pipe, maps, rows, parallelism=1)
-    assert ML.macro_f1_of(ML._Vectors(m.bestModel), data.where("split = 'test'")) == 1.0
+def test_boosted_search(spark):
+    x, y, t = noisy(spark, n=200)
+    t = t.withColumn("split", F.lit("train"))
+    cands = ML.gbt_candidates({"maxDepth": [1, 3], "maxIter": [3, 10], "stepSize": [0.1, 0.5]})
+    best = ML.boosted_search(t, cands)
+    assert len(best.trees) == best.params["maxIter"] and len(best.means) == 8
+    assert best.cv == max(m[0] for m in best.means)
+    assert E.macro_f1(best.transform(t)).first()["macro_f1"] > 0.75
+    # a run of more rounds begins with the run of fewer rounds; scores at a mark are those of the shorter run
+    search = BO.BoostSearch(t)
+    runs = [BO.Run(3, 0.1, 10, 2), BO.Run(3, 0.1, 4, 2)]
+    forest, counts = search.grow(runs, {0: {4, 10}, 1: {4}})
+    for a, b in zip(forest[0], forest[1]):
+        assert all((u == v).all() for u, v in zip(a, b))
+    assert (counts[0, 4] == counts[1, 4]).all() and (counts[0, 10] != counts[0, 4]).any()
+    # the first tree against a direct search over all bins
+    bins, use = BO.binned(x, search.edges), np.arange(200) % 5 != 2
+    g, h = 0.5 - y[use], np.full(use.sum(), 0.25)
+    gains = {}
+    for f in range(bins.shape[1]):
+        for b in range(BO.BINS - 1):
+            left = bins[use][:, f] <= b
+            if h[left].sum() >= 1 and h[~left].sum() >= 1:
+                gains[f, b] = g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1)
+    root = forest[0][0][0][0], forest[0][0][1][0]
+    assert abs(gains[root] - max(gains.values())) < 1e-9
+    search.close()
 
 
 def test_random_candidates_seeded_without_replacement():
