@@ -1,20 +1,21 @@
-"""LM scoring: a hashed maximum-entropy model with a class-factored softmax.
+"""LM scoring: a hashed maximum-entropy model with a class-factored softmax over the whole vocabulary.
 
 Counts: every batch of documents sends its distinct word hashes with their training
 counts; buckets add them up over the corpus and answer with the totals, which give the
-base score exactly and the vocabulary (the WORDS most frequent words).
-
-Model: p(word) = p(class | context) * p(word | class, context).  WORDS words are dealt by
-frequency to CLASSES - 1 classes of SIZE words; all other words, unseen ones too, are the
-last class, inside which a word has the add-one share of its count.  Both factors are
-softmax models over hashed context features: the previous word, the words two and three
-places back (skips), the previous two words together, and a bias.
-
-Training: one pass of gradient updates in every task over its training documents; the
-tasks' parameters are averaged, weighted by tokens, slice by slice on the executors; ROUNDS
-such passes, each starting from the last average.  All training documents take part.
-
-Scoring: per batch of documents, from the counts that came back and the parameters.
+base score exactly, and with the word's rank by hash among the words of its class.
+
+Model: p(word) = p(class | context) * p(word | class, context).  Every counted word belongs to the
+class of its count's octave; the class is a softmax.  Inside a class of n words the softmax is
+factored further: its words are halved until one is left, and each of the log2(n) halvings is a
+softmax of two.  Both are maximum-entropy models over hashed context features: the previous word,
+the words two and three places back (skips), the previous two words together, and a bias (inside a
+class: bias, previous word and the word before it).  Any counted word can be context or target.  Words
+that no training document holds share the add-one mass that the base score gives them.
+
+Training: the texts are written once as word numbers and dealt to rounds and, by their tokens, to units; a
+unit takes gradient steps from the shared parameters, and a round adds up its units' steps, each
+parameter weighted by the squared gradients it has seen.  All training documents take part, once.
+Nothing depends on how the input or the shuffles are partitioned.
 """
 
 from __future__ import annotations
@@ -33,15 +34,17 @@ from .learn import remainder
 
 CLASSES, SIZE = 24, 24
 WORDS = (CLASSES - 1) * SIZE
-#: hashed rows of the class model's word pairs and of the word model's features
-PAIR_ROWS, WORD_ROWS = 4096, 8192
+#: words of each class where no counts are given
+SIZES = (SIZE,) * (CLASSES - 1) + (1,)
+#: powers of two between which the hashed tables grow with the vocabulary: rows of the class model, slots of the word model
+CLASS_BITS, WORD_BITS = (12, 14), (16, 20)
 ROUNDS, RATE, MINIBATCH = 1, 0.15, 8192
+#: training tokens of a unit, tokens whose features are made at a time
+UNIT, CHUNK = 6_000_000, 65_536
 SLICE = 16_384
 END = np.uint64(0x5851F42D4C957F2D)
-IDS = WORDS + 2  # a frequent word, another word, or nothing
 F32 = np.float32
-CLASS_ROWS = 3 * IDS + PAIR_ROWS + 1
-PARAMS = CLASS_ROWS * CLASSES + WORD_ROWS * SIZE
+PARAMS = (CLASSES << CLASS_BITS[0]) + (1 << WORD_BITS[0])
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,63 +69,48 @@ def _send(buckets: int):
 
 
 SENT = "_bucket int, _batch int, _kind int, _n int, _keys binary, _values binary"
+ANSWER = "_bucket int, _batch int, _kind int, _values binary, _ranks binary"
+
+
+def class_of(counts: np.ndarray) -> np.ndarray:
+    """The octave of each count (1 at least), the greatest first; the first class is open above."""
+    return CLASSES - np.clip(np.frexp(counts.astype(float))[1], 1, CLASSES)
 
 
 def _total(table: pa.Table) -> pa.Table:
-    """Answers (kind 0) to each batch, and one row (kind 1) with tokens, distinct words and the most frequent."""
+    """Answers (kind 0) to each batch, and one row (kind 1) with words and tokens of each class."""
     keys, counts = unpack(table["_keys"], np.uint64), unpack(table["_values"], np.uint32)
     distinct, where = np.unique(keys, return_inverse=True)
     total = np.bincount(where, counts, len(distinct)).astype(np.int64)
+    klass, rank = class_of(total), np.zeros(len(distinct), np.uint32)
+    words, mass = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for c in range(CLASSES):
+        own = np.flatnonzero((klass == c) & (total > 0))
+        rank[own] = np.arange(len(own))
+        words[c], mass[c] = len(own), total[own].sum()
     at = np.concatenate(([0], np.cumsum(np.asarray(table["_n"]))))
-    answer = total[where].astype(np.uint32)
-    best = np.lexsort((distinct, -total))[:WORDS]
-    best = best[total[best] > 0]
-    own = np.array([total.sum(), (total > 0).sum()], np.int64)
+    answer, ranks = total[where].astype(np.uint32), rank[where]
     n = table.num_rows
     return pa.table({
         "_bucket": pa.concat_arrays([table["_bucket"].combine_chunks(), table["_bucket"].combine_chunks()[:1]]),
         "_batch": pa.array([*table["_batch"].to_pylist(), -1], pa.int32()),
         "_kind": pa.array([0] * n + [1], pa.int32()),
-        "_n": pa.array([*table["_n"].to_pylist(), len(best)], pa.int32()),
-        "_keys": pa.array([b""] * n + [distinct[best].tobytes()], pa.binary()),
-        "_values": pa.array([answer[at[i]:at[i + 1]].tobytes() for i in range(n)]
-                            + [own.tobytes() + total[best].tobytes()], pa.binary())})
-
-
-class Vocabulary:
-    """The frequent words: sorted hashes, and the rank of each."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.rank, self.counts = hashes[order], order.astype(np.int32), counts
-
-    def ids(self, t: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(t), WORDS, np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, t), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == t, self.rank[at], WORDS).astype(np.int32)
+        "_values": pa.array([answer[at[i]:at[i + 1]].tobytes() for i in range(n)] + [words.tobytes()], pa.binary()),
+        "_ranks": pa.array([ranks[at[i]:at[i + 1]].tobytes() for i in range(n)] + [mass.tobytes()], pa.binary())})
 
 
 def features(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Rows of the class model for each token (tokens x 5)."""
+    """Hashes of each token's context features (tokens x 5): three words back, the previous two together, bias."""
     start = np.repeat(np.cumsum(n) - n, n)
     place = np.arange(len(ids)) - start
     back = []
     for k in (1, 2, 3):
-        prev = np.full(len(ids), WORDS + 1, np.int64)
+        prev = np.full(len(ids), -2, np.int64)  # nothing; -1 is a word without count
         prev[k:] = ids[:-k] if k < len(ids) else prev[k:]
-        prev[place < k] = WORDS + 1
-        back.append(prev)
-    pair = (back[0] * 40_503 + back[1] * 2_654_435_761) >> 7
-    return np.stack([back[0], IDS + back[1], 2 * IDS + back[2], 3 * IDS + pair % PAIR_ROWS,
-                     np.full(len(ids), CLASS_ROWS - 1)], axis=1)
-
-
-def word_features(f: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    """Hashed rows of the word model: the class alone, with the previous word, and with the word before it."""
-    k = klass.astype(np.int64)[:, None]
-    rows = np.concatenate((k * 7919, k * 7919 + (f[:, :2] + 1) * 104_729), axis=1)
-    return (rows * 2_654_435_761 >> 11) % WORD_ROWS
+        prev[place < k] = -2
+        back.append(K.mix(prev.view(np.uint64) * np.uint64(8) + np.uint64(k)))
+    pair = K.mix(back[0] * np.uint64(3) + back[1])
+    return np.stack([*back, pair, np.full(len(ids), END)], axis=1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -149,124 +137,184 @@ def scattered(rows: np.ndarray, g: np.ndarray, shape: tuple[int, int]) -> np.nda
     return out.reshape(shape)
 
 
+def _bits(n: int, least: int, most: int) -> int:
+    return min(most, max(least, int(n).bit_length()))
+
+
 class MaxEnt:
-    def __init__(self, params: np.ndarray):
-        self.params = params
-        self.klass = params[:CLASS_ROWS * CLASSES].reshape(CLASS_ROWS, CLASSES)
-        self.word = params[CLASS_ROWS * CLASSES:].reshape(WORD_ROWS, SIZE)
-
-    @classmethod
-    def started(cls, vocabulary: Vocabulary, total: int) -> MaxEnt:
-        """Biases at the words' frequencies, all else zero."""
-        model = cls(np.zeros(PARAMS, F32))
-        counts = np.zeros(WORDS)
-        counts[:len(vocabulary.counts)] = vocabulary.counts
-        by = counts.reshape(CLASSES - 1, SIZE)
-        mass = np.append(by.sum(axis=1), max(0, total - counts.sum()))
-        model.klass[-1] = np.log(mass + 0.5)
-        none = np.full((CLASSES - 1, 5), -1)
-        rows = word_features(none, np.arange(CLASSES - 1))[:, 0]
-        model.word[rows] = np.log(by + 0.01)
-        return model
+    """The model of words numbered class by class: ``sizes`` words and ``mass`` (share of the start) of each class."""
+
+    def __init__(self, params: np.ndarray | None = None, sizes=SIZES, mass=None):
+        self.sizes = np.asarray(sizes, np.int64)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        words = int(self.sizes.sum())
+        self.class_bits, self.word_bits = _bits(words // 16, *CLASS_BITS), _bits(4 * words, *WORD_BITS)
+        edge = CLASSES << self.class_bits
+        self.params = np.zeros(edge + (1 << self.word_bits), F32) if params is None else params
+        self.klass, self.word = self.params[:edge].reshape(-1, CLASSES), self.params[edge:]
+        mass = self.sizes if mass is None else np.asarray(mass)
+        self.prior = np.where(self.sizes > 0, np.log(np.maximum(mass, 1e-9)), -1e30).astype(F32)
+
+    def class_rows(self, f: np.ndarray) -> np.ndarray:
+        return (f >> np.uint64(64 - self.class_bits)).astype(np.int64)
+
+    def halvings(self, ids: np.ndarray, k: np.ndarray, f: np.ndarray):
+        """For each depth: tokens that are not alone yet, slots of their features, whether right, log odds at the start."""
+        lo, hi = self.start[k], self.start[k] + self.sizes[k]
+        at = np.flatnonzero(hi - lo > 1)
+        i, lo, hi, own = ids[at], lo[at], hi[at], f[at][:, [4, 0, 1]]
+        while len(at):
+            mid = (lo + hi) >> 1
+            right = i >= mid
+            node = K.mix((lo.view(np.uint64) << np.uint64(20)) ^ hi.view(np.uint64))
+            slots = (((own ^ node[:, None]) * np.uint64(K.BASE)) >> np.uint64(64 - self.word_bits)).astype(np.int64)
+            yield at, slots, right, np.log((hi - mid) / (mid - lo)).astype(F32)
+            lo, hi = np.where(right, mid, lo), np.where(right, hi, mid)
+            more = np.flatnonzero(hi - lo > 1)
+            at, i, lo, hi, own = at[more], i[more], lo[more], hi[more], own[more]
 
     def log10(self, ids: np.ndarray, f: np.ndarray) -> np.ndarray:
-        """Of each token's class, and of the word in it unless the class is the last."""
-        k = ids // SIZE
-        out = np.log10(softmax(added(self.klass, f))[np.arange(len(ids)), k])
-        at = np.flatnonzero(k < CLASSES - 1)
-        q = softmax(added(self.word, word_features(f[at], k[at])))
-        out[at] += np.log10(q[np.arange(len(at)), ids[at] % SIZE])
-        return out
-
-    def train(self, ids: np.ndarray, f: np.ndarray, seen: list[np.ndarray]) -> None:
-        """One step on the mean gradient of a minibatch, scaled for each parameter by its past gradients."""
-        k = ids // SIZE
-        g = softmax(added(self.klass, f))
+        """Of each token's class, and of the word in it."""
+        ids = ids.astype(np.int64)
+        k = np.searchsorted(self.start + self.sizes, ids, "right")
+        p = softmax(added(self.klass, self.class_rows(f)) + self.prior)[np.arange(len(ids)), k]
+        out = np.log(np.maximum(p, 1e-30)).astype(float)
+        for at, slots, right, odds in self.halvings(ids, k, f):
+            x = self.word[slots].sum(axis=1) + odds
+            out[at] -= np.logaddexp(0, np.where(right, -x, x))
+        return out / np.log(10)
+
+    def train(self, ids: np.ndarray, f: np.ndarray, seen: np.ndarray, work: np.ndarray) -> None:
+        """One step on the mean gradient of a minibatch, scaled for each parameter by its past gradients (``seen``)."""
+        k = np.searchsorted(self.start + self.sizes, ids, "right")
+        rows = self.class_rows(f)
+        g = softmax(added(self.klass, rows) + self.prior)
         g[np.arange(len(ids)), k] -= 1
-        steps = [(self.klass, seen[0], scattered(f, g, self.klass.shape))]
-        at = np.flatnonzero(k < CLASSES - 1)
-        if len(at):
-            rows = word_features(f[at], k[at])
-            g = softmax(added(self.word, rows))
-            g[np.arange(len(at)), ids[at] % SIZE] -= 1
-            steps.append((self.word, seen[1], scattered(rows, g, self.word.shape)))
-        for table, past, grad in steps:
-            grad /= len(ids)
-            past += grad * grad
-            table -= (RATE * grad / (np.sqrt(past) + 1e-6)).astype(F32)
+        grad = scattered(rows, g, self.klass.shape) / len(ids)
+        past = seen[:self.klass.size].reshape(self.klass.shape)
+        past += grad * grad
+        self.klass -= (RATE * grad / (np.sqrt(past) + 1e-6)).astype(F32)
+        past, touched = seen[self.klass.size:], []
+        for _, slots, right, odds in self.halvings(ids, k, f):
+            x = self.word[slots].sum(axis=1) + odds
+            d = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - right) / len(ids)
+            flat = slots.ravel()
+            np.add.at(work, flat, np.repeat(d, slots.shape[1]).astype(F32))
+            touched.append(flat)
+        if touched:
+            at = np.concatenate(touched)
+            grad = work[at]  # a slot that comes up twice gets the same value twice
+            now = past[at] + grad * grad
+            new = self.word[at] - RATE * grad / (np.sqrt(now) + F32(1e-6))
+            past[at], self.word[at], work[at] = now, new, 0
+
+
+def chunks(n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Texts lo to hi and their tokens a to b, about CHUNK tokens at a time."""
+    edges, lo = np.concatenate(([0], np.cumsum(n))), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + CHUNK, "right")) - 1)
+        yield lo, hi, int(edges[lo]), int(edges[hi])
+        lo = hi
+
+
+def _encode(sent):
+    """Each text's word numbers (-1: not counted), and all that its base score needs."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        first, total, distinct, kind = sent.value
+        t, n = tokens(left["_text"].combine_chunks())
+        _, where = np.unique(t, return_inverse=True)
+        right = right.sort_by("_bucket")
+        counts = unpack(right["_values"], np.uint32).astype(np.int64)
+        held = np.array([v.as_buffer().size // 4 for v in right["_values"]], np.int64)
+        bucket = np.repeat(np.asarray(right["_bucket"]), held)
+        number = first[bucket, class_of(counts)] + unpack(right["_ranks"], np.uint32)
+        ids = np.where(counts > 0, number, -1)[where].astype(kind)
+        base = np.log10((counts + 1) / (total + distinct + 1))[where]
+        edges = np.concatenate(([0], np.cumsum(n)))
+        add = lambda x: np.add.reduceat(x, edges[:-1]) if len(n) else np.zeros(0)
+        return pa.table({
+            "_id": left["_id"], "_held": left["_held"], "_key": left["_key"], "_n": pa.array(n, pa.int64()),
+            "_known": pa.array(add((ids >= 0).astype(np.int64)), pa.int64()), "_base": pa.array(add(base), pa.float64()),
+            "_ids": pa.array([ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
+
+    return run
+
+
+ENCODED = "_id long, _held boolean, _key long, _n long, _known long, _base double, _ids binary"
 
 
 def _train(sent, slices: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        params, hashes, counts = sent.value
-        model, vocabulary = MaxEnt(params.copy()), Vocabulary(hashes, counts)
-        seen, total = [np.full(model.klass.shape, 1e-7), np.full(model.word.shape, 1e-7)], 0
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                t, n = tokens(b.column("_text").slice(lo, 512))
-                ids = vocabulary.ids(t)
-                f = features(ids, n)
-                for at in range(0, len(ids), MINIBATCH):
-                    model.train(ids[at:at + MINIBATCH], f[at:at + MINIBATCH], seen)
-                total += len(ids)
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(slices), pa.int32()), pa.array([total] * slices, pa.int64()),
-                 pa.array([model.params[i * SLICE:(i + 1) * SLICE].tobytes() for i in range(slices)], pa.binary())],
-                names=["_slice", "_weight", "_params"])
+    def run(table: pa.Table) -> pa.Table:
+        params, past, sizes, mass, kind = sent.value
+        model, seen = MaxEnt(params.copy(), sizes, mass), past.copy()
+        table = table.sort_by([("_key", "ascending"), ("_id", "ascending")])
+        work = np.zeros(len(model.word), F32)
+        ids, n = unpack(table["_ids"], kind), np.asarray(table["_n"])
+        for lo, hi, a, b in chunks(n):
+            own = ids[a:b].astype(np.int64)
+            f = features(own, n[lo:hi])
+            for at in range(0, len(own), MINIBATCH):
+                model.train(own[at:at + MINIBATCH], f[at:at + MINIBATCH], seen, work)
+        step, seen = model.params - params, seen - past
+        part = lambda x: pa.array([x[i * SLICE:(i + 1) * SLICE].tobytes() for i in range(slices)], pa.binary())
+        return pa.table({"_slice": pa.array(range(slices), pa.int32()),
+                         "_unit": pa.array([table["_unit"][0].as_py()] * slices, pa.int32()),
+                         "_step": part(step), "_seen": part(seen)})
 
     return run
 
 
 def _average(table: pa.Table) -> pa.Table:
-    weight = np.asarray(table["_weight"], float)
-    total = sum(w * np.frombuffer(p.as_buffer(), F32).astype(float) for w, p in zip(weight, table["_params"]))
-    return pa.table({"_slice": table["_slice"][:1].combine_chunks(),
-                     "_params": pa.array([(total / weight.sum()).astype(F32).tobytes()], pa.binary())})
-
-
-def fit(train: DataFrame, vocabulary: tuple[np.ndarray, np.ndarray], total: int) -> np.ndarray:
-    """The parameters, from all rows ``_text``."""
+    """Steps of all units, each weighted by the squared gradients that the unit has seen."""
+    table = table.sort_by("_unit")
+    total, weight = 0.0, 0.0
+    for s, w in zip(table["_step"], table["_seen"]):
+        w = np.frombuffer(w.as_buffer(), F32).astype(float)
+        total, weight = total + w * np.frombuffer(s.as_buffer(), F32), weight + w
+    step = total / np.maximum(weight, 1e-300)
+    return pa.table({"_slice": table["_slice"][:1].combine_chunks(), "_step": pa.array([step.astype(F32).tobytes()], pa.binary()),
+                     "_seen": pa.array([weight.astype(F32).tobytes()], pa.binary())})
+
+
+def fit(train: DataFrame, sizes: np.ndarray, mass: np.ndarray, kind, total: int, rounds: int | None = None) -> np.ndarray:
+    """The parameters, from all rows ``_key, _id, _n, _ids``."""
+    rounds = ROUNDS if rounds is None else rounds
     spark = train.sparkSession
-    params = MaxEnt.started(Vocabulary(*vocabulary), total).params
-    slices = -(-PARAMS // SLICE)
-    for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast((params, *vocabulary))  # PARAMS floats, fixed
-        rows = train.mapInArrow(_train(sent, slices), "_slice int, _weight long, _params binary") \
-            .groupBy("_slice").applyInArrow(_average, "_slice int, _params binary").toArrow()
-        parts = dict(zip(rows["_slice"].to_pylist(), rows["_params"].to_pylist()))
-        if parts:
-            params = np.frombuffer(b"".join(parts[i] for i in range(slices)), F32).copy()
+    params = MaxEnt(None, sizes, mass).params
+    seen = np.full(len(params), 1e-7, F32)
+    slices = -(-len(params) // SLICE)
+    units = max(1, -(-total // (UNIT * rounds)))
+    spread = F.xxhash64("_key", F.lit("unit"))
+    rows = train.withColumn("_unit", F.pmod(spread, F.lit(units * rounds)).cast("int"))
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast((params, seen, sizes, mass, kind))  # bounded by CLASS_BITS and WORD_BITS
+        found = rows.where(F.col("_unit") % rounds == k).select("_unit", "_key", "_id", "_n", "_ids").groupBy("_unit") \
+            .applyInArrow(_train(sent, slices), "_slice int, _unit int, _step binary, _seen binary") \
+            .groupBy("_slice").applyInArrow(_average, "_slice int, _step binary, _seen binary").toArrow().sort_by("_slice")
+        if found.num_rows:
+            params, seen = params + unpack(found["_step"], F32), seen + unpack(found["_seen"], F32)
     return params
 
 
 def _score(sent):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        params, hashes, frequent, total, distinct, rest = sent.value
-        model, vocabulary = MaxEnt(params), Vocabulary(hashes, frequent)
-        texts = left["_text"].combine_chunks()
-        t, n = tokens(texts)
-        keys, where = np.unique(t, return_inverse=True)
-        right = right.sort_by("_bucket")
-        counts = unpack(right["_values"], np.uint32).astype(np.int64)[where]
-        base = np.log10((counts + 1) / (total + distinct + 1))
-        known, score = counts > 0, np.empty(len(t))
-        edges = np.concatenate(([0], np.cumsum(n)))
-        ids = vocabulary.ids(t)
-        lo = 0
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 65_536, "right")) - 1)
-            a, b = edges[lo], edges[hi]
-            score[a:b] = model.log10(ids[a:b], features(ids[a:b], n[lo:hi]))
-            lo = hi
-        other = ids == WORDS
-        score[other] += np.log10((counts[other] + 1) / rest)
-        add = lambda x: np.add.reduceat(x, edges[:-1]) if len(n) else np.zeros(0)
-        return pa.table({
-            "doc_id": left["_id"], "held_out": left["_held"], "n_tokens": pa.array(n, pa.int64()),
-            "n_known": pa.array(add(known.astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(len(n), total), pa.int64()),
-            "base_score": pa.array(add(base), pa.float64()), "score": pa.array(add(score), pa.float64())})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        params, sizes, mass, kind, total, distinct = sent.value
+        model = MaxEnt(params, sizes, mass)
+        new = 1 / (total + distinct + 1)  # the base score's mass of words that were not counted
+        for batch in batches:
+            n, score = batch.column("_n").to_numpy(), np.zeros(batch.num_rows)
+            texts = batch.column("_ids")
+            for lo, hi, _, _ in chunks(n):
+                ids = unpack(texts.slice(lo, hi - lo), kind).astype(np.int64)
+                p, known = np.full(len(ids), np.log10(new)), np.flatnonzero(ids >= 0)
+                if len(known):
+                    p[known] = np.log10(1 - new) + model.log10(ids[known], features(ids, n[lo:hi])[known])
+                score[lo:hi] = np.add.reduceat(p, np.cumsum(n[lo:hi]) - n[lo:hi])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_held"), batch.column("_n"), batch.column("_known"),
+                 pa.array(np.full(len(n), total), pa.int64()), batch.column("_base"), pa.array(score)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -277,7 +325,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
 
     A row is held out when crc32(doc_id as text) mod ``folds`` is ``held``; counts and parameters come
     from all other rows.  A null or empty text is one END token.  Without training rows all counts are
-    0 and the model is uniform over its classes.  Repeated rows count as often as they occur; a null id
+    0 and both scores are 0.  Repeated rows count as often as they occur; a null id
     counts as the empty string and stays null; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -287,19 +335,23 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     buckets = tasks(spark)
     sent = dealt.withColumn("_train", ~F.col("_held")).select("_batch", "_train", "_text") \
         .groupBy("_batch").applyInArrow(_send(buckets), SENT)
-    answers = stored(ask(sent, _total, SENT))
-
-    # per bucket its totals and at most WORDS words
-    top = answers.where("_kind = 1").select("_keys", "_values").collect()
-    own = np.sum([np.frombuffer(r["_values"], np.int64)[:2] for r in top], axis=0) if top else np.zeros(2, np.int64)
-    hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["_keys"], np.uint64) for r in top)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["_values"], np.int64)[2:] for r in top)])
-    best = np.lexsort((hashes, -counts))[:WORDS]
-    hashes, counts = hashes[best], counts[best]
-    total, distinct = int(own[0]), int(own[1])
-    params = fit(rows.where(~F.col("_held")).select("_text"), (hashes, counts), total)
-    rest = total - int(counts.sum()) + distinct - len(counts) + 1
-    model = spark.sparkContext.broadcast((params, hashes, counts, total, distinct, rest))
-    return dealt.groupBy("_batch").cogroup(answers.where("_kind = 0").select("_batch", "_bucket", "_values").groupBy("_batch")) \
-        .applyInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                     "base_score double, score double")
+    answers = stored(ask(sent, _total, ANSWER))
+
+    # words and tokens of each class in each bucket; a class numbers its words by hash, so by bucket first
+    top = answers.where("_kind = 1").select("_bucket", "_values", "_ranks").collect()
+    words, mass = np.zeros((buckets, CLASSES), np.int64), np.zeros(CLASSES, np.int64)
+    for r in top:
+        words[r["_bucket"]] = np.frombuffer(r["_values"], np.int64)
+        mass += np.frombuffer(r["_ranks"], np.int64)
+    sizes = words.sum(axis=0)
+    first = np.cumsum(sizes) - sizes + np.cumsum(words, axis=0) - words
+    total, distinct = int(mass.sum()), int(sizes.sum())
+    kind = np.int32 if distinct < 2 ** 31 else np.int64
+    numbers = spark.sparkContext.broadcast((first, total, distinct, kind))
+    asked = answers.where("_kind = 0").select("_batch", "_bucket", "_values", "_ranks")
+    encoded = stored(dealt.withColumn("_key", F.xxhash64("_text")).groupBy("_batch").cogroup(asked.groupBy("_batch"))
+                     .applyInArrow(_encode(numbers), ENCODED))
+    params = fit(encoded.where(~F.col("_held")), sizes, mass + sizes, kind, total)
+    model = spark.sparkContext.broadcast((params, sizes, mass + sizes, kind, total, distinct))
+    return encoded.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                             "base_score double, score double")

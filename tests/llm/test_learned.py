@@ -181,3 +181,21 @@ def test_arrow_offsets():
     words, first = maxent.K.words_of(data, offsets)
     assert bytes(data) == "é  c".encode() and first.tolist() == [0, 0, 2]
     assert words[1] == maxent.K.words_of(*maxent.K.text_buffer(pa.array(["c"])))[0][0]
+
+
+def test_lm_learns_rare_words():
+    """Of 20,000 counted words each is target and context of its own: a rare pair gains, the sum over all words stays 1."""
+    sizes = np.array([0] * 9 + [1, 0, 2, 5, 12, 30, 70, 150, 330, 700, 1500, 2500, 4000, 4700, 6000])
+    model = maxent.MaxEnt(None, sizes)
+    words = int(sizes.sum())
+    seen, work = np.full(len(model.params), 1e-7, np.float32), np.zeros(len(model.word), np.float32)
+    pair = np.array([words - 7, words - 4000])  # both of count 1
+    ids = np.tile(pair, 400)
+    f = maxent.features(ids, np.full(400, 2))
+    before = model.log10(ids[:2], f[:2])
+    for _ in range(20):
+        model.train(ids, f, seen, work)
+    after, other = model.log10(ids[:2], f[:2]), model.log10(pair[1:], maxent.features(np.array([3, pair[1]]), np.array([2]))[1:])
+    assert abs(before[1] + np.log10(words)) < 1e-3 and after[1] > before[1] + 2 and after[1] > other[0] + 0.5
+    every = np.arange(words)
+    assert abs((10 ** model.log10(every, np.repeat(f[1:2], words, axis=0))).sum() - 1) < 1e-3
