@@ -38,7 +38,7 @@ WORDS = (CLASSES - 1) * SIZE
 SIZES = (SIZE,) * (CLASSES - 1) + (1,)
 #: powers of two between which the hashed tables grow with the vocabulary: rows of the class model, slots of the word model
 CLASS_BITS, WORD_BITS = (12, 14), (16, 20)
-ROUNDS, RATE, MINIBATCH = 1, 0.15, 8192
+ROUNDS, RATE, MINIBATCH = 4, 0.15, 8192
 #: training tokens of a unit, tokens whose features are made at a time
 UNIT, CHUNK = 6_000_000, 65_536
 SLICE = 16_384

@@ -199,3 +199,13 @@ def test_lm_learns_rare_words():
     assert abs(before[1] + np.log10(words)) < 1e-3 and after[1] > before[1] + 2 and after[1] > other[0] + 0.5
     every = np.arange(words)
     assert abs((10 ** model.log10(every, np.repeat(f[1:2], words, axis=0))).sum() - 1) < 1e-3
+
+
+def test_lm_does_not_depend_on_partitions(given, spark, monkeypatch):
+    """Held-out scores of one input partition and of many, with several units a round."""
+    monkeypatch.setattr(maxent, "UNIT", 20_000)
+    docs = given[0].where("doc_id < 300").select("doc_id", "text")
+    assert maxent.ROUNDS > 1
+    few, many = ({r.doc_id: r.score for r in maxent.lm_score(docs.repartition(n)).where("held_out").collect()} for n in (1, 60))
+    assert few.keys() == many.keys() and len(few) > 20
+    assert max(abs(few[i] / many[i] - 1) for i in few) < 1e-4
