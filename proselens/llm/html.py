@@ -43,7 +43,12 @@ NAME = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math object select".split())
+#: elements whose content is text up to their end tag, without one up to the end of the page
+RAW = frozenset("script style title textarea".split())
+#: elements that are skipped with all that is nested in them; without an end tag they are ordinary blocks
+SKIPPED = frozenset("noscript iframe template svg math object select".split())
+#: of these, the ones that a closing slash makes empty
+FOREIGN = frozenset(["svg", "math"])
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body article section div main aside nav footer header form td blockquote".split())
@@ -59,12 +64,36 @@ OTHER_NAMES = frozenset("nav navigation menu header footer sidebar aside ad ads
 Block = tuple[tuple[str, ...], str, float]
 
 
+def skipped_to(page: str) -> dict[int, int]:
+    """End of each start tag of a SKIPPED element, and of the end tag that closes it, for the elements that are closed."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in SKIPPED}
+    at = 0
+    while m := TAG.search(page, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in RAW and not m[1]:
+            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        elif tag in SKIPPED:
+            if not m[1]:
+                if not empty(tag, m[3]):
+                    opened[tag].append(at)
+            elif opened[tag]:
+                out[opened[tag].pop()] = at
+    return out
+
+
+def empty(tag: str, attributes: str) -> bool:
+    return tag in FOREIGN and attributes.endswith("/")
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: path (tags, ``.class`` and ``#id`` names from the top), text, share of linked text."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked = link = at = 0
+    ends: dict[int, int] | None = None  # made at the first SKIPPED element
 
     def flush() -> None:
         nonlocal linked, text
@@ -99,6 +128,10 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "br":
             text.append(" ")
+        elif empty(tag, m[3]):
+            pass
+        elif tag in SKIPPED and (ends := skipped_to(page) if ends is None else ends).get(at):
+            at = ends[at]
         elif tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)

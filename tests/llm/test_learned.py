@@ -209,3 +209,19 @@ def test_lm_does_not_depend_on_partitions(given, spark, monkeypatch):
     few, many = ({r.doc_id: r.score for r in maxent.lm_score(docs.repartition(n)).where("held_out").collect()} for n in (1, 60))
     assert few.keys() == many.keys() and len(few) > 20
     assert max(abs(few[i] / many[i] - 1) for i in few) < 1e-4
+
+
+@pytest.mark.parametrize("markup,want", [
+    ("<svg class=i /><p>one</p><svg><text>no</text></svg><p>two</p>", ["one", "two"]),
+    ("<math/><p>one</p>", ["one"]),
+    ("<p>a</p><svg/><svg><g><svg><text>no</text></svg><text>no</text></g></svg><p>b</p>", ["a", "b"]),
+    ("<object><object>no</object>no</object><p>one</p>", ["one"]),
+    ("<object data=x><p>one</p><p>two</p>", ["one", "two"]),
+    ("<template><p>one</p><template>no</template><p>two</p>", ["one", "two"]),
+    ("<select><option>x</option><p>one</p>", ["x", "one"]),
+    ("<noscript><script>'</noscript>'</script>no</noscript><p>one</p>", ["one"]),
+    ("<noscript><p>one</p><script>'</noscript>'</script><p>two</p>", ["one", "two"]),
+    ("<iframe/><p>one</p>", ["one"]),
+    ("<p>one</p><style>p{}", ["one"])])
+def test_html_skipped_elements(markup, want):
+    assert [t for _, t, _ in H.blocks(markup)] == want
