@@ -31,12 +31,12 @@ def chunks(text: bytes) -> list[bytes]:
     return [text[i:i + CHUNK] for i in range(0, max(1, len(text)), CHUNK)]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; where there is too little text to train one, the text itself."""
+def dictionary(texts: list[bytes], most: int = DICTIONARY_CHUNKS) -> bytes:
+    """A dictionary trained on at most ``most`` chunks; where there is too little text to train one, the text itself."""
     import zstandard
 
     parts = [c for t in texts for c in chunks(t) if c]
-    order = np.random.default_rng(0).permutation(len(parts))[:DICTIONARY_CHUNKS]
+    order = np.random.default_rng(0).permutation(len(parts))[:most]
     parts = [parts[i] for i in order]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes()
@@ -95,14 +95,14 @@ class Calibration:
         return np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
 
 
-def fit(sample: DataFrame) -> tuple[list[bytes], Calibration]:
+def fit(sample: DataFrame, texts: int = DICTIONARY_TEXTS, parts: int = DICTIONARY_CHUNKS) -> tuple[list[bytes], Calibration]:
     """Dictionaries from one half of ``_id, _y, _text`` rows, the calibration from the other half."""
     half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2))
     built = []
     for y in (0, 1):
         rows = sample.where((half == 0) & (F.col("_y") == y)).orderBy(F.xxhash64("_id"), "_id") \
-            .limit(DICTIONARY_TEXTS).select("_text").toArrow()  # bounded by DICTIONARY_TEXTS
-        built.append(dictionary([t.encode("utf-8") for t in rows["_text"].to_pylist()]))
+            .limit(texts).select("_text").toArrow()  # bounded by `texts`
+        built.append(dictionary([t.encode("utf-8") for t in rows["_text"].to_pylist()], parts))
     found = sample.where(half == 1).select("_y", "_text").repartition(8) \
         .mapInArrow(_features(built, ["_y"]), "_y int, _x array<double>").toArrow()  # bounded by the sample
     if not found.num_rows:
@@ -111,15 +111,17 @@ def fit(sample: DataFrame) -> tuple[list[bytes], Calibration]:
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, sample: int = SAMPLE,
-            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            id_col: str = "doc_id", text_col: str = "text", dictionary_texts: int = DICTIONARY_TEXTS,
+            dictionary_chunks: int = DICTIONARY_CHUNKS) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
-    Labels are learned from at most ``sample`` labelled rows whose crc32(doc_id as text) mod 5 is not 0.
+    Labels are learned from at most ``sample`` labelled rows whose crc32(doc_id as text) mod 5 is not 0;
+    each label's dictionary from at most ``dictionary_texts`` texts and ``dictionary_chunks`` chunks of one half of them.
     Scores use the text only.  A null text counts as empty, and an empty text is scored like any other
     (its sizes are those of an empty frame); without labelled rows every score is one half.  Repeated rows
     get equal scores; a null id stays null; other columns are ignored.
     """
-    built, line = fit(labelled_sample(docs, labels, label, sample, id_col, text_col))
+    built, line = fit(labelled_sample(docs, labels, label, sample, id_col, text_col), dictionary_texts, dictionary_chunks)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, 5) == 0).alias("held_out"),
                        text_of(text_col).alias("_text"))
     scored = rows.mapInArrow(_features(built, ["doc_id", "held_out"]), "doc_id long, held_out boolean, _x array<double>")

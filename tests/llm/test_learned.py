@@ -225,3 +225,11 @@ def test_lm_does_not_depend_on_partitions(given, spark, monkeypatch):
     ("<p>one</p><style>p{}", ["one"])])
 def test_html_skipped_elements(markup, want):
     assert [t for _, t, _ in H.blocks(markup)] == want
+
+
+def test_quality_bounds_are_parameters(given, monkeypatch):
+    docs, labels = given
+    seen, built = [], quality.dictionary
+    monkeypatch.setattr(quality, "dictionary", lambda texts, most: seen.append((len(texts), most)) or built(texts, most))
+    quality.quality(docs, labels, dictionary_texts=7, dictionary_chunks=5)
+    assert seen == [(7, 5), (7, 5)]
