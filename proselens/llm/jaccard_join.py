@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: MinHash LSH forest and exact verification.
+"""N-gram Jaccard join: MinHash banding and exact verification.
 
 Documents become sets of word shingles.  Equal sets form one copy class, found by a
 digest of the set; all later work is on one representative a class.  A representative
-has one label sequence (MinHash values) in each tree of the forest; two documents
-meet in a tree when their sequences share a prefix.  The prefix starts at the full
-depth and is shortened until the chance to meet in some tree, at the threshold, reaches
-the target recall (``trie_depth``).
+has one key in each band ("tree"), which stands for ``depth`` MinHash values; two documents
+meet when they share a key.  The depth is the same for all data: the greatest at which the
+chance to meet in some band, at the threshold, reaches the target recall (``trie_depth``).
+It stands in for an LSH forest; no prefix trees are built.
 
 Documents that share a prefix are linked into candidate components by passing the
 least label along (no pairs are made).  A component is cut into blocks; each pair of
@@ -218,7 +218,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: st
     leaves = filled.groupBy("_run", "_digest").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n"))
     classes = stored(leaves.groupBy("_digest").agg(F.min("_rep").alias("_rep"), F.sum("_n").alias("_n")))
 
-    # the forest: groups of representatives that share a prefix
+    # the bands: groups of representatives that share a key
     reps = classes.join(filled.select(F.col("_id").alias("_rep"), "_digest", "_labels").dropDuplicates(["_rep", "_digest"]),
                         ["_rep", "_digest"])
     prefixes = reps.select(F.col("_rep").alias("_node"), F.explode("_labels").alias("_group"))
