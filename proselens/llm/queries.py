@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, html, jaccard_join, line_dedup, maxent, periodic, quality, substring, toxicity
+from . import bpe, conversation, decontam, exact_dedup, html, jaccard_join, line_dedup, maxent, periodic, quality, substring, token_counts, toxicity
 from .common import WORD, read, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
 
 
 def vocabulary() -> tuple[str, str]:
@@ -66,6 +68,33 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_score(read(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counter, version = token_counts.piece_counter(public_tokenizers.path(PIECES))
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), counter, version) \
+        .withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """``conversations`` rows, nulls as one space, dropped, emptied, cut, repeated or given to user by a CRC-32."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"),
+                        (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20).alias("h")).where("h != 0")
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("h") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return rows.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"),
+                       F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    found = conversation.repair_conversations(damaged(turns)).summary
+    every = turns.select("conv_id").distinct().withColumn("_conv", conversation.conv_key("conv_id"))
+    zero = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")} | {"audit": ""}
+    return every.join(found, "_conv", "left").drop("_conv").fillna(zero).withColumn(
+        "repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+
+
 def periodic_tails(docs: DataFrame) -> DataFrame:
     """``doc_id, text``; one text in ten gets a periodic tail, placed by the CRC-32 of its doc_id (null: empty)."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -98,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_token_counts": op11_token_counts,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

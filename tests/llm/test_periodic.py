@@ -87,7 +87,7 @@ def test_query_same_as_brute_force(spark, tmp_path):
     small = [r for r in rows if r[0] != 303]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted((r for r in got if r[0] != 303), key=key) == sorted((row(*r) for r in small), key=key)
-    assert sum(r[1] for r in got) > 80
+    assert sum(r[1] for r in got) > 40
     assert [r[1:6] for r in got if r[0] == 303] == [(1, 0, 5000, 1, 5_000_000)]
 
 
