@@ -7,10 +7,10 @@ scores are macro-F1 on the train and test rows (A6).
 
 Linear models (logistic regression, squared-hinge SVM with L1 or L2 penalty) are
 solved by ``operators.linear``: all candidates and folds of a run together, on the
-min-max features of each fold (A3), with sklearn's ``C`` as it is.  Boosted trees are grown by
-``operators.boosting``, all candidates and folds together (trees do not depend on the scaler).
-Forests are ``pyspark.ml`` pipelines under ``CrossValidator``; their scaler is Spark's
-``MinMaxScaler`` (0.5 instead of 0 for a constant column, which no tree can split).
+min-max features of each fold (A3), with sklearn's ``C`` as it is.  Boosted trees and forests are grown by
+``operators.boosting`` and ``operators.forest``, all candidates and folds together (trees do not
+depend on the scaler).  Stored models are tables (S8): weights, tree nodes or network units; ``predict`` scores
+them by column expressions.
 """
 
 from __future__ import annotations
@@ -18,26 +18,29 @@ from __future__ import annotations
 import itertools
 import random
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.errors import AnalysisException
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, MinMaxScaler, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import binned as BN
 from . import boosting as BO
 from . import evaluate as E
+from . import forest as FR
 from . import linear as LN
 from . import network as NW
+from . import nodes as NT
 
 C = F.col
 K_FOLDS = 5
@@ -61,10 +64,6 @@ def with_vector(df: DataFrame, cols: list[str] | None, array_col: str | None = N
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="error").transform(df)
 
 
-def _pipeline(clf) -> Pipeline:
-    return Pipeline(stages=[MinMaxScaler(inputCol="raw", outputCol="features"), clf])
-
-
 def lr_candidates(grid: dict = LR_GRID) -> list[dict]:
     """L3: logistic regression, L2 penalty, grid over C."""
     return [{"loss": "logistic", "penalty": "l2", "C": c} for c in grid["C"]]
@@ -98,22 +97,14 @@ def random_candidates(space: dict, n_iter: int = RANDOM_ITER, seed: int = SEED)
     return rnd.sample(allc, min(n_iter, len(allc)))
 
 
-def _maps(clf, cands: list[dict]):
-    out = []
-    for c in cands:
-        out.append({clf.getParam(k): (v if k != "impurity" or v != "log_loss" else "entropy") for k, v in c.items()})
-    return out
-
-
-def rf_random_search(space: dict = RF_SPACE, n_iter: int = RANDOM_ITER, seed: int = SEED):
-    """Random forest under random search; ``log_loss`` impurity is entropy."""
-    clf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=SEED)
-    return _pipeline(clf), _maps(clf, random_candidates(space, n_iter, seed))
+def rf_candidates(space: dict = RF_SPACE, n_iter: int = RANDOM_ITER, seed: int = SEED) -> list[dict]:
+    """Random forests under random search; ``log_loss`` impurity is entropy."""
+    return random_candidates(space, n_iter, seed)
 
 
 LINEAR = {"svm": svm_candidates, "lr": lr_candidates, "svm_random": svm_random_candidates}
 BOOSTED = {"gbt": gbt_candidates, "gbt_small": gbt_small_candidates}
-TREES = {"rf": rf_random_search}
+FORESTS = {"rf": rf_candidates}
 
 
 @dataclass
@@ -169,41 +160,103 @@ def linear_searches(train: DataFrame, searches: dict[str, list[dict]], array_col
 
 
 @dataclass
-class BoostedModel:
-    """Fitted boosted trees on quantile bins, with their search's record."""
+class TreeModel:
+    """Fitted trees as a node table, with their search's record.
 
-    edges: list
-    trees: list
-    depth: int
+    ``boosted`` trees add up to the log-odds of class 1, those of a ``forest`` vote with their shares of class 1.
+    """
+
+    kind: str  # boosted, forest
+    nodes: list  # (tree, node, feature, cut, left, value)
     params: dict
     cv: float
     means: list
+    trees: list
+
+    def table(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.nodes, NT.NODE_SCHEMA)
 
     def transform(self, df: DataFrame, array_col: str = "x") -> DataFrame:
-        return BO.score_trees(df, self.edges, self.trees, self.depth, array_col)
+        return df.withColumn("prediction", NT.prediction(NT.score(self.nodes, C(array_col), self.params["maxDepth"]), self.kind, len(self.trees)))
+
+    def save(self, spark, path: str) -> None:
+        about = [F.lit(self.kind).alias("kind"), F.lit(len(self.trees)).alias("n_trees"), F.lit(self.params["maxDepth"]).alias("depth"),
+                 F.create_map(*[F.lit(str(v)) for kv in self.params.items() for v in kv]).alias("params"), F.lit(self.cv).alias("cv")]
+        self.table(spark).select("*", *about).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _boosted_runs(candidates: list[dict], folds: list[int], columns) -> tuple[list, list]:
+    rounds: dict[tuple, set] = {}
+    for c in candidates:
+        rounds.setdefault((c["maxDepth"], c["stepSize"]), set()).add(c["maxIter"])
+    keys = [(k, f) for k in rounds for f in folds]
+    return keys, [(BO.Run(d, rate, max(rounds[d, rate]), f, columns), rounds[d, rate]) for (d, rate), f in keys]
+
 
+def boosted_searches(rows: BN.BinnedRows, folds: list[int], searches: dict[str, tuple[list[dict], tuple | None]]) -> dict[str, TreeModel]:
+    """L4/L5 for boosted trees: all candidates of all searches (candidates, columns or None) in one go, then the refits.
 
-def boosted_search(train: DataFrame, candidates: list[dict], array_col: str = "x") -> BoostedModel:
-    """L4/L5 for boosted trees: one run for each (depth, rate, fold), candidates read off at their rounds, then the refit."""
-    folds = sorted(r[0] for r in train.select("fold").distinct().collect())
-    search = BO.BoostSearch(train.select(array_col, "label", "fold"), array_col)
+    One run for each (columns, depth, rate, fold); candidates of fewer rounds are read off at their rounds.
+    """
+    search = BO.BoostSearch(None, rows=rows)
+    runs, marks, place = [], {}, {}
+    for name, (cands, columns) in searches.items():
+        for key, (run, at) in zip(*_boosted_runs(cands, folds, columns)):
+            place[name, key], marks[len(runs)] = len(runs), at
+            runs.append(run)
+    _, counts = search.grow(runs, marks, keep=False)
+    best, refits = {}, []
+    for name, (cands, columns) in searches.items():
+        means = []
+        for c in cands:
+            own = [LN.f1(counts[place[name, ((c["maxDepth"], c["stepSize"]), f)], c["maxIter"]]) for f in folds]
+            means.append(tuple(float(v) for v in np.mean(own, axis=0)))
+        c = cands[int(np.argmax([m[0] for m in means]))]
+        best[name] = (c, means)
+        refits.append(BO.Run(c["maxDepth"], c["stepSize"], c["maxIter"], columns=columns))
+    out = {}
+    for (name, (c, means)), run, trees in zip(best.items(), refits, search.grow(refits)[0]):
+        nodes = NT.node_rows(trees, rows.edges, run.columns)
+        out[name] = TreeModel("boosted", nodes, c, max(m[0] for m in means), means, trees)
+    return out
+
+
+def boosted_search(train: DataFrame, candidates: list[dict], array_col: str = "x") -> TreeModel:
+    """One search over all features of ``train`` (``label, fold`` and the features as an array)."""
+    rows = BN.BinnedRows(train.select(array_col, "label", "fold"), array_col)
+    try:
+        return boosted_searches(rows, _folds(train), {"": (candidates, None)})[""]
+    finally:
+        rows.close()
+
+
+def forest_search(train: DataFrame, candidates: list[dict], array_col: str = "x", key: str = "doc_id") -> TreeModel:
+    """L5/L6 for forests: one run for each (impurity, features a node, depth, fold), then the refit."""
+    rows, folds = BN.BinnedRows(train.select(array_col, "label", "fold", key), array_col, key=key), _folds(train)
     try:
-        rounds: dict[tuple, set] = {}
+        def run(c, trees, fold=BN.ALL_ROWS):
+            k = {"sqrt": np.sqrt, "log2": np.log2}[c["featureSubsetStrategy"]](rows.width)
+            return FR.Run(trees, c["maxDepth"], "gini" if c["impurity"] == "gini" else "entropy", max(1, int(k)), fold, SEED)
+        sizes: dict[FR.Run, set] = {}
         for c in candidates:
-            rounds.setdefault((c["maxDepth"], c["stepSize"]), set()).add(c["maxIter"])
-        keys = [(k, f) for k in rounds for f in folds]
-        runs = [BO.Run(k[0], k[1], max(rounds[k]), f) for k, f in keys]
-        _, counts = search.grow(runs, {i: rounds[k] for i, (k, _) in enumerate(keys)})
+            for f in folds:
+                sizes.setdefault(run(c, 0, f), set()).add(c["numTrees"])
+        runs = list(sizes)
+        search = FR.ForestSearch(rows)
+        _, counts = search.grow([replace(r, trees=max(sizes[r])) for r in runs], {k: sizes[r] for k, r in enumerate(runs)}, keep=False)
         means = []
         for c in candidates:
-            own = [LN.f1(counts[keys.index(((c["maxDepth"], c["stepSize"]), f)), c["maxIter"]]) for f in folds]
+            own = [LN.f1(counts[runs.index(run(c, 0, f)), c["numTrees"]]) for f in folds]
             means.append(tuple(float(v) for v in np.mean(own, axis=0)))
-        best = int(np.argmax([m[0] for m in means]))
-        c = candidates[best]
-        forest, _ = search.grow([BO.Run(c["maxDepth"], c["stepSize"], c["maxIter"])])
-        return BoostedModel(search.edges, forest[0], c["maxDepth"], c, means[best][0], means)
+        best = candidates[int(np.argmax([m[0] for m in means]))]
+        trees = search.grow([run(best, best["numTrees"])])[0][0]
+        return TreeModel("forest", NT.node_rows(trees, rows.edges, None), best, max(m[0] for m in means), means, trees)
     finally:
-        search.close()
+        rows.close()
+
+
+def _folds(train: DataFrame) -> list[int]:
+    return sorted(r[0] for r in train.select("fold").distinct().collect())
 
 
 def _frozen(candidate: dict) -> tuple:
@@ -247,42 +300,37 @@ def compact(df: DataFrame) -> DataFrame:
 
 def train_models(run: str, table: DataFrame, cols: list[str] | None = None, array_col: str | None = None,
                  models: tuple = ("gbt", "svm", "lr"), parallelism: int = 4, store: str | None = None,
-                 with_best: bool = False) -> list[tuple]:
+                 with_best: bool = False, ready: dict | None = None) -> list[tuple]:
     """Fit each search, optionally store it (S8), score both splits; result rows.
 
-    A split without rows has a null score.
+    ``ready`` holds models that were fitted elsewhere, on the same rows.  A split without rows has a null score.
+    ``parallelism`` has no effect any more: every search's candidates and folds run together.
     """
     spark = table.sparkSession
-    unknown = [m for m in models if m not in LINEAR and m not in TREES and m not in BOOSTED]
+    unknown = [m for m in models if m not in LINEAR and m not in FORESTS and m not in BOOSTED]
     if unknown:
         raise ValueError(f"unknown models: {unknown}")
     data = compact(prepare(table, cols, array_col))
     train, test = data.where(C("split") == "train"), data.where(C("split") == "test")
     linear = [m for m in models if m in LINEAR]
-    fitted = linear_searches(train, {m: LINEAR[m]() for m in linear}) if linear else {}
+    fitted = dict(ready or {}) | (linear_searches(train, {m: LINEAR[m]() for m in linear}) if linear else {})
+    boosted = [m for m in models if m in BOOSTED and m not in fitted]
+    if boosted:
+        rows = BN.BinnedRows(train.select("x", "label", "fold"))
+        try:
+            fitted |= boosted_searches(rows, _folds(train), {m: (BOOSTED[m](), None) for m in boosted})
+        finally:
+            rows.close()
+    for name in models:
+        if name in FORESTS and name not in fitted:
+            fitted[name] = forest_search(train, FORESTS[name]())
     out = []
     for name in models:
-        if name in fitted:
-            best = fitted[name]
-            params, cv = {k: str(v) for k, v in best.params.items()}, best.cv
-            if store:
-                best.save(spark, f"{store}/{run}_{name}")
-        elif name in BOOSTED:
-            if store:
-                raise ValueError("boosted trees have no stored form")
-            best = boosted_search(train, BOOSTED[name]())
-            params, cv = {k: str(v) for k, v in best.params.items()}, best.cv
-        else:
-            pipe, maps = TREES[name]()
-            rows = train.select("doc_id", C("label").cast("double").alias("label"), "fold", array_to_vector("x").alias("raw"))
-            cvm = grid_search(pipe, maps, rows, parallelism)
-            i = max(range(len(cvm.avgMetrics)), key=lambda j: (cvm.avgMetrics[j], -j))
-            params, cv, model = {p.name: str(v) for p, v in maps[i].items()}, float(cvm.avgMetrics[i]), cvm.bestModel
-            if store:
-                model.write().overwrite().save(f"{store}/{run}_{name}")
-            best = _Vectors(model)
+        best = fitted[name]
+        if store:
+            best.save(spark, f"{store}/{run}_{name}")
         row = (run, name, macro_f1_of(best, train), macro_f1_of(best, test))
-        out.append(row + (params, cv) if with_best else row)
+        out.append(row + ({k: str(v) for k, v in best.params.items()}, best.cv) if with_best else row)
     data.unpersist()
     return out
 
@@ -298,10 +346,25 @@ class _Vectors:
 
 
 def train_runs(runs: list[tuple[str, list[str]]], table: DataFrame, models: tuple, threads: int = 6) -> list[tuple]:
-    """Runs over column subsets of one table, several at a time (each is bound by job latency)."""
-    sc = table.sparkSession
+    """Runs over column subsets of one table.
+
+    The boosted trees of all runs grow together over one binned matrix of all their columns; the linear models of
+    several runs are solved at a time (each is bound by job latency).
+    """
+    names = list(dict.fromkeys(c for _, cols in runs for c in cols))
+    boosted = [m for m in models if m in BOOSTED]
+    ready: dict[str, dict] = {name: {} for name, _ in runs}
+    if boosted:
+        train = compact(prepare(table, names)).where(C("split") == "train")
+        rows = BN.BinnedRows(train.select("x", "label", "fold"))
+        try:
+            own = {name: tuple(names.index(c) for c in cols) for name, cols in runs}
+            found = boosted_searches(rows, _folds(train), {f"{name}/{m}": (BOOSTED[m](), own[name]) for name, _ in runs for m in boosted})
+            ready = {name: {m: found[f"{name}/{m}"] for m in boosted} for name, _ in runs}
+        finally:
+            rows.close()
     with ThreadPoolExecutor(threads) as pool:
-        jobs = [pool.submit(inheritable_thread_target(sc)(train_models), name, table, cols, models=models) for name, cols in runs]
+        jobs = [pool.submit(inheritable_thread_target(table.sparkSession)(train_models), name, table, cols, models=models, ready=ready[name]) for name, cols in runs]
         return [row for j in jobs for row in j.result()]
 
 
@@ -310,17 +373,23 @@ RESULT_SCHEMA_BEST = RESULT_SCHEMA + ", best_params map<string,string>, best_cv
 
 
 def predict(model_path: str, table: DataFrame, cols: list[str] | None = None, array_col: str | None = None) -> DataFrame:
-    """L12 + S8: load a stored model (linear weights or a pipeline) and score a feature table."""
+    """L12 + S8: load a stored model (linear weights, a node table, a network or a pipeline) and score a feature table."""
     spark = table.sparkSession
     x = C(array_col).cast("array<double>") if array_col else F.array(*[C(c).cast("double") for c in cols])
     t = table.select("doc_id", x.alias("x"))
     try:
-        r = spark.read.schema(LINEAR_SCHEMA).parquet(model_path).first()
-    except AnalysisException:
-        r = None
-    if r is None:
+        held = spark.read.parquet(model_path)
+    except AnalysisException:  # a pipeline's folder holds no table of its own
         return _Vectors(PipelineModel.load(model_path)).transform(t).select("doc_id", C("prediction").cast("int").alias("prediction"))
-    return LinearModel(r["w"], r["lo"], r["width"], dict(r["params"]), r["cv"], float("nan"), []).transform(t).select("doc_id", "prediction")
+    if "left" in held.columns:
+        about = held.select("kind", "n_trees", "depth").first()
+        p = NT.prediction(NT.score(NT.read_nodes(held), C("x"), about["depth"]), about["kind"], about["n_trees"])
+    elif "bias" in held.columns:
+        p = NW.prediction(NW.score_table(held, C("x")))
+    else:
+        r = held.first()
+        p = (linear_decision(C("x"), r["lo"], r["width"], r["w"]) > 0).cast("int")
+    return t.select("doc_id", p.alias("prediction"))
 
 
 # --------------------------------------------------------------------------- L10, L11: small network

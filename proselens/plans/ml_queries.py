@@ -1,8 +1,7 @@
-"""Registered learning queries (L2-L6, L8, L10-L21, S7, S8, O3): checked on rows only.
+"""Registered learning queries (L1-L21, S7, S8, O3): those without oracle SQL are checked on rows only.
 
 They read the labelled feature table written by ``jobs.compute_and_save_metrics``
 (derived from ``documents`` and ``labels``) and the ``embeddings`` table.
-The full boosted-tree grid (L1) is a library operator but is not registered: see the README.
 """
 
 from __future__ import annotations
@@ -19,8 +18,7 @@ from ..sources import io as IO
 from . import jobs
 
 C = F.col
-LINEAR_MODELS = ("svm", "lr")
-PARALLELISM = 8
+MODELS = ("gbt", "svm", "lr")
 
 
 def _features(spark, sf_dir):
@@ -35,7 +33,7 @@ def _family_run(spark, sf_dir, family, models, group=None):
     t = _features(spark, sf_dir)
     cols = G.metrics_of(family, group)
     name = family if group is None else f"{family}_{group.lower()}"
-    return ML.train_models(name, t, cols, models=models, parallelism=PARALLELISM)
+    return ML.train_models(name, t, cols, models=models)
 
 
 def q_train_lr(spark, sf_dir):
@@ -59,22 +57,27 @@ def q_train_gbt_small(spark, sf_dir):
     return _rows(spark, _family_run(spark, sf_dir, "multiazter", ("gbt_small",)))
 
 
+def q_train_gbt(spark, sf_dir):
+    """L1: boosted trees over the full grid (96 candidates), family C."""
+    return _rows(spark, _family_run(spark, sf_dir, "coh_metrix", ("gbt",)))
+
+
 def q_train_models(spark, sf_dir):
-    """One run over all metrics of family C, linear models (boosted trees: see the README)."""
-    return _rows(spark, _family_run(spark, sf_dir, "coh_metrix", LINEAR_MODELS))
+    """One run over all metrics of family C, the three models."""
+    return _rows(spark, _family_run(spark, sf_dir, "coh_metrix", MODELS))
 
 
 def q_train_families(spark, sf_dir):
     """A run per family."""
     runs = [(fam, G.metrics_of(fam, None)) for fam in ("coh_metrix", "multiazter")]
-    return _rows(spark, ML.train_runs(runs, _features(spark, sf_dir), LINEAR_MODELS))
+    return _rows(spark, ML.train_runs(runs, _features(spark, sf_dir), MODELS))
 
 
 def q_train_groups(spark, sf_dir):
     """A run per metric group of both families (8 + 9 runs) on one cached feature table."""
     t = _features(spark, sf_dir).cache()
     runs = [(f"{fam}_{g.lower()}", G.metrics_of(fam, g)) for fam in ("coh_metrix", "multiazter") for g in G.groups_of(fam)]
-    rows = ML.train_runs(runs, t, LINEAR_MODELS)
+    rows = ML.train_runs(runs, t, MODELS)
     t.unpersist()
     return _rows(spark, rows)
 
@@ -90,11 +93,9 @@ def q_grid_search(spark, sf_dir):
 def q_random_search(spark, sf_dir):
     """The sampled random-forest candidates and their mean fold scores."""
     t = ML.compact(ML.prepare(_features(spark, sf_dir), G.metrics_of("multiazter")))
-    train = t.where(C("split") == "train").select(
-        "doc_id", C("label").cast("double").alias("label"), "fold", ML.array_to_vector("x").alias("raw"))
-    pipe, maps = ML.rf_random_search()
-    cvm = ML.grid_search(pipe, maps, train, PARALLELISM)
-    rows = [(i, {p.name: str(v) for p, v in m.items()}, float(s)) for i, (m, s) in enumerate(zip(maps, cvm.avgMetrics))]
+    cands = ML.rf_candidates()
+    best = ML.forest_search(t.where(C("split") == "train"), cands)
+    rows = [(i, {k: str(v) for k, v in c.items()}, m[0]) for i, (c, m) in enumerate(zip(cands, best.means))]
     return spark.createDataFrame(rows, "candidate int, params map<string,string>, mean_score double")
 
 
@@ -122,8 +123,8 @@ def q_predict(spark, sf_dir):
 
 def q_sink_results(spark, sf_dir):
     """Result rows of the readability runs of both families, written partitioned by run and read back."""
-    rows = _family_run(spark, sf_dir, "coh_metrix", LINEAR_MODELS, "READABILITY")
-    rows += _family_run(spark, sf_dir, "multiazter", LINEAR_MODELS, "READABILITY")
+    rows = _family_run(spark, sf_dir, "coh_metrix", MODELS, "READABILITY")
+    rows += _family_run(spark, sf_dir, "multiazter", MODELS, "READABILITY")
     path = new_path(spark, "results")
     IO.sink_results(_rows(spark, rows), path)
     return spark.read.parquet(path)
@@ -143,7 +144,7 @@ def q_train_embedding_metrics(spark, sf_dir):
     """Embeddings + family M; boosted trees, forest and SVM under random search, best params and CV score."""
     t = _emb_table(spark, sf_dir, "multiazter")
     rows = ML.train_models("berta_multiazter", t, array_col="x", models=("gbt_small", "rf", "svm_random"),
-                           parallelism=PARALLELISM, with_best=True)
+                           with_best=True)
     return _rows(spark, rows, ML.RESULT_SCHEMA_BEST)
 
 
@@ -242,7 +243,7 @@ def q_train_svm_l1(spark, sf_dir):
 
 QUERIES = {
     "train_svm_l1": q_train_svm_l1,
-    "train_gbt_small": q_train_gbt_small, "train_lr": q_train_lr, "train_svm": q_train_svm, "train_rf": q_train_rf,
+    "train_gbt": q_train_gbt, "train_gbt_small": q_train_gbt_small, "train_lr": q_train_lr, "train_svm": q_train_svm, "train_rf": q_train_rf,
     "train_svm_random": q_train_svm_random, "grid_search": q_grid_search, "random_search": q_random_search,
     "train_models": q_train_models, "train_families": q_train_families, "train_groups": q_train_groups,
     "model_store": q_model_store, "predict": q_predict, "sink_results": q_sink_results,
