@@ -399,9 +399,11 @@ def train_mlp(table: DataFrame, array_col: str, epochs: int = 100, patience: int
 
     Returns (network with its history, scored frame ``doc_id, split, label, p, prediction``).
     """
+    mean, var = E.fit_zscore(table, array_col, C("split") == "train")
     z = E.zscore_scale(table, array_col, C("split") == "train", "z").select("doc_id", C("label").cast("int").alias("label"), "split", "z")
     z = compact(z)
     network = NW.train_network(z.where(C("split") == "train"), "z", epochs=epochs, patience=patience, seed=seed)
+    network.scale = (mean, [max(v ** 0.5, E.EPS_KERAS) for v in var])
     return network, NW.score_network(z, network, "z")
 
 

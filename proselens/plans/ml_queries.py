@@ -6,12 +6,17 @@ They read the labelled feature table written by ``jobs.compute_and_save_metrics`
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import groups as G
+from ..operators import binned as BN
+from ..operators import boosting as BO
 from ..operators import evaluate as E
 from ..operators import models as ML
+from ..operators import nodes as NT
 from ..session import new_path, table_path
 from ..sources import corpus as CO
 from ..sources import io as IO
@@ -99,26 +104,47 @@ def q_random_search(spark, sf_dir):
     return spark.createDataFrame(rows, "candidate int, params map<string,string>, mean_score double")
 
 
-def _stored_model(spark, sf_dir):
+def _stored_models(spark, sf_dir):
+    """The run of family C readability: its three models, each stored as a table."""
     t = _features(spark, sf_dir)
     cols = G.metrics_of("coh_metrix", "READABILITY")
     store = new_path(spark, "models")
-    rows = ML.train_models("coh_metrix_readability", t, cols, models=("lr",), store=store)
-    return t, cols, f"{store}/coh_metrix_readability_lr", rows
+    rows = ML.train_models("coh_metrix_readability", t, cols, models=MODELS, store=store)
+    return t, cols, {r[1]: f"{store}/coh_metrix_readability_{r[1]}" for r in rows}, rows
 
 
 def q_model_store(spark, sf_dir):
     """The stored search as it is read back, with the scores of its run."""
-    _, _, path, rows = _stored_model(spark, sf_dir)
-    return spark.read.schema(ML.LINEAR_SCHEMA).parquet(path).select(
-        F.lit(rows[0][0]).alias("run"), F.size("w").alias("n_weights"), C("params")["C"].alias("c"), "cv",
-        F.lit(rows[0][2]).cast("double").alias("train_score"), F.lit(rows[0][3]).cast("double").alias("test_score"))
+    _, _, paths, rows = _stored_models(spark, sf_dir)
+    scores = next(r for r in rows if r[1] == "lr")
+    return spark.read.schema(ML.LINEAR_SCHEMA).parquet(paths["lr"]).select(
+        F.lit(scores[0]).alias("run"), F.size("w").alias("n_weights"), C("params")["C"].alias("c"), "cv",
+        F.lit(scores[2]).cast("double").alias("train_score"), F.lit(scores[3]).cast("double").alias("test_score"))
 
 
 def q_predict(spark, sf_dir):
-    """The stored model loaded; a prediction for every labelled document."""
-    t, cols, path, _ = _stored_model(spark, sf_dir)
-    return ML.predict(path, t, cols)
+    """The stored models loaded; a prediction of each for every labelled document."""
+    t, cols, paths, _ = _stored_models(spark, sf_dir)
+    return functools.reduce(DataFrame.unionByName, (
+        ML.predict(paths[m], t, cols).select("doc_id", F.lit(m).alias("model"), "prediction") for m in MODELS))
+
+
+TREE = BO.Run(depth=2, rate=0.3, rounds=1)
+
+
+def q_predict_trees(spark, sf_dir):
+    """L12 + S8: one boosted tree of all vectors (class 1: label >= 5), stored, read back, and walked for every vector."""
+    e = spark.read.parquet(table_path(sf_dir, "embeddings")).select("vec_id", C("embedding").cast("array<double>").alias("x"),
+                                                                   (C("label") >= 5).cast("int").alias("label"))
+    rows = BN.BinnedRows(e.withColumn("fold", F.lit(0)), key="vec_id")
+    try:
+        (trees,), _ = BO.BoostSearch(None, rows=rows).grow([TREE])
+    finally:
+        rows.close()
+    path = f"{new_path(spark, 'models')}/tree"
+    ML.TreeModel("boosted", NT.node_rows(trees, rows.edges, None), {"maxDepth": TREE.depth}, 0.0, [], trees).save(spark, path)
+    score = NT.score(NT.read_nodes(spark.read.parquet(path)), C("x"), TREE.depth)
+    return e.select("vec_id", score.alias("score"), NT.prediction(score, "boosted", 1).alias("prediction"))
 
 
 def q_sink_results(spark, sf_dir):
@@ -246,7 +272,7 @@ QUERIES = {
     "train_gbt": q_train_gbt, "train_gbt_small": q_train_gbt_small, "train_lr": q_train_lr, "train_svm": q_train_svm, "train_rf": q_train_rf,
     "train_svm_random": q_train_svm_random, "grid_search": q_grid_search, "random_search": q_random_search,
     "train_models": q_train_models, "train_families": q_train_families, "train_groups": q_train_groups,
-    "model_store": q_model_store, "predict": q_predict, "sink_results": q_sink_results,
+    "model_store": q_model_store, "predict": q_predict, "predict_trees": q_predict_trees, "sink_results": q_sink_results,
     "train_embedding_metrics": q_train_embedding_metrics, "train_mlp": q_train_mlp,
     "train_embedding_extra": q_train_embedding_extra, "train_mlp_fixed": q_train_mlp_fixed,
     "train_embedding_metrics_mlp": q_train_embedding_metrics_mlp, "early_stop_epoch": q_early_stop_epoch,
@@ -254,7 +280,28 @@ QUERIES = {
     "score_classifier": q_score_classifier,
 }
 
+#: the best split of each group of vectors ("node"): cuts in order of feature and bin, sums of gradients and Hessians left of them
+_BEST = """SELECT node, arg_max({{'f': f, 'c': c, 'gl': gl, 'hl': hl}}, (gain, -f, -c)) AS s, any_value(gt) AS gt, any_value(ht) AS ht FROM (
+  SELECT *, gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) AS gain FROM (
+    SELECT node, f, c, sum(CASE WHEN b <= c THEN g ELSE 0 END) AS gl, sum(CASE WHEN b <= c THEN 0.25 ELSE 0 END) AS hl, sum(g) AS gt, sum(0.25) AS ht
+    FROM {rows}, (SELECT unnest(range(0, 63)) AS c) GROUP BY node, f, c))
+  WHERE hl >= 1 AND ht - hl >= 1 AND gain > 1e-6 GROUP BY node"""
+
 ORACLE = {
+    "predict_trees": f"""
+WITH e AS (SELECT vec_id, 0.5 - (label >= 5)::INT::DOUBLE AS g, generate_subscripts(embedding, 1) - 1 AS f, unnest(embedding)::DOUBLE AS v FROM embeddings),
+r AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS rn, count(*) OVER (PARTITION BY f) AS n FROM e),
+edge AS (SELECT DISTINCT r.f, r.v AS x FROM r, (SELECT unnest(range(1, 64)) AS k) WHERE rn = ceil(k * n / 64.0)),
+b AS (SELECT e.vec_id, e.g, e.f, 0 AS node, count(edge.x) AS b FROM e LEFT JOIN edge ON edge.f = e.f AND edge.x <= e.v GROUP BY ALL),
+one AS ({_BEST.format(rows="b")}),
+side AS (SELECT b.vec_id, CASE WHEN one.node IS NULL THEN 0 WHEN b.b <= one.s.c THEN 1 ELSE 2 END AS node
+         FROM b LEFT JOIN one ON b.node = one.node WHERE b.f = coalesce(one.s.f, 0)),
+b2 AS (SELECT b.vec_id, b.g, b.f, side.node, b.b FROM b JOIN side USING (vec_id) WHERE side.node > 0),
+two AS ({_BEST.format(rows="b2")}),
+leaf AS (SELECT side.vec_id, side.node, CASE WHEN two.node IS NULL THEN 0 WHEN (SELECT b.b FROM b WHERE b.vec_id = side.vec_id AND b.f = two.s.f) <= two.s.c THEN 1 ELSE 2 END AS part
+         FROM side LEFT JOIN two ON side.node = two.node),
+total AS (SELECT node, part, -0.3 * sum(0.5 - (label >= 5)::INT::DOUBLE) / (count(*) * 0.25 + 1) AS score FROM leaf JOIN embeddings USING (vec_id) GROUP BY node, part)
+SELECT vec_id, round(score, 6) AS score, (score > 0)::INT AS prediction FROM leaf JOIN total USING (node, part)""",
     "early_stop_epoch": f"""
 WITH h AS (SELECT lang AS run, (doc_id % {N_EPOCHS})::INT AS epoch, avg(n_chars) AS loss FROM documents GROUP BY 1, 2),
 b AS (SELECT *, min(loss) OVER w AS best FROM h WINDOW w AS (PARTITION BY run ORDER BY epoch)),
