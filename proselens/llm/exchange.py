@@ -10,6 +10,7 @@ of all documents hold is sent at most once a batch, and no row is made for each
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,18 +18,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tasks
+from .common import shared_dir, tasks
 
-#: documents of a batch, on average
-BATCH = 1500
+#: documents and text bytes of a batch, on average
+BATCH, BATCH_BYTES = 1500, 6 << 20
+#: text bytes of a corpus for each bucket, beyond as many buckets as there are shuffle partitions
+BUCKET_BYTES = 32 << 20
 
 
-def batched(rows: DataFrame, id_col: str = "_id") -> DataFrame:
-    """Adds ``_batch`` and deals the rows by it; the same exchange serves all later steps."""
-    spark = rows.sparkSession
-    parts = tasks(spark)
-    n = max(parts, math.ceil(rows.count() / BATCH))
-    return rows.withColumn("_batch", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")).repartition(parts, "_batch")
+def batched(rows: DataFrame, *by: str, text: str = "_text") -> tuple[DataFrame, int]:
+    """Adds ``_batch`` by a hash of the columns ``by`` and deals the rows by it; also the number of buckets to ask.
+
+    Batches follow the rows and the bytes of the texts, so that long texts do not make them larger; one text stays whole.
+    """
+    parts = tasks(rows.sparkSession)
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)).alias("bytes")).first()
+    n = max(parts, math.ceil(size["n"] / BATCH), math.ceil(size["bytes"] / BATCH_BYTES))
+    dealt = rows.withColumn("_batch", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")).repartition(parts, "_batch")
+    return dealt, max(parts, math.ceil(size["bytes"] / BUCKET_BYTES))
+
+
+def kept_by_batch(dealt: DataFrame) -> DataFrame:
+    """The dealt rows, written once as a table bucketed by ``_batch`` in the shared folder.
+
+    Steps that group by ``_batch`` read it as it lies, without another exchange of the texts.  The catalog holds only its name.
+    """
+    spark = dealt.sparkSession
+    name = f"proselens_{uuid.uuid4().hex}"
+    dealt.write.format("parquet").bucketBy(tasks(spark), "_batch").option("path", shared_dir(spark)).saveAsTable(name)
+    return spark.table(name)
 
 
 def cut(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -6,13 +6,14 @@ All arithmetic is modulo 2**64.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: an odd multiplier and its inverse modulo 2**64
+#: an odd multiplier
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,27 +68,26 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+#: words of up to so many bytes are hashed eight bytes at a time, all at once; longer ones by BLAKE2, one by one
+SHORT = 64
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each word's bytes: a polynomial by prefix sums, mixed with the word's length."""
-    n, step = len(data), 1 << 20
-    out = np.empty(len(starts), U)
-    up, down = powers(BASE, min(n, 2 * step) + 1), None
-    lo = 0
-    while lo < len(starts):  # blocks of about a megabyte keep the temporaries small
-        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + step, "right")))
-        a, b = int(starts[lo]), int(ends[hi - 1])
-        if b - a + 1 > len(up):
-            up = powers(BASE, b - a + 1)
-            down = None
-        if down is None:
-            down = powers(BASE_INVERSE, len(up))
-        sums = np.empty(b - a + 1, U)
-        sums[0] = 0
-        np.cumsum((data[a:b].astype(U) + U(1)) * up[:b - a], out=sums[1:])
-        s, e = starts[lo:hi] - a, ends[lo:hi] - a
-        out[lo:hi] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U)
-        lo = hi
-    return mix(out ^ U(seed))
+    """64-bit hash of each word's bytes and length: a chain of SplitMix64 steps over eight bytes each."""
+    size = ends - starts
+    out = mix(size.astype(U) * U(BASE) ^ U(seed))
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))  # eight bytes from any place
+    at = np.flatnonzero(size <= SHORT)
+    place, left = starts[at], size[at]
+    while len(at):
+        out[at] = mix(out[at] ^ (lanes[place] & _BYTES[np.minimum(left, 8)]) * U(BASE))
+        more = np.flatnonzero(left > 8)
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > SHORT):
+        text = data[starts[k]:ends[k]].tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(text, digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

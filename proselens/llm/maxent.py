@@ -20,15 +20,17 @@ Nothing depends on how the input or the shuffles are partitioned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored, tasks, text_of
+from .common import stored, text_of
 from .exchange import ask, batched, pack, unpack
 from .learn import remainder
 
@@ -39,8 +41,10 @@ SIZES = (SIZE,) * (CLASSES - 1) + (1,)
 #: powers of two between which the hashed tables grow with the vocabulary: rows of the class model, slots of the word model
 CLASS_BITS, WORD_BITS = (12, 14), (16, 20)
 ROUNDS, RATE, MINIBATCH = 4, 0.15, 8192
+#: a minibatch is so small a part of a unit's tokens, MINIBATCH at least and twice that at most; the step follows its square root
+STEPS_A_UNIT = 64
 #: training tokens of a unit, tokens whose features are made at a time
-UNIT, CHUNK = 6_000_000, 65_536
+UNIT, CHUNK = 3_000_000, 65_536
 SLICE = 16_384
 END = np.uint64(0x5851F42D4C957F2D)
 F32 = np.float32
@@ -49,6 +53,13 @@ PARAMS = (CLASSES << CLASS_BITS[0]) + (1 << WORD_BITS[0])
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words with A-Z in lower case, then END for each text) and tokens of each text."""
+    parts = [_tokens(column.slice(lo, hi - lo)) for lo, hi in K.slices(column)]
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([t for t, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = K.text_buffer(column)
     upper = (data - np.uint8(65)) < 26
     if upper.any():
@@ -60,9 +71,9 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _send(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         t, n = tokens(table["_text"].combine_chunks())
-        keys, where = np.unique(t, return_inverse=True)
+        keys, where = numbered(t)
         train = np.repeat(np.asarray(table["_train"]), n)
-        counts = np.bincount(where[train], minlength=len(keys)).astype(np.uint32)
+        counts = np.bincount(where[train], minlength=len(keys)).astype(np.uint32)  # of one batch
         return pack(table["_batch"][0].as_py(), 0, keys, {"_keys": keys, "_values": counts}, buckets)
 
     return run
@@ -80,8 +91,9 @@ def class_of(counts: np.ndarray) -> np.ndarray:
 def _total(table: pa.Table) -> pa.Table:
     """Answers (kind 0) to each batch, and one row (kind 1) with words and tokens of each class."""
     keys, counts = unpack(table["_keys"], np.uint64), unpack(table["_values"], np.uint32)
-    distinct, where = np.unique(keys, return_inverse=True)
-    total = np.bincount(where, counts, len(distinct)).astype(np.int64)
+    distinct, where = numbered(keys)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, where, counts.astype(np.int64))
     klass, rank = class_of(total), np.zeros(len(distinct), np.uint32)
     words, mass = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for c in range(CLASSES):
@@ -89,7 +101,7 @@ def _total(table: pa.Table) -> pa.Table:
         rank[own] = np.arange(len(own))
         words[c], mass[c] = len(own), total[own].sum()
     at = np.concatenate(([0], np.cumsum(np.asarray(table["_n"]))))
-    answer, ranks = total[where].astype(np.uint32), rank[where]
+    answer, ranks = total[where], rank[where]
     n = table.num_rows
     return pa.table({
         "_bucket": pa.concat_arrays([table["_bucket"].combine_chunks(), table["_bucket"].combine_chunks()[:1]]),
@@ -110,37 +122,57 @@ def features(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         prev[place < k] = -2
         back.append(K.mix(prev.view(np.uint64) * np.uint64(8) + np.uint64(k)))
     pair = K.mix(back[0] * np.uint64(3) + back[1])
-    return np.stack([*back, pair, np.full(len(ids), END)], axis=1)
+    return np.stack([*back, pair, np.full(len(ids), END)]).T  # a feature's hashes lie side by side
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    """Over the first axis."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=0)
     return x
 
 
-def added(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = table[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        out += table[rows[:, k]]
-    return out
-
-
-def scattered(rows: np.ndarray, g: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Sum of the gradients g into all rows of each token."""
-    wide = np.arange(shape[1])
-    out = np.zeros(shape[0] * shape[1])
-    flat = np.ascontiguousarray(g, np.float64).ravel()
-    for k in range(rows.shape[1]):
-        out += np.bincount((rows[:, k, None] * shape[1] + wide).ravel(), flat, len(out))
-    return out.reshape(shape)
+def added(table: np.ndarray, rows: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """columns x tokens: sums of the table's rows of each token's features; ``last`` is what the feature of all tokens adds."""
+    out = np.take(table, rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1] - 1):
+        out += np.take(table, rows[:, k], axis=0)
+    return np.ascontiguousarray(out.T) + last[:, None]
+
+
+def scattered(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that the tokens' features touch (distinct), and the sums of the gradients g (columns x tokens) in each."""
+    varying = rows[:, :-1].T.ravel().astype(np.uint16)  # CLASS_BITS is under 16: sorted by counting
+    order = np.argsort(varying, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = varying[order][1:] != varying[order][:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    at = varying[order][new].astype(np.int64)
+    own = int(rows[0, -1])
+    place = int(np.searchsorted(at, own))
+    alone = place == len(at) or at[place] != own
+    out, wide = np.zeros((len(g), len(at) + alone), F32), g.astype(np.float64)
+    for c in range(len(g)):
+        out[c, :len(at)] = np.bincount(which, np.tile(wide[c], rows.shape[1] - 1), len(at))
+    out[:, -1 if alone else place] += wide.sum(axis=1).astype(F32)
+    return np.append(at, own) if alone else at, np.ascontiguousarray(out.T)
 
 
 def _bits(n: int, least: int, most: int) -> int:
     return min(most, max(least, int(n).bit_length()))
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and which of them each key is (by hashing, not by sorting all keys)."""
+    codes, distinct = pd.factorize(keys)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], np.take(place, codes)
+
+
 class MaxEnt:
     """The model of words numbered class by class: ``sizes`` words and ``mass`` (share of the start) of each class."""
 
@@ -158,55 +190,94 @@ class MaxEnt:
     def class_rows(self, f: np.ndarray) -> np.ndarray:
         return (f >> np.uint64(64 - self.class_bits)).astype(np.int64)
 
-    def halvings(self, ids: np.ndarray, k: np.ndarray, f: np.ndarray):
-        """For each depth: tokens that are not alone yet, slots of their features, whether right, log odds at the start."""
+    def of_class(self, rows: np.ndarray) -> np.ndarray:
+        return softmax(added(self.klass, rows, self.klass[rows[0, -1]] + self.prior))
+
+    def halvings(self, ids: np.ndarray, f: np.ndarray):
+        """For each depth: tokens that are not alone yet, slots of their features, whether right, log odds at the start.
+
+        Where a word lies at each depth is worked out once for each distinct word of ``ids``.
+        """
+        w, words = pd.factorize(ids)
+        k = np.searchsorted(self.start + self.sizes, words, "right")
         lo, hi = self.start[k], self.start[k] + self.sizes[k]
-        at = np.flatnonzero(hi - lo > 1)
-        i, lo, hi, own = ids[at], lo[at], hi[at], f[at][:, [4, 0, 1]]
-        while len(at):
+        at, previous, before = np.arange(len(ids)), f[:, 0], f[:, 1]
+        shift, base = np.uint64(64 - self.word_bits), np.uint64(K.BASE)
+
+        def slot(h):
+            h *= base
+            h >>= shift
+            return h.view(np.int64)
+
+        while True:
+            open_ = hi - lo > 1
+            if not open_.all():
+                more = np.flatnonzero(open_[w])
+                w = (np.cumsum(open_) - 1)[w[more]]
+                at, previous, before = at[more], previous[more], before[more]
+                words, lo, hi = words[open_], lo[open_], hi[open_]
+            if not len(at):
+                return
             mid = (lo + hi) >> 1
-            right = i >= mid
+            right = words >= mid
             node = K.mix((lo.view(np.uint64) << np.uint64(20)) ^ hi.view(np.uint64))
-            slots = (((own ^ node[:, None]) * np.uint64(K.BASE)) >> np.uint64(64 - self.word_bits)).astype(np.int64)
-            yield at, slots, right, np.log((hi - mid) / (mid - lo)).astype(F32)
+            own, bias, odds = np.take(node, w), slot(END ^ node), np.log((hi - mid) / (mid - lo)).astype(F32)
+            yield at, (np.take(bias, w), slot(previous ^ own), slot(before ^ own)), np.take(right, w), np.take(odds, w)
             lo, hi = np.where(right, mid, lo), np.where(right, hi, mid)
-            more = np.flatnonzero(hi - lo > 1)
-            at, i, lo, hi, own = at[more], i[more], lo[more], hi[more], own[more]
 
     def log10(self, ids: np.ndarray, f: np.ndarray) -> np.ndarray:
         """Of each token's class, and of the word in it."""
         ids = ids.astype(np.int64)
-        k = np.searchsorted(self.start + self.sizes, ids, "right")
-        p = softmax(added(self.klass, self.class_rows(f)) + self.prior)[np.arange(len(ids)), k]
-        out = np.log(np.maximum(p, 1e-30)).astype(float)
-        for at, slots, right, odds in self.halvings(ids, k, f):
-            x = self.word[slots].sum(axis=1) + odds
-            out[at] -= np.logaddexp(0, np.where(right, -x, x))
+        out = np.zeros(len(ids))
+        for a in range(0, len(ids), MINIBATCH):  # small temporaries stay in the cache
+            b = a + MINIBATCH
+            k = np.searchsorted(self.start + self.sizes, ids[a:b], "right")
+            p = self.of_class(self.class_rows(f[a:b]))[k, np.arange(len(k))]
+            out[a:b] = np.log(np.maximum(p, 1e-30))
+        for at, (s, t, u), right, odds in self.halvings(ids, f):
+            x = np.take(self.word, s)
+            x += np.take(self.word, t)
+            x += np.take(self.word, u)
+            x += odds
+            np.negative(x, out=x, where=right)
+            out[at] -= np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))
         return out / np.log(10)
 
-    def train(self, ids: np.ndarray, f: np.ndarray, seen: np.ndarray, work: np.ndarray) -> None:
+    def train(self, ids: np.ndarray, f: np.ndarray, seen: np.ndarray, work: np.ndarray, rate: float = RATE) -> None:
         """One step on the mean gradient of a minibatch, scaled for each parameter by its past gradients (``seen``)."""
         k = np.searchsorted(self.start + self.sizes, ids, "right")
         rows = self.class_rows(f)
-        g = softmax(added(self.klass, rows) + self.prior)
-        g[np.arange(len(ids)), k] -= 1
-        grad = scattered(rows, g, self.klass.shape) / len(ids)
+        g = self.of_class(rows)
+        g[k, np.arange(len(ids))] -= 1
+        at, grad = scattered(rows, g)
+        grad /= F32(len(ids))
         past = seen[:self.klass.size].reshape(self.klass.shape)
-        past += grad * grad
-        self.klass -= (RATE * grad / (np.sqrt(past) + 1e-6)).astype(F32)
-        past, touched = seen[self.klass.size:], []
-        for _, slots, right, odds in self.halvings(ids, k, f):
-            x = self.word[slots].sum(axis=1) + odds
-            d = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - right) / len(ids)
-            flat = slots.ravel()
-            np.add.at(work, flat, np.repeat(d, slots.shape[1]).astype(F32))
-            touched.append(flat)
-        if touched:
-            at = np.concatenate(touched)
-            grad = work[at]  # a slot that comes up twice gets the same value twice
-            now = past[at] + grad * grad
-            new = self.word[at] - RATE * grad / (np.sqrt(now) + F32(1e-6))
-            past[at], self.word[at], work[at] = now, new, 0
+        now = np.take(past, at, axis=0)
+        now += grad * grad
+        past[at] = now
+        np.sqrt(now, out=now)
+        now += F32(1e-6)
+        grad *= F32(rate)
+        grad /= now
+        self.klass[at] = np.take(self.klass, at, axis=0) - grad
+        share = F32(1 / len(ids))
+        for _, slots, right, odds in self.halvings(ids, f):
+            for s in slots:
+                odds += np.take(self.word, s)
+            d = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            d -= right
+            d *= share
+            for s in slots:
+                np.add.at(work, s, d)
+        past = seen[self.klass.size:]
+        change = work * work
+        past += change
+        np.sqrt(past, out=change)
+        change += F32(1e-6)
+        np.divide(work, change, out=change)
+        change *= F32(rate)
+        self.word -= change
+        work.fill(0)
 
 
 def chunks(n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -223,10 +294,10 @@ def _encode(sent):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         first, total, distinct, kind = sent.value
         t, n = tokens(left["_text"].combine_chunks())
-        _, where = np.unique(t, return_inverse=True)
+        _, where = numbered(t)
         right = right.sort_by("_bucket")
-        counts = unpack(right["_values"], np.uint32).astype(np.int64)
-        held = np.array([v.as_buffer().size // 4 for v in right["_values"]], np.int64)
+        counts = unpack(right["_values"], np.int64)
+        held = np.array([v.as_buffer().size // 8 for v in right["_values"]], np.int64)
         bucket = np.repeat(np.asarray(right["_bucket"]), held)
         number = first[bucket, class_of(counts)] + unpack(right["_ranks"], np.uint32)
         ids = np.where(counts > 0, number, -1)[where].astype(kind)
@@ -251,30 +322,47 @@ def _train(sent, slices: int):
         table = table.sort_by([("_key", "ascending"), ("_id", "ascending")])
         work = np.zeros(len(model.word), F32)
         ids, n = unpack(table["_ids"], kind), np.asarray(table["_n"])
+        size = min(2 * MINIBATCH, max(MINIBATCH, len(ids) // STEPS_A_UNIT))
+        rate = RATE * math.sqrt(size / MINIBATCH)
         for lo, hi, a, b in chunks(n):
             own = ids[a:b].astype(np.int64)
             f = features(own, n[lo:hi])
-            for at in range(0, len(own), MINIBATCH):
-                model.train(own[at:at + MINIBATCH], f[at:at + MINIBATCH], seen, work)
+            for at in range(0, len(own), size):
+                model.train(own[at:at + size], f[at:at + size], seen, work, rate)
         step, seen = model.params - params, seen - past
         part = lambda x: pa.array([x[i * SLICE:(i + 1) * SLICE].tobytes() for i in range(slices)], pa.binary())
         return pa.table({"_slice": pa.array(range(slices), pa.int32()),
-                         "_unit": pa.array([table["_unit"][0].as_py()] * slices, pa.int32()),
+                         "_unit": pa.array([table["_turn"][0].as_py()] * slices, pa.int32()), "_summed": pa.array([False] * slices),
                          "_step": part(step), "_seen": part(seen)})
 
     return run
 
 
-def _average(table: pa.Table) -> pa.Table:
-    """Steps of all units, each weighted by the squared gradients that the unit has seen."""
+def _added(table: pa.Table) -> pa.Table:
+    """Sums over units: of steps, each weighted by the squared gradients that its unit has seen, and of these weights."""
     table = table.sort_by("_unit")
     total, weight = 0.0, 0.0
-    for s, w in zip(table["_step"], table["_seen"]):
-        w = np.frombuffer(w.as_buffer(), F32).astype(float)
-        total, weight = total + w * np.frombuffer(s.as_buffer(), F32), weight + w
-    step = total / np.maximum(weight, 1e-300)
-    return pa.table({"_slice": table["_slice"][:1].combine_chunks(), "_step": pa.array([step.astype(F32).tobytes()], pa.binary()),
-                     "_seen": pa.array([weight.astype(F32).tobytes()], pa.binary())})
+    for s, w, whole in zip(table["_step"], table["_seen"], table["_summed"]):
+        kind = np.float64 if whole.as_py() else F32
+        s, w = np.frombuffer(s.as_buffer(), kind).astype(float), np.frombuffer(w.as_buffer(), kind).astype(float)
+        total, weight = total + (s if whole.as_py() else s * w), weight + w
+    return pa.table({"_slice": table["_slice"][:1].combine_chunks(), "_unit": table["_group"][:1].combine_chunks(),
+                     "_summed": pa.array([True]), "_step": pa.array([total.tobytes()], pa.binary()),
+                     "_seen": pa.array([weight.tobytes()], pa.binary())})
+
+
+STEPS = "_slice int, _unit int, _summed boolean, _step binary, _seen binary"
+#: units whose steps one task adds up
+FAN_IN = 16
+
+
+def summed(steps: DataFrame, units: int) -> DataFrame:
+    """One row a slice: steps added up as a tree over the units."""
+    while True:
+        steps = steps.withColumn("_group", F.floor(F.col("_unit") / FAN_IN).cast("int")).groupBy("_slice", "_group").applyInArrow(_added, STEPS)
+        units = -(-units // FAN_IN)
+        if units <= 1:
+            return steps
 
 
 def fit(train: DataFrame, sizes: np.ndarray, mass: np.ndarray, kind, total: int, rounds: int | None = None) -> np.ndarray:
@@ -289,11 +377,13 @@ def fit(train: DataFrame, sizes: np.ndarray, mass: np.ndarray, kind, total: int,
     rows = train.withColumn("_unit", F.pmod(spread, F.lit(units * rounds)).cast("int"))
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((params, seen, sizes, mass, kind))  # bounded by CLASS_BITS and WORD_BITS
-        found = rows.where(F.col("_unit") % rounds == k).select("_unit", "_key", "_id", "_n", "_ids").groupBy("_unit") \
-            .applyInArrow(_train(sent, slices), "_slice int, _unit int, _step binary, _seen binary") \
-            .groupBy("_slice").applyInArrow(_average, "_slice int, _step binary, _seen binary").toArrow().sort_by("_slice")
+        steps = rows.where(F.col("_unit") % rounds == k).select(F.floor(F.col("_unit") / rounds).cast("int").alias("_turn"), "_key", "_id", "_n", "_ids") \
+            .groupBy("_turn").applyInArrow(_train(sent, slices), STEPS)
+        found = summed(steps, units).toArrow().sort_by("_slice")
         if found.num_rows:
-            params, seen = params + unpack(found["_step"], F32), seen + unpack(found["_seen"], F32)
+            weight = unpack(found["_seen"], np.float64)
+            params = params + (unpack(found["_step"], np.float64) / np.maximum(weight, 1e-300)).astype(F32)
+            seen = seen + weight.astype(F32)
     return params
 
 
@@ -331,8 +421,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     spark = docs.sparkSession
     held_out = remainder(id_col, folds) == held
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), held_out.alias("_held"), text_of(text_col).alias("_text"))
-    dealt = batched(rows)
-    buckets = tasks(spark)
+    dealt, buckets = batched(rows, "_id", "_text")
     sent = dealt.withColumn("_train", ~F.col("_held")).select("_batch", "_train", "_text") \
         .groupBy("_batch").applyInArrow(_send(buckets), SENT)
     answers = stored(ask(sent, _total, ANSWER))
