@@ -11,12 +11,16 @@ that occurs twice shows up as a rolling run of BLOCK words elsewhere that equals
    its first place in the batch; a bucket answers whether that is the first place of all.
 3. Windows that are not the first of all are removed; neighbouring ones join to maximal repeats.
 
-Fingerprints in step 1 are 30 bits inside their bucket and only select windows; windows
-are compared by 96 bits of two independent hashes.
+The texts are dealt to batches once, as a table bucketed by batch; all three steps read it as it lies.
+
+Fingerprints in step 1 are 30 bits inside their bucket and only select windows.  Windows are compared by a keyless
+BLAKE2 digest of 128 bits of their bytes, words joined by one space, so that no two different windows are taken for one.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored, tasks, text_of
-from .exchange import ask, batched, cut, pack, unpack
+from .common import stored, text_of
+from .exchange import ask, batched, cut, kept_by_batch, pack, unpack
 
 NO_ID = np.iinfo(np.int64).min
 
@@ -46,6 +50,8 @@ class Batch:
         self.starts, self.ends = K.spans(self.data, self.offsets)
         self.first = np.searchsorted(self.starts, self.offsets)
         self.words = K.word_hashes(self.data, self.starts, self.ends, 5)
+        # the words of all texts joined by one space, and where each word begins there
+        self.joined_at = np.concatenate(([0], np.cumsum(self.ends - self.starts + 1)))
         self.owner = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         self.place = np.arange(len(self.words)) - self.first[self.owner]
 
@@ -59,8 +65,19 @@ class Batch:
         keys, which = np.unique(K.sequence_hashes(self.words, self.block)[at], return_inverse=True)
         return at, keys, which
 
+    def joined(self) -> bytes:
+        size = int(self.joined_at[-1])
+        out = np.full(size, 32, np.uint8)
+        inside = np.ones(size, bool)
+        inside[self.joined_at[1:] - 1] = False
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts] += 1
+        edge[self.ends] -= 1
+        out[inside] = self.data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+        return out.tobytes()
+
     def candidates(self, bits: np.ndarray):
-        """First words of the windows that hold a hit, their hash and check, sorted distinct windows, and places."""
+        """First words of the windows that hold a hit, sorted distinct windows (two halves of a digest), which each is, and first places."""
         at, _, which = self.rolling()
         hit = np.zeros(len(self.words) + 1, np.int64)
         hit[at[bits[which]] + 1] = 1
@@ -68,8 +85,11 @@ class Batch:
         start = self.runs(self.window)
         reach = np.minimum(start + self.window - self.block, len(self.words))
         start = start[total[reach] > total[start]]
-        keys = K.sequence_hashes(self.words, self.window)[start]
-        checks = (K.sequence_hashes(K.mix(self.words ^ np.uint64(K.BASE)), self.window)[start] >> np.uint64(32)).astype(np.uint32)
+        text = memoryview(self.joined()) if len(start) else b""
+        lo, hi = self.joined_at[start].tolist(), (self.joined_at[start + self.window] - 1).tolist()
+        blake2b = hashlib.blake2b
+        digests = np.frombuffer(b"".join([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(lo, hi)]), np.uint64).reshape(-1, 2)
+        keys, checks = digests[:, 0], digests[:, 1]
         order = np.lexsort((checks, keys))  # stable: the first of equal windows is the first place
         k, c = keys[order], checks[order]
         new = np.ones(len(order), bool)
@@ -135,7 +155,7 @@ def _place(window: int, buckets: int):
 
 
 def _earliest(table: pa.Table) -> pa.Table:
-    keys, checks = unpack(table["_keys"], np.uint64), unpack(table["_checks"], np.uint32)
+    keys, checks = unpack(table["_keys"], np.uint64), unpack(table["_checks"], np.uint64)
     docs, starts = unpack(table["_docs"], np.int64), unpack(table["_starts"], np.uint32)
     order = np.lexsort((starts, docs, checks, keys))
     k, c, d, s = keys[order], checks[order], docs[order], starts[order]
@@ -190,10 +210,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     """
     if window < 2 or window % 2:
         raise ValueError("window is an even number of words")
-    buckets = tasks(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
-    dealt = batched(rows).select("_id", "_text", "_batch")
-    groups = dealt.groupBy("_batch")
+    dealt, buckets = batched(rows, "_id")
+    groups = kept_by_batch(dealt).groupBy("_batch")
     hits = stored(ask(groups.applyInArrow(_probe(window, buckets), ASKED), _meet, ANSWER))
     placed = groups.cogroup(hits.groupBy("_batch")).applyInArrow(_place(window, buckets), PLACED)
     first = stored(ask(placed, _earliest, ANSWER))

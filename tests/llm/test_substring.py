@@ -53,3 +53,41 @@ def test_edges(table):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (3, 25), (3, 25), (4, 0)]
     with pytest.raises(ValueError):
         S.substring_dedup(table([]), window=7)
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(table):
+    """Two Thue-Morse words: equal under polynomials modulo 2**64, but they are different words."""
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    text = lambda w: " ".join([f"w{i}" for i in range(10)] + [w] + [f"w{i}" for i in range(10, 30)])
+    got = sorted((r.doc_id, r.n_removed) for r in S.substring_dedup(table([(1, text(x)), (2, text(y))])).collect())
+    assert got == [(1, 0), (2, 20)]
+    hashes = [S.K.words_of(*S.K.text_buffer(S.pa.array([w])))[0][0] for w in (x, y, x[:64], y[:64], "ab", "a\0", "a")]
+    assert len(set(hashes)) == 7
+
+
+def test_texts_of_a_megabyte(table):
+    rng = random.Random(9)
+    long = " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(150_000))
+    rows = [(1, long), (2, "x" * 1_000_000), (3, "head " + long), (4, long[:1000])]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in S.substring_dedup(table(rows)).collect())
+    assert got == [(i, n, removed) for i, n, removed, _ in brute(rows, 20)]
+
+
+def test_batches_follow_bytes(spark, monkeypatch):
+    from proselens.llm import exchange as X
+    monkeypatch.setattr(X, "BATCH_BYTES", 1000)
+    rows = spark.createDataFrame([(i, "x" * 500) for i in range(400)], "_id long, _text string")
+    dealt, _ = X.batched(rows, "_id")
+    sizes = [r["count"] for r in dealt.groupBy("_batch").count().collect()]
+    assert max(sizes) < 12 and len(sizes) > 100
+
+
+def test_the_texts_are_exchanged_once(table):
+    rows = S.substring_dedup(table([(1, "a " * 30), (2, "a " * 40)]))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("_text") > 0
+    assert all("_text" not in line for line in plan.splitlines() if "Exchange" in line)
