@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
@@ -42,6 +42,38 @@ def user_metrics(documents: DataFrame, names: list[str] | None = None, tok: Data
     return M.finish(d.select("doc_id", *[m.column().alias(m.name) for m in chosen]), [m.name for m in chosen])
 
 
+def analyzed(part: pa.RecordBatch, call: Callable[[list[str]], list[dict]], names: list[str], batch: int) -> Iterator[pa.RecordBatch]:
+    """``doc_id`` and the analyzer's results for the rows of ``part``, ``batch`` texts at a time; the null rule (P5)."""
+    ids, texts = part.column("doc_id"), part.column("text")
+    for lo in range(0, part.num_rows, batch):
+        own = [t or "" for t in texts.slice(lo, batch).to_pylist()]
+        found = call(own)
+        if len(found) != len(own):
+            raise ValueError(f"the analyzer returned {len(found)} results for {len(own)} texts")
+        values = [pa.array([0.0 if r.get(n) is None else float(r[n]) for r in found], pa.float64()) for n in names]
+        yield pa.RecordBatch.from_arrays([ids.slice(lo, batch), *values], names=["doc_id", *names])
+
+
+def register_analyzer(spark: SparkSession, name: str, analyzer: Callable[[], Callable[[list[str]], list[dict]]], names: list[str],
+                      batch: int = ANALYZER_BATCH):
+    """A SQL table function ``name(TABLE(...))`` over rows with ``doc_id long, text string``: the same rows as ``external_metrics``.
+
+    Each partition of the table argument is analyzed where it lies, in Arrow batches; with ``PARTITION BY`` the rows of a key come
+    together.  The function is also returned, for use with ``df.asTable()``.
+    """
+    class Analyze:
+        def __init__(self):
+            self.call = analyzer()
+
+        def eval(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield from analyzed(part, self.call, names, batch)
+
+    schema = ", ".join(["doc_id long", *(f"`{n}` double" for n in names)])
+    function = F.arrow_udtf(Analyze, returnType=schema)
+    spark.udtf.register(name, function)
+    return function
+
+
 def external_metrics(documents: DataFrame, analyzer: Callable[[], Callable[[list[str]], list[dict]]], names: list[str],
                      batch: int = ANALYZER_BATCH, preprocess=None) -> DataFrame:
     """``doc_id`` and metrics from a user's batch function ``list[str] -> list[dict]``, in Arrow batches.
@@ -52,13 +84,7 @@ def external_metrics(documents: DataFrame, analyzer: Callable[[], Callable[[list
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = analyzer()
         for part in parts:
-            for lo in range(0, part.num_rows, batch):
-                own = part.slice(lo, batch)
-                found = call(own.column("text").to_pylist())
-                if len(found) != own.num_rows:
-                    raise ValueError(f"the analyzer returned {len(found)} results for {own.num_rows} texts")
-                values = [pa.array([0.0 if r.get(n) is None else float(r[n]) for r in found], pa.float64()) for n in names]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), *values], names=["doc_id", *names])
+            yield from analyzed(part, call, names, batch)
 
     schema = ", ".join(["doc_id long", *(f"`{n}` double" for n in names)])
     rows = M.cleaned(documents, preprocess).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))

@@ -193,7 +193,7 @@ FRAMES = {
     "lemma": lambda documents, tok: lemma_level(tok),
     "conn": lambda documents, tok: connective_counts(documents),
     "punct": lambda documents, tok: punct_level(documents),
-    "mtld": lambda documents, tok: doc_words(documents).select("doc_id", mtld_udf(C("words")).alias("mtld")),
+    "mtld": lambda documents, tok: doc_words(documents).select("doc_id", mtld_expr(C("words")).alias("mtld")),
 }
 
 
@@ -361,36 +361,44 @@ M_LEXICAL_DIVERSITY = ["adj_density", "adj_ttr", "adv_density", "adv_ttr", "cont
                        "noun_density", "nttr", "simple_ttr", "verb_density", "vttr"]
 
 
+def previous_places(words: Column) -> Column:
+    """For each word of an array the place (from 0) of the same word before it, or -1: by one sort of (word, place)."""
+    def linked(pairs):
+        def one(x, k):
+            before = F.get(pairs, k - 1)
+            return F.struct(x["i"].alias("i"), F.when((k > 0) & (before["w"] == x["w"]), before["i"]).otherwise(-1).alias("p"))
+        return F.transform(F.array_sort(F.transform(pairs, one)), lambda x: x["p"])
+
+    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    return F.transform(F.array(pairs), linked)[0]  # bound to a variable: sorted once
+
+
 def mtld_expr(words: Column, threshold: float = L.MTLD_THRESHOLD) -> Column:
     """MTLD of an ordered word array: mean of the forward and backward factor counts.
 
-    A segment closes when its type-token ratio falls below the threshold; the
-    last open segment counts as ``(1 - ttr) / (1 - threshold)``.  The fold is a
-    built-in ``aggregate`` over the array, so it runs inside the task that holds
-    the document.
+    A segment closes when its type-token ratio falls below the threshold; the last open segment counts as
+    ``(1 - ttr) / (1 - threshold)``.  A word is a new type of its segment if the same word last stood before the
+    segment's start, so the fold over the places of the previous occurrences carries three numbers and no
+    set; it is a built-in ``aggregate`` inside the task that holds the document, linear but for one sort.
     """
-    init = F.struct(F.lit(0.0).alias("f"), F.array().cast("array<string>").alias("types"),
-                    F.lit(0).alias("n"))
-
-    def step(acc, w):
-        types = F.when(F.array_contains(acc["types"], w), acc["types"]).otherwise(F.array_append(acc["types"], w))
-        n = acc["n"] + 1
-        ttr = F.size(types).cast("double") / n.cast("double")
-        closes = ttr < F.lit(threshold)
-        return F.struct(F.when(closes, acc["f"] + 1.0).otherwise(acc["f"]).alias("f"),
-                        F.when(closes, F.array().cast("array<string>")).otherwise(types).alias("types"),
-                        F.when(closes, F.lit(0)).otherwise(n).alias("n"))
+    start = F.struct(F.lit(0.0).alias("f"), F.lit(0).alias("s"), F.lit(0).alias("types"), F.lit(0).alias("n"))
+
+    def step(acc, p):
+        types, n = acc["types"] + F.when(p < acc["s"], 1).otherwise(0), acc["n"] + 1
+        closes = types.cast("double") / n.cast("double") < F.lit(threshold)
+        return F.when(closes, F.struct((acc["f"] + 1.0).alias("f"), (acc["s"] + n).alias("s"), F.lit(0).alias("types"), F.lit(0).alias("n"))) \
+            .otherwise(F.struct(acc["f"].alias("f"), acc["s"].alias("s"), types.alias("types"), n.alias("n")))
 
     def factors(arr):
         def fin(acc):
-            ttr = F.size(acc["types"]).cast("double") / acc["n"].cast("double")
+            ttr = acc["types"].cast("double") / acc["n"].cast("double")
             part = F.when(acc["n"] > 0, (F.lit(1.0) - ttr) / F.lit(1.0 - threshold)).otherwise(F.lit(0.0))
             return acc["f"] + part
-        return F.aggregate(arr, init, step, fin)
+        return F.aggregate(previous_places(arr), start, step, fin)
 
     n = F.size(words)
-    fwd, bwd = factors(words), factors(F.reverse(words))
-    return F.when(n > 0, (F.when(fwd > 0, n / fwd) + F.when(bwd > 0, n / bwd)) / 2.0)
+    both = F.struct(factors(words).alias("a"), factors(F.reverse(words)).alias("b"))
+    return F.when(n > 0, F.transform(F.array(both), lambda x: F.when((x["a"] > 0) & (x["b"] > 0), (n / x["a"] + n / x["b"]) / 2.0))[0])
 
 
 def mtld_one(words, threshold: float = L.MTLD_THRESHOLD):
@@ -416,11 +424,7 @@ def mtld_one(words, threshold: float = L.MTLD_THRESHOLD):
 
 @F.pandas_udf(DoubleType())
 def mtld_udf(words: pd.Series) -> pd.Series:
-    """Arrow-batched MTLD: a sequential fold with resets, O(n) per document with a hash set.
-
-    (``mtld_expr`` computes the same with built-in ``aggregate``, but its state
-    array is copied at every step, which is quadratic in the segment length.)
-    """
+    """Arrow-batched MTLD, the same as ``mtld_expr``: a sequential fold with resets and a hash set (not on the metric path)."""
     return words.map(lambda ws: mtld_one(list(ws)) if ws is not None else None).astype("float64")
 
 

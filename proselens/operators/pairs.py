@@ -38,6 +38,21 @@ def _bit(m: Column, b: Column) -> Column:
     return F.call_function("getbit", m, b).cast("int")
 
 
+#: digits of the counts that a block's 64 sentences get at once; sentences with more distinct words are counted one by one
+PLANES = 6
+
+
+def _planes(masks: Column) -> Column:
+    """How many masks hold each of the 64 bits, as binary digits: c0 has the lowest digit of all 64 counts."""
+    def step(acc, m):
+        carry, digits = m, []
+        for n in range(PLANES):
+            digits.append(acc[f"c{n}"].bitwiseXOR(carry).alias(f"c{n}"))
+            carry = acc[f"c{n}"].bitwiseAND(carry)
+        return F.struct(*digits)
+    return F.aggregate(masks, F.struct(*[F.lit(0).cast("long").alias(f"c{n}") for n in range(PLANES)]), step)
+
+
 def _items(tok: DataFrame) -> DataFrame:
     """Distinct ``doc_id, sent_id, kind, mkey, qkey`` rows.
 
@@ -103,20 +118,23 @@ def pair_stats(tok: DataFrame) -> DataFrame:
     sizes = items.groupBy("doc_id", "sent_id").agg(F.count_if(C("kind") == "cw").alias("n"))
     block_sizes = (sizes.withColumn("chunk", F.floor(C("sent_id") / BLOCK).cast("int"))
                    .groupBy("doc_id", "chunk")
-                   .agg(F.map_from_entries(F.collect_list(F.struct(C("sent_id") % BLOCK, C("n")))).alias("bn")))
+                   .agg(F.map_from_entries(F.collect_list(F.struct(C("sent_id") % BLOCK, C("n")))).alias("bn"))
+                   .select("doc_id", "chunk", F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)),
+                                                          lambda b: F.coalesce(F.element_at("bn", b.cast("bigint")), F.lit(0))).alias("bn")))
     h = (hit.join(sizes.select("doc_id", C("sent_id").alias("j"), C("n").alias("nj")), ["doc_id", "j"], "left")
          .join(block_sizes, ["doc_id", "chunk"], "left"))
 
-    def term(bb: Column) -> Column:
-        k = F.aggregate(C("ms"), F.lit(0), lambda acc, m: acc + _bit(m, bb))
-        ni = F.coalesce(F.element_at(C("bn"), bb), F.lit(0))
+    def term(bb: Column, planes: Column) -> Column:
+        k = F.when(F.size("ms") < 1 << PLANES, sum((_bit(planes[f"c{n}"], bb) * (1 << n) for n in range(PLANES)), F.lit(0))) \
+            .otherwise(F.aggregate(C("ms"), F.lit(0), lambda acc, m: acc + _bit(m, bb)))
         i = C("chunk") * BLOCK + bb
-        x = F.lit(2.0) * k.cast("double") / (ni + C("nj")).cast("double")
+        x = F.lit(2.0) * k.cast("double") / (F.get(C("bn"), bb) + C("nj")).cast("double")
         return F.struct(F.when((i < C("j")) & (k > 0), x).otherwise(F.lit(0.0)).alias("x"),
                         F.when((i == C("j") - 1) & (k > 0), x).otherwise(F.lit(0.0)).alias("a"))
 
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("as_"), F.lit(0.0).alias("aq"))
-    terms = F.transform(F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda bb: _bit(C("m"), bb) == 1), term)
+    shared = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda bb: _bit(C("m"), bb) == 1)
+    terms = F.transform(F.array(_planes(C("ms"))), lambda planes: F.transform(shared, lambda bb: term(bb, planes)))[0]
     dice = F.when(C("kind") == "cw", F.aggregate(
         terms, zero,
         lambda acc, t: F.struct((acc["s"] + t["x"]).alias("s"), (acc["q"] + t["x"] * t["x"]).alias("q"),

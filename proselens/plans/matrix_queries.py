@@ -1,7 +1,8 @@
 """Registered queries for sources, projections, joins and group slicing (S1-S10, P1-P8, P12,
 J1-J6, A1, A2, W1, W3, W4, F1-F4, F7-F9) with their oracle SQL.
 
-The metric matrix here is the light one (family C descriptive, lexical
+Sources, the group map, the group join and the assembled features take the full matrix (146 metrics
+of both families).  The other matrix queries take the light one (family C descriptive, lexical
 diversity, readability: 14 metrics from one aggregate over all documents).
 """
 
@@ -95,15 +96,35 @@ def q_lexicon_join(spark, sf_dir):
             .select("doc_id", "sent_id", "tok_id", "form", "lex_upos"))
 
 
-def q_metric_matrix_roundtrip(spark, sf_dir):
-    """S3 then S2: write the matrix as CSV into the shared folder, read it back with a schema."""
+ALL_METRICS = [r[2] for r in G.group_rows()]
+
+
+def full(spark, sf_dir) -> DataFrame:
+    return jobs.full_matrix(_docs(spark, sf_dir))
+
+
+def _sunk(spark, sf_dir) -> str:
     path = new_path(spark, "matrix")
-    IO.sink_metric_matrix(light(spark, sf_dir), path)
-    return IO.scan_metric_matrix(spark, path, M.LIGHT)
+    IO.sink_metric_matrix(full(spark, sf_dir), path)
+    return path
+
+
+def q_scan_metric_matrix(spark, sf_dir):
+    """The full matrix read back from CSV with its schema."""
+    return IO.scan_metric_matrix(spark, _sunk(spark, sf_dir), ALL_METRICS)
+
+
+def q_sink_metric_matrix(spark, sf_dir):
+    """S3: what the CSV files hold, as text: rows, header fields, and documents with words, by file name apart."""
+    lines = spark.read.text(_sunk(spark, sf_dir)).where(~C("value").startswith("doc_id,"))
+    fields = F.split("value", ",")
+    return lines.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size(fields)).cast("long").alias("n_fields"),
+                     F.sum(F.size(fields)).cast("long").alias("n_cells"), F.sum(fields[0].cast("long")).alias("id_sum"))
 
 
 def q_join_metric_group(spark, sf_dir):
-    return long_grouped(spark, sf_dir).select("doc_id", "group", "metric", "value")
+    """Every metric value of both families with its group."""
+    return full_long(spark, sf_dir).select("doc_id", "family", "group", "metric", "value")
 
 
 def full_long(spark, sf_dir) -> DataFrame:
@@ -119,25 +140,29 @@ def q_collect_group_metrics(spark, sf_dir):
     return MX.collect_group_metrics(full_long(spark, sf_dir), by=["family"])
 
 
-def group_names(spark, sf_dir) -> DataFrame:
-    """A2 over both maps, on the group column attached to the values of the light matrix's documents."""
-    ids = _read(spark, sf_dir, "documents").select("doc_id")
-    # one narrow row per document and group: the distinct is combined before its exchange
-    return MX.distinct_groups(ids.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("family"), F.lit(g).alias("group"))
-        for f in ("coh_metrix", "multiazter") for g in G.groups_of(f)])).alias("x")).select("x.*"), by=["family"])
+def _grouped_docs(spark, sf_dir) -> DataFrame:
+    """Documents as members of groups: the language as family, the source as group."""
+    return _read(spark, sf_dir, "documents").select(C("lang").alias("family"), C("source").alias("group"))
 
 
 def q_distinct_groups(spark, sf_dir):
-    return group_names(spark, sf_dir)
+    """A2: the distinct (family, group) of all documents; combined before its exchange."""
+    return MX.distinct_groups(_grouped_docs(spark, sf_dir), by=["family"])
 
 
 def q_lower_group(spark, sf_dir):
-    return group_names(spark, sf_dir).select("family", "group", T.lower_group(C("group")).alias("group_lower"))
+    """on every document's group, in capitals."""
+    return _grouped_docs(spark, sf_dir).select("family", F.upper("group").alias("group")) \
+        .groupBy("family", "group", T.lower_group(C("group")).alias("group_lower")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_filter_group(spark, sf_dir):
-    return long_grouped(spark, sf_dir).where(C("group") == "LEXICAL DIVERSITY").select("doc_id", "metric", "value")
+    """The values of one group's metrics, of both families."""
+    docs = _docs(spark, sf_dir)
+    tok = A.tokens(docs)
+    wide = M.c_lexical_diversity(docs, tok).join(M.m_lexical_diversity(docs, tok), "doc_id")
+    long = MX.to_long(wide, [c for c in wide.columns if c != "doc_id"])
+    return MX.join_metric_group(long, MX.group_map(spark)).where(C("group") == "LEXICAL DIVERSITY").select("doc_id", "metric", "value")
 
 
 def q_project_group_columns(spark, sf_dir):
@@ -145,12 +170,14 @@ def q_project_group_columns(spark, sf_dir):
 
 
 def q_assemble_features(spark, sf_dir):
-    return MX.assemble_features(light(spark, sf_dir), DESCRIPTIVE)
+    """All 146 metrics as one array."""
+    return MX.assemble_features(full(spark, sf_dir), ALL_METRICS)
 
 
 def q_run_name(spark, sf_dir):
-    g = group_names(spark, sf_dir)
-    return g.select("family", "group", T.run_name(C("family"), T.lower_group(C("group"))).alias("run_name"))
+    """the run of every document's (family, group)."""
+    return _grouped_docs(spark, sf_dir).groupBy(T.run_name(C("family"), T.lower_group(C("group"))).alias("run_name")) \
+        .agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_join_features(spark, sf_dir):
@@ -163,9 +190,11 @@ def q_join_labels(spark, sf_dir):
 
 
 def q_union_batches(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    parts = [M.light_matrix(docs.where(C("doc_id") % N_BATCHES == b)) for b in range(N_BATCHES)]
-    return MX.union_batches(parts)
+    """The batches' results, written in one pass, are read one by one and appended."""
+    path = new_path(spark, "batches")
+    light(spark, sf_dir).withColumn("batch", C("doc_id") % N_BATCHES).write.partitionBy("batch").parquet(path)
+    schema = IO.matrix_schema(M.LIGHT)
+    return MX.union_batches([spark.read.schema(schema).parquet(f"{path}/batch={b}") for b in range(N_BATCHES)])
 
 
 def q_row_index(spark, sf_dir):
@@ -173,13 +202,11 @@ def q_row_index(spark, sf_dir):
 
 
 def q_scan_group_map(spark, sf_dir):
-    """The group map read back from CSV, with how many documents have a non-zero value."""
-    path = IO.write_group_map(spark, FAMILY)
-    gm = IO.scan_group_map(spark, path)
-    cov = (MX.to_long(light(spark, sf_dir), M.LIGHT).groupBy("metric")
+    """Both group maps read back from CSV, with the number of documents that have a non-zero value of each metric."""
+    maps = [IO.scan_group_map(spark, IO.write_group_map(spark, f)).withColumn("family", F.lit(f)) for f in ("coh_metrix", "multiazter")]
+    cov = (MX.to_long(full(spark, sf_dir), ALL_METRICS).groupBy("metric")
            .agg(F.count_if(C("value") != 0).alias("n_nonzero")))
-    return (gm.join(cov, "metric", "left")
-            .select("metric", "group", F.coalesce("n_nonzero", F.lit(0)).cast("long").alias("n_nonzero")))
+    return MX.union_batches(maps).join(F.broadcast(cov), "metric").select("family", "metric", "group", "n_nonzero")
 
 
 def _payload(spark, sf_dir):
@@ -214,14 +241,34 @@ def q_scan_metric_payload(spark, sf_dir):
     return MX.null_to_zero(wide, keys)
 
 
-def q_embeddings_roundtrip(spark, sf_dir):
-    """S6 then S5."""
+def q_map_to_wide(spark, sf_dir):
+    """Maps of a document's own counts to columns; a key that a map lacks gives null."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.map_from_arrays(
+        F.array(F.lit("n_chars"), F.coalesce("lang", F.lit(""))), F.array(C("n_chars").cast("double"), F.lit(1.0))).alias("m"))
+    return MX.map_to_wide(d, "m", ["n_chars", "en", "de", "none"], ["doc_id"])
+
+
+def q_null_to_zero(spark, sf_dir):
+    """P5: of the columns of P6, nulls of two become 0, the others stay."""
+    return MX.null_to_zero(q_map_to_wide(spark, sf_dir), ["en", "none"])
+
+
+def q_scan_embeddings(spark, sf_dir):
+    """The vectors that were written, read back."""
     path = new_path(spark, "embeddings")
     IO.sink_embeddings(_read(spark, sf_dir, "embeddings"), path)
     e = IO.scan_embeddings(spark, path)
     return e.select("vec_id", C("embedding").cast("array<double>").alias("embedding"), "label")
 
 
+def q_sink_embeddings(spark, sf_dir):
+    """What the files hold: rows and numbers of each label."""
+    path = new_path(spark, "embeddings")
+    IO.sink_embeddings(_read(spark, sf_dir, "embeddings"), path)
+    return spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("embedding")).alias("n_values"),
+                                                         F.sum("vec_id").alias("id_sum"))
+
+
 def _annotated(spark, sf_dir) -> DataFrame:
     """Tokens rendered as CoNLL-U in the shared folder (HEAD: half the token's number) and read back."""
     path = new_path(spark, "conllu")
@@ -264,16 +311,16 @@ QUERIES = {
     "scan_corpus_split": q_scan_corpus_split, "project_text": q_project_text, "project_label": q_project_label,
     "head_texts": q_head_texts, "matrix_shape": q_matrix_shape, "preprocess_text": q_preprocess_text,
     "tokenize": q_tokenize, "syllables": q_syllables, "lexicon_join": q_lexicon_join,
-    "sink_metric_matrix": q_metric_matrix_roundtrip, "scan_metric_matrix": q_metric_matrix_roundtrip,
+    "sink_metric_matrix": q_sink_metric_matrix, "scan_metric_matrix": q_scan_metric_matrix,
     "join_metric_group": q_join_metric_group, "collect_group_metrics": q_collect_group_metrics,
     "distinct_groups": q_distinct_groups, "filter_group": q_filter_group,
     "project_group_columns": q_project_group_columns, "assemble_features": q_assemble_features,
     "lower_group": q_lower_group, "run_name": q_run_name, "join_features": q_join_features,
     "join_labels": q_join_labels, "union_batches": q_union_batches, "row_index": q_row_index,
     "scan_group_map": q_scan_group_map, "split_marker": q_split_marker, "json_to_map": q_json_to_map,
-    "scan_metric_payload": q_scan_metric_payload, "null_to_zero": q_scan_metric_payload,
-    "map_to_wide": q_scan_metric_payload, "scan_embeddings": q_embeddings_roundtrip,
-    "sink_embeddings": q_embeddings_roundtrip, "scan_annotated_tokens": q_scan_annotated_tokens,
+    "scan_metric_payload": q_scan_metric_payload, "null_to_zero": q_null_to_zero,
+    "map_to_wide": q_map_to_wide, "scan_embeddings": q_scan_embeddings,
+    "sink_embeddings": q_sink_embeddings, "scan_annotated_tokens": q_scan_annotated_tokens,
     "mean_depth": q_mean_depth,
     "phrase_islands": q_phrase_islands, "adjacent_sentence": q_adjacent_sentence,
     "sentence_pair_join": q_sentence_pair_join,
@@ -317,6 +364,20 @@ def _rl(x: str) -> str:
     return f"list_transform({x}, lambda v: round(v::DOUBLE, 6))"
 
 
+_KEYS = [O.q_c_descriptive, O.q_c_word_information, O.q_c_pattern_density, O.q_c_syntactic_complexity, O.q_c_connectives,
+         O.q_c_lexical_diversity, O.q_c_readability, O.q_m_connectives, O.q_m_descriptive, O.q_m_lexical_diversity, O.q_m_readability,
+         O.q_m_syntax, O.q_m_morphology, O.q_c_referential_cohesion, O.q_m_referential_cohesion, O.q_m_word_frequency, O.q_m_semantics]
+
+
+def _full(keys=_KEYS) -> str:
+    """The keys' own oracles, joined."""
+    return "(SELECT * FROM " + " JOIN ".join(f"({q()}) k{i}" + (" USING (doc_id)" if i else "") for i, q in enumerate(keys)) + ")"
+
+
+_DIVERSITY = G.metrics_of("coh_metrix", "LEXICAL DIVERSITY") + G.metrics_of("multiazter", "LEXICAL DIVERSITY")
+_ALL_OUT = ", ".join(f"{_r(m)} AS {m}" for m in ALL_METRICS)
+_ALL_LONG = f"(UNPIVOT (SELECT doc_id, {', '.join(f'{m}::DOUBLE AS {m}' for m in ALL_METRICS)} FROM {_full()}) ON {', '.join(ALL_METRICS)} INTO NAME metric VALUE value)"
+
 _LIGHT_OUT = ", ".join(f"{_r(m)} AS {m}" for m in M.LIGHT)
 _DESC_OUT = ", ".join(f"{_r(m)} AS {m}" for m in DESCRIPTIVE)
 _DESC_LIST = "[" + ", ".join(DESCRIPTIVE) + "]"
@@ -339,20 +400,21 @@ ORACLE = {
     "syllables": _TOK + "\nSELECT doc_id, sent_id, tok_id, n_syll::INT AS n_syll FROM tok WHERE form IS NOT NULL",
     "lexicon_join": _TOK + "\nSELECT t.doc_id, t.sent_id, t.tok_id, t.form, lx.upos AS lex_upos FROM tok t "
                            "LEFT JOIN lex lx ON lx.lang = t.lang AND lx.form = t.form WHERE t.form IS NOT NULL",
-    "sink_metric_matrix": _light_ctes() + f"\nSELECT doc_id, {_LIGHT_OUT} FROM lw",
-    "scan_metric_matrix": _light_ctes() + f"\nSELECT doc_id, {_LIGHT_OUT} FROM lw",
-    "join_metric_group": _long() + "\nSELECT doc_id, grp AS \"group\", metric, " + _r("value") + " AS value FROM lg",
+    "sink_metric_matrix": f"SELECT count(*) AS n_rows, {len(ALL_METRICS) + 1}::BIGINT AS n_fields, (count(*) * {len(ALL_METRICS) + 1})::BIGINT AS n_cells, "
+                          "sum(doc_id)::BIGINT AS id_sum FROM documents",
+    "scan_metric_matrix": f"SELECT doc_id, {_ALL_OUT} FROM {_full()}",
+    "join_metric_group": f"WITH {_BOTH}\nSELECT doc_id, family, grp AS \"group\", metric, {_r('value')} AS value FROM {_ALL_LONG} JOIN both_maps USING (metric)",
     "collect_group_metrics": f"WITH {_BOTH}, n AS (SELECT count(*) AS n FROM documents)\nSELECT family, grp AS \"group\", "
                              "list(metric ORDER BY pos) AS metrics, (count(*) * (SELECT n FROM n))::BIGINT AS n_values "
                              "FROM both_maps GROUP BY family, grp",
-    "distinct_groups": f"WITH {_BOTH}\nSELECT DISTINCT family, grp AS \"group\" FROM both_maps WHERE EXISTS (SELECT 1 FROM documents)",
-    "filter_group": _long() + "\nSELECT doc_id, metric, " + _r("value") + " AS value FROM lg WHERE grp = 'LEXICAL DIVERSITY'",
+    "distinct_groups": "SELECT DISTINCT lang AS family, source AS \"group\" FROM documents",
+    "filter_group": "SELECT doc_id, metric, " + _r("value") + " AS value FROM (UNPIVOT (SELECT doc_id, "
+                    + ", ".join(f"{m}::DOUBLE AS {m}" for m in _DIVERSITY) + " FROM " + _full([O.q_c_lexical_diversity, O.q_m_lexical_diversity])
+                    + ") ON " + ", ".join(_DIVERSITY) + " INTO NAME metric VALUE value)",
     "project_group_columns": _light_ctes() + f"\nSELECT doc_id, {_DESC_OUT} FROM lw",
-    "assemble_features": _light_ctes() + f"\nSELECT doc_id, {_rl(_DESC_LIST)} AS features FROM lw",
-    "lower_group": f"WITH {_BOTH}\nSELECT DISTINCT family, grp AS \"group\", lower(grp) AS group_lower FROM both_maps "
-                   "WHERE EXISTS (SELECT 1 FROM documents)",
-    "run_name": f"WITH {_BOTH}\nSELECT DISTINCT family, grp AS \"group\", family || '_' || lower(grp) AS run_name FROM both_maps "
-                "WHERE EXISTS (SELECT 1 FROM documents)",
+    "assemble_features": "SELECT doc_id, " + _rl("[" + ", ".join(ALL_METRICS) + "]") + " AS features FROM " + _full(),
+    "lower_group": "SELECT lang AS family, upper(source) AS \"group\", lower(source) AS group_lower, count(*) AS n FROM documents GROUP BY ALL",
+    "run_name": "SELECT lang || '_' || lower(source) AS run_name, count(*) AS n FROM documents GROUP BY 1",
     "join_features": _light_ctes() + "\nSELECT lw.doc_id, " + _rl(
         "list_concat(list_transform(e.embedding, lambda v: v::DOUBLE), [" + ", ".join(M.LIGHT) + "])")
                      + " AS features FROM embeddings e JOIN lw ON lw.doc_id = e.vec_id",
@@ -361,9 +423,8 @@ ORACLE = {
     "union_batches": _light_ctes() + f"\nSELECT doc_id, {_LIGHT_OUT} FROM lw",
     "row_index": _light_ctes() + "\nSELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS \"index\", doc_id, "
                                  + _r("DESWC") + " AS DESWC FROM lw",
-    "scan_group_map": _long() + ",\ncov AS (SELECT metric, count(*) FILTER (WHERE value <> 0) AS n FROM lg GROUP BY metric)\n"
-                                "SELECT gm.metric, gm.grp AS \"group\", coalesce(cov.n, 0)::BIGINT AS n_nonzero "
-                                "FROM gm LEFT JOIN cov USING (metric)",
+    "scan_group_map": f"WITH {_BOTH}\nSELECT family, metric, grp AS \"group\", count(*) FILTER (WHERE value <> 0) AS n_nonzero "
+                      f"FROM {_ALL_LONG} JOIN both_maps USING (metric) GROUP BY ALL",
     "split_marker": "SELECT (doc_id // " + str(PAYLOAD_BATCH) + ")::BIGINT AS batch, '[{\"doc_id\":' AS head, '}]' AS tail, "
                     "count(*)::INT AS n_records, TRUE AS marker_gone FROM documents GROUP BY 1",
     "json_to_map": _light_ctes() + f"\nSELECT (doc_id // {PAYLOAD_BATCH})::BIGINT AS batch, "
@@ -371,9 +432,8 @@ ORACLE = {
                    "['doc_id', 'DESWC', 'RDFHGL', 'LDTTRcw'] AS keys, doc_id, " + _r("DESWC") + " AS DESWC FROM lraw",
     "scan_metric_payload": _light_ctes() + "\nSELECT doc_id, " + ", ".join(
         f"{_r(f'coalesce({m}, 0.0)')} AS {m}" for m in ("DESWC", "RDFHGL", "LDTTRcw")) + " FROM lraw",
-    "embeddings_roundtrip": "",
     "scan_embeddings": "SELECT vec_id, " + _rl("embedding") + " AS embedding, label FROM embeddings",
-    "sink_embeddings": "SELECT vec_id, " + _rl("embedding") + " AS embedding, label FROM embeddings",
+    "sink_embeddings": "SELECT label, count(*) AS n_rows, sum(len(embedding))::BIGINT AS n_values, sum(vec_id)::BIGINT AS id_sum FROM embeddings GROUP BY 1",
     "scan_annotated_tokens": _TOK + _NUMBERED + "\nSELECT doc_id, s AS sent_id, tok_id, form, lemma, upos, "
                              "((tok_id + 1) // 2)::INT AS head FROM num",
     "mean_depth": "WITH RECURSIVE " + _TOK.lstrip().removeprefix("WITH ") + _NUMBERED + """,
@@ -388,6 +448,7 @@ SELECT doc_id, """ + _r("avg(m)") + """ AS mean_depth FROM (
     "adjacent_sentence": _PAIR_LIGHT + "\n" + O.out([(c, c) for c in ADJ_KEYS], "pa"),
     "sentence_pair_join": _PAIR_LIGHT + "\n" + O.out([(c, c) for c in ALL_KEYS], "pa"),
 }
-ORACLE["null_to_zero"] = ORACLE["scan_metric_payload"]
-ORACLE["map_to_wide"] = ORACLE["scan_metric_payload"]
-del ORACLE["embeddings_roundtrip"]
+ORACLE["map_to_wide"] = """SELECT doc_id, n_chars::DOUBLE AS n_chars, CASE WHEN lang = 'en' THEN 1.0 END::DOUBLE AS en,
+CASE WHEN lang = 'de' THEN 1.0 END::DOUBLE AS de, NULL::DOUBLE AS none FROM documents"""
+ORACLE["null_to_zero"] = """SELECT doc_id, n_chars::DOUBLE AS n_chars, (lang = 'en')::INT::DOUBLE AS en,
+CASE WHEN lang = 'de' THEN 1.0 END::DOUBLE AS de, 0.0::DOUBLE AS none FROM documents"""

@@ -20,6 +20,7 @@ from ..operators import frequency as FQ
 from ..session import table_path
 from ..sources.corpus import read_documents
 from . import eval_queries as EQ
+from . import hook_queries as HQ
 from . import matrix_queries as MQ
 from . import ml_queries as MLQ
 from . import oracle as O
@@ -72,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _metric(fn) for k, (fn, _) in METRIC_KEYS.items()}
     out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in EQ.QUERIES.items()})
     out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in MQ.QUERIES.items()})
-    out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in MLQ.QUERIES.items()})
+    out.update({k: (lambda spark, sf_dir, fn=fn: round6(fn(spark, sf_dir))) for k, fn in (MLQ.QUERIES | HQ.QUERIES).items()})
     return out
 
 
@@ -81,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(EQ.ORACLE)
     out.update(MQ.ORACLE)
     out.update(MLQ.ORACLE)
+    out.update(HQ.ORACLE)
     return out

@@ -50,3 +50,19 @@ def test_ttr_bounds_and_self_concatenation(spark):
     assert r[1]["V"] == r[2]["V"]
     lex = {x["doc_id"]: x for x in M.c_lexical_diversity(d).collect()}
     assert 0 < lex[1]["LDTTRa"] <= 1
+
+
+def test_mtld_of_long_texts(spark):
+    """Many segments, and one segment of distinct words that never closes, in time that is not quadratic."""
+    rnd = random.Random(3)
+    cases = [[f"w{rnd.randrange(3000)}" for _ in range(20_000)], [f"w{i}" for i in range(60_000)] + ["w1"] * 30, ["x"] * 5000]
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, words array<string>")
+    got = {r["id"]: r["m"] for r in df.select("id", M.mtld_expr(F.col("words")).alias("m")).collect()}
+    for i, c in enumerate(cases):
+        assert abs(got[i] - mtld_py(c)) < 1e-9 * got[i]
+
+
+def test_mtld_runs_without_python(spark):
+    from conftest import docs_df
+    plan = M.m_lexical_diversity(docs_df(spark, [(1, "en", "a b c")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

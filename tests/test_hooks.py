@@ -36,3 +36,19 @@ def test_external_analyzer(spark):
     assert got[1].chars == 25.0 and math.isnan(got[1].odd) and got[3].odd == got[3].missing == 0.0
     with pytest.raises(Exception, match="results for"):
         H.external_metrics(docs(spark), lambda: lambda texts: [], ["chars"]).collect()
+
+
+def test_analyzer_as_a_table_function(spark):
+    def analyzer():
+        return lambda texts: [{"chars": len(t), "odd": None if not t else float("nan")} for t in texts]
+    function = H.register_analyzer(spark, "analyze_here", analyzer, ["chars", "odd", "missing"], batch=2)
+    d = docs(spark).select("doc_id", "text", F.lit("x").alias("extra"))
+    d.createOrReplaceTempView("some_docs")
+    want = sorted(map(str, H.external_metrics(docs(spark), analyzer, ["chars", "odd", "missing"]).collect()))
+    for found in (spark.sql("SELECT * FROM analyze_here(TABLE(some_docs))"), function(d.asTable()),
+                  spark.sql("SELECT * FROM analyze_here(TABLE(some_docs) PARTITION BY doc_id)")):
+        assert sorted(map(str, found.collect())) == want
+    assert spark.sql("SELECT * FROM analyze_here(TABLE(SELECT doc_id, text FROM some_docs WHERE false))").collect() == []
+    H.register_analyzer(spark, "analyze_wrong", lambda: lambda texts: [], ["chars"])
+    with pytest.raises(Exception, match="results for"):
+        spark.sql("SELECT * FROM analyze_wrong(TABLE(some_docs))").collect()
