@@ -18,7 +18,9 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,17 @@ INPUTS = PATH_DIM + WORD_DIM + MEASURES
 #: pages that the network is trained on, passes over them, step size
 SAMPLE, EPOCHS, RATE, SEED = 400, 12, 0.01, 11
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: what may end a tag or begin a quoted value: quotes count straight after "=" only
+STOP = re.compile(r">|=\s*[\"']?")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z]+")
 
 # fixed values: element names of HTML
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-                   "span strike strong sub sup time tt u var wbr img".split())
+BLOCK = frozenset("address article aside base blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset "
+                  "figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html input legend li link "
+                  "main menu meta nav noframes ol optgroup option p param plaintext pre search section source summary table tbody td "
+                  "tfoot th thead title tr track ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose content is text up to their end tag, without one up to the end of the page
 RAW = frozenset("script style title textarea".split())
@@ -64,19 +70,74 @@ OTHER_NAMES = frozenset("nav navigation menu header footer sidebar aside ad ads
 Block = tuple[tuple[str, ...], str, float]
 
 
-def skipped_to(page: str) -> dict[int, int]:
+#: open elements that a tag may close at a distance, and names of a block's path, from the top
+DEPTH, PATH_NAMES = 512, 64
+
+
+class Tags:
+    """The tags of a page one after the other, in time linear in the page."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = True  # until a quoted value is never closed: then every tag ends at the next ">"
+        self.unclosed: dict[str, bool] = {}
+
+    def _end(self, at: int) -> int:
+        page = self.page
+        while self.quotes:
+            m = STOP.search(page, at)
+            if m is None:
+                self.quotes = False
+                break
+            at, found = m.end(), m[0]
+            if found == ">":
+                return m.start()
+            if found[-1] in "\"'":
+                close = -1 if self.unclosed.get(found[-1]) else page.find(found[-1], at)
+                if close < 0:
+                    self.unclosed[found[-1]] = True  # an ordinary character from here on
+                else:
+                    at = close + 1
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Begin, end, slash, name (empty: a comment or declaration) and attributes of the first tag from ``at``."""
+        page = self.page
+        while (begin := page.find("<", at)) >= 0 and begin < self.last or begin >= 0 and page.startswith("<!--", begin):
+            at = begin + 1
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, len(page) if end < 0 else end + 3, "", "", ""
+            if page[at:at + 1] in "!?":
+                return begin, page.find(">", at) + 1, "", "", ""
+            m = TAG_NAME.match(page, at)
+            if m is None:
+                continue
+            end = self._end(m.end())
+            if end < 0:
+                end = page.find(">", m.end())
+            return begin, end + 1, m[1], m[2].lower(), page[m.end():end]
+        return None
+
+    def after(self, tag: str, at: int) -> int:
+        """Where the text element ``tag`` is over: after its end tag, or at the page's end."""
+        m = re.compile(f"</{re.escape(tag)}\\b", re.I).search(self.page, at)
+        end = self.page.find(">", m.end()) if m else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+
+def skipped_to(tags: Tags) -> dict[int, int]:
     """End of each start tag of a SKIPPED element, and of the end tag that closes it, for the elements that are closed."""
     out: dict[int, int] = {}
     opened: dict[str, list[int]] = {tag: [] for tag in SKIPPED}
     at = 0
-    while m := TAG.search(page, at):
-        at, tag = m.end(), (m[2] or "").lower()
-        if tag in RAW and not m[1]:
-            end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+    while found := tags.next(at):
+        _, at, slash, tag, attributes = found
+        if tag in RAW and not slash:
+            at = tags.after(tag, at)
         elif tag in SKIPPED:
-            if not m[1]:
-                if not empty(tag, m[3]):
+            if not slash:
+                if not empty(tag, attributes):
                     opened[tag].append(at)
             elif opened[tag]:
                 out[opened[tag].pop()] = at
@@ -91,8 +152,10 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: path (tags, ``.class`` and ``#id`` names from the top), text, share of linked text."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_: Counter = Counter()
     text: list[str] = []
     linked = link = at = 0
+    tags = Tags(page)
     ends: dict[int, int] | None = None  # made at the first SKIPPED element
 
     def flush() -> None:
@@ -100,61 +163,65 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = " ".join(entities.unescape("".join(text)).split())
             if words:
-                out.append((tuple(x for _, names in stack for x in names), words, min(1.0, linked / len(words))))
+                path = (x for _, names in stack[:PATH_NAMES] for x in names)
+                out.append((tuple(islice(path, PATH_NAMES)), words, min(1.0, linked / len(words))))
             text, linked = [], 0
 
+    def close(k: int) -> None:
+        open_.subtract(tag for tag, _ in stack[k:])
+        del stack[k:]
+
     while at < len(page):
-        m = TAG.search(page, at)
-        piece = page[at:m.start()] if m else page[at:]
+        found = tags.next(at)
+        piece = page[at:found[0]] if found else page[at:]
         if piece:
             text.append(piece)
             linked += len(piece.strip()) if link else 0
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        _, at, slash, tag, attributes = found
         if not tag:
             continue
-        if m[1]:
+        block = tag in BLOCK or tag in SKIPPED
+        if slash:
             if tag == "a":
                 link = 0
-            elif tag not in INLINE:
+            elif block:
                 flush()
                 link = 0
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if open_[tag]:
+                    for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
+                        if stack[k][0] == tag:
+                            close(k)
+                            break
             continue
         if tag == "br":
             text.append(" ")
-        elif empty(tag, m[3]):
+        elif empty(tag, attributes):
             pass
-        elif tag in SKIPPED and (ends := skipped_to(page) if ends is None else ends).get(at):
+        elif tag in SKIPPED and (ends := skipped_to(Tags(page)) if ends is None else ends).get(at):
             at = ends[at]
         elif tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = tags.after(tag, at)
         elif tag == "a":
             link = 1
-        elif tag in INLINE:
-            pass
-        else:
+        elif block:
             flush()
             link = 0
             closed = CLOSES.get(tag, {"p"})
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
                 if stack[k][0] in closed or stack[k][0] == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in SCOPES:
                     break
             if tag not in VOID:
                 names = [tag]
-                for a in ATTRIBUTE.finditer(m[3]):
+                for a in ATTRIBUTE.finditer(attributes):
                     mark = "." if a[1].lower() == "class" else "#"
                     names += [mark + x for x in NAME.findall((a[2] or a[3] or a[4] or "").lower())]
                 stack.append((tag, tuple(names)))
+                open_[tag] += 1
     flush()
     return out
 

@@ -233,3 +233,26 @@ def test_quality_bounds_are_parameters(given, monkeypatch):
     monkeypatch.setattr(quality, "dictionary", lambda texts, most: seen.append((len(texts), most)) or built(texts, most))
     quality.quality(docs, labels, dictionary_texts=7, dictionary_chunks=5)
     assert seen == [(7, 5), (7, 5)]
+
+
+@pytest.mark.parametrize("markup,want", [
+    ("<p>Alpha <a href=http://x/it's>link</a> middle.</p><p>Second don't stop.</p>", ["Alpha link middle.", "Second don't stop."]),
+    ("<p class='a>b'>one</p><p title=\"x'>y\">two</p>", ["one", "two"]),
+    ("<p title='never closed>one</p><p>two</p>", ["one", "two"]),
+    ("<p>HTML<acronym>s</acronym> and <nobr>a</nobr><my-tag>b</my-tag></p>", ["HTMLs and ab"]),
+    ("a < b <3 c<p>d<!-- <p>no</p> --></p><!-- open <p>no", ["a < b <3 c", "d"]),
+    ("<script>if (a</b>) '</p>'</SCRIPT ><p>x</p><textarea>no", ["x"]),
+    ("text <a href", ["text <a href"]),
+])
+def test_html_markup(markup, want):
+    assert [t for _, t, _ in H.blocks(markup)] == want
+
+
+def test_html_in_linear_time():
+    import time
+    for page in ("<a " * 350_000, "<a " * 200_000 + 'x=">"', "<div>x" * 60_000, "<li><div>" + "<foo>" * 9000 + "<li></li>" * 9000,
+                 "<a b='" * 150_000, "<script>" + "</script " * 100_000, "<p>" + "<div></p>" * 50_000, "<" * 1_000_000):
+        begin = time.process_time()
+        found = H.blocks(page)
+        assert time.process_time() - begin < 5
+        assert max((len(p) for p, _, _ in found), default=0) <= H.PATH_NAMES
