@@ -1,9 +1,9 @@
 """Documents -> sentence rows and token rows.
 
 ``sentences``: one row per kept sentence, from a ``posexplode`` of an in-row
-array, so no shuffle.  ``tokens``: one row per word, tagged by plain column
-expressions (closed-class lexicon as hash-set ``InSet`` tests, suffix rules
-as ``endswith``), all inside whole-stage codegen.  Every aggregate downstream
+array, so no shuffle.  ``tokens``: one row per word, tagged by one probe of the
+broadcast closed-class lexicon (a fixed table) and plain column expressions (suffix
+rules as ``endswith``), all inside whole-stage codegen.  Every aggregate downstream
 groups by ``doc_id`` or ``(doc_id, sent_id)``; since all rows of a document
 come from one input row they sit in one partition, so the map-side partial
 aggregate collapses them before the exchange.
@@ -15,9 +15,10 @@ n_char``.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -29,10 +30,6 @@ TOKEN_COLUMNS = ("doc_id", "lang", "para_id", "sent_id", "tok_id", "form", "lemm
                  "irregular", "neg", "stop", "n_syll", "n_char")
 
 
-def _in(key: Column, keys: list[str]) -> Column:
-    return key.isin(keys) if keys else F.lit(False)
-
-
 def _case(pairs) -> Column:
     expr = None
     for cond, val in pairs:
@@ -40,8 +37,19 @@ def _case(pairs) -> Column:
     return expr
 
 
-def _feat_case(key: Column, feat: str, values: tuple[str, ...]) -> Column:
-    return _case((_in(key, L.keys_where(lambda u, f, v=v: f.get(feat) == v)), F.lit(v)) for v in values)
+#: features of the closed-class lexicon and the values that tokens may show
+LEXICON_FEATS = {"Person": ("1", "2", "3"), "Number": ("Sing", "Plur"), "Gender": ("Masc", "Fem", "Neut"), "PronType": ("Prs", "Rel"),
+                 "Tense": ("Pres", "Past"), "Mood": ("Ind", "Imp"), "VerbForm": ("Inf", "Ger", "Part"), "Irregular": ("Yes",), "Polarity": ("Neg",)}
+
+
+def closed_class(spark: SparkSession) -> DataFrame:
+    """The fixed closed-class table: ``lx_key`` (``lang|form``), ``lx_upos`` and its features."""
+    names = ["key", "upos", *(k.lower() for k in LEXICON_FEATS)]
+    rows = [dict(zip(names, (f"{lang}|{form}", upos, *[feats.get(k) if feats.get(k) in v else None for k, v in LEXICON_FEATS.items()])))
+            for lang, form, upos, feats in L.closed_class_rows()]
+    schema = "array<struct<" + ", ".join(f"lx_{n}: string" for n in names) + ">>"
+    table = F.from_json(F.lit(json.dumps([{f"lx_{k}": v for k, v in r.items()} for r in rows])), schema)
+    return spark.range(1).select(F.inline(table))
 
 
 def _ends_any(form: Column, pattern: str) -> Column:
@@ -75,42 +83,38 @@ def sentences(documents: DataFrame, preprocess=None) -> DataFrame:
 
 
 def tag(words: DataFrame) -> DataFrame:
-    """Tag rows holding ``word`` (original case), ``lang`` and ``tok_id``."""
+    """Tag rows holding ``word`` (original case), ``lang`` and ``tok_id``.
+
+    The closed-class lexicon is a fixed table: one hash probe a token gives its class and all its features.
+    """
     w, lang = F.col("word"), F.col("lang")
     form = F.lower(w)
-    key = F.concat(lang, F.lit("|"), form)
-    closed = _in(key, L.keys_where(lambda u, f: True))
     cap = F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))
-    rule = (F.when(w.isNull(), F.lit(None).cast("int")).when(closed, F.lit(0))
-            .when(cap & (F.col("tok_id") > 0), F.lit(90)))
+    x = words.withColumn("form", form).withColumn("cap", cap).withColumn("key", F.concat(lang, F.lit("|"), form))
+    x = x.join(F.broadcast(closed_class(words.sparkSession)), F.col("key") == F.col("lx_key"), "left")
+    form, lx = F.col("form"), lambda name: F.col(f"lx_{name.lower()}")
+    rule = (F.when(form.isNull(), F.lit(None).cast("int")).when(lx("upos").isNotNull(), F.lit(0))
+            .when(F.col("cap") & (F.col("tok_id") > 0), F.lit(90)))
     for i, (pat, _, _) in enumerate(L.SUFFIX_RULES, start=1):
         rule = rule.when(_ends_any(form, pat), F.lit(i))
     rule = rule.when(F.length(form) >= L.NOUN_MIN_LETTERS, F.lit(98)).otherwise(F.lit(99))
-    x = words.withColumn("form", form).withColumn("key", key).withColumn("cap", cap).withColumn("rule", rule)
-
-    form, key, rule = F.col("form"), F.col("key"), F.col("rule")
-    upos = _case([(rule.isNull(), F.lit(None).cast("string")),
-                  (rule == 0, _case((_in(key, L.keys_where(lambda uu, f, u=u: uu == u)), F.lit(u))
-                                    for u in CLOSED_UPOS)),
-                  (rule == 90, F.lit("PROPN"))]
+    x = x.withColumn("rule", rule)
+    rule = F.col("rule")
+    upos = _case([(rule.isNull(), F.lit(None).cast("string")), (rule == 0, lx("upos")), (rule == 90, F.lit("PROPN"))]
                  + [(rule == i, F.lit(u)) for i, (_, u, _) in enumerate(L.SUFFIX_RULES, start=1)]
                  + [(rule == 98, F.lit("NOUN"))]).otherwise(F.lit("X"))
     x = x.withColumn("upos", upos)
     upos = F.col("upos")
 
-    def open_feat(feat: str) -> Column:
+    def feat(name: str) -> Column:
         pairs = [(rule == i, F.lit(v)) for i, (_, _, fs) in enumerate(L.SUFFIX_RULES, start=1)
-                 if (v := L._parse_feats(fs).get(feat))]
-        return _case(pairs) if pairs else F.lit(None).cast("string")
-
-    def feat(name: str, values: tuple[str, ...]) -> Column:
-        return F.when(rule == 0, _feat_case(key, name, values)).otherwise(open_feat(name))
+                 if (v := L._parse_feats(fs).get(name))]
+        return F.when(rule == 0, lx(name)).otherwise(_case(pairs) if pairs else F.lit(None).cast("string"))
 
     nominal = upos.isin("NOUN", "PROPN", "ADJ")
     plural = _ends_any(form, L.PLURAL_SUFFIX)
-    number = (F.when(rule == 0, _feat_case(key, "Number", ("Sing", "Plur")))
-              .when(nominal & plural, F.lit("Plur")).when(nominal, F.lit("Sing")))
-    gender = F.when(rule == 0, _feat_case(key, "Gender", ("Masc", "Fem", "Neut")))
+    number = F.when(rule == 0, lx("Number")).when(nominal & plural, F.lit("Plur")).when(nominal, F.lit("Sing"))
+    gender = F.when(rule == 0, lx("Gender"))
     for lg, pat in L.FEM_SUFFIX.items():
         gender = gender.when(nominal & (F.col("lang") == lg) & _ends_any(form, pat), F.lit("Fem"))
     for lg, pat in L.MASC_SUFFIX.items():
@@ -125,15 +129,15 @@ def tag(words: DataFrame) -> DataFrame:
         stem_expr(form).alias("stem"),
         upos.alias("upos"),
         F.col("cap"),
-        F.when(rule == 0, _feat_case(key, "Person", ("1", "2", "3"))).alias("person"),
+        lx("Person").alias("person"),
         number.alias("number"),
         gender.alias("gender"),
-        F.when(rule == 0, _feat_case(key, "PronType", ("Prs", "Rel"))).alias("prontype"),
-        feat("Tense", ("Pres", "Past")).alias("tense"),
-        feat("Mood", ("Ind", "Imp")).alias("mood"),
-        feat("VerbForm", ("Inf", "Ger", "Part")).alias("verbform"),
-        ((rule == 0) & _in(key, L.keys_where(lambda u, f: f.get("Irregular") == "Yes"))).alias("irregular"),
-        ((rule == 0) & _in(key, L.keys_where(lambda u, f: f.get("Polarity") == "Neg"))).alias("neg"),
+        lx("PronType").alias("prontype"),
+        feat("Tense").alias("tense"),
+        feat("Mood").alias("mood"),
+        feat("VerbForm").alias("verbform"),
+        lx("Irregular").isNotNull().alias("irregular"),
+        lx("Polarity").isNotNull().alias("neg"),
         (rule == 0).alias("stop"),
         syllables_of(form, F.col("lang")).alias("n_syll"),
         F.length(form).alias("n_char"),
