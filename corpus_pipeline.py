@@ -2,9 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet in the shared
 folder and read again as the next stage's ``docs``.  All stages but the last return the
-columns of ``documents``, with ``n_chars`` following the text.  Rows are told apart by
-doc_id; rows without one cannot be decided about and are left out by the stages that join
-decisions to rows.  Other columns of the input are dropped.
+columns of ``documents``, with ``n_chars`` following the text.  Toxicity and decontamination decide by
+doc_id; the near-duplicate stage also tells rows of one doc_id, or of none, apart by their text.
+Other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -36,9 +36,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least doc_id stays."""
-    stay = jaccard_join.jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each class of near-duplicates the document with the least doc_id stays.
+
+    Rows that share a doc_id, or have none, are told apart by their text: they get numbers after all others for this
+    stage, so that only true copies of them go.
+    """
+    odd = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_odd")))
+    rows = docs.select(*COLUMNS, F.col("doc_id").alias("_row"))
+    if odd.head(1):
+        told = docs.join(odd, docs["doc_id"].eqNullSafe(odd["_odd"]), "left_semi").groupBy("doc_id", F.sha2(Q.text_of(), 256).alias("_text"))
+        top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0] + 1
+        numbers = stored(told.agg(F.count(F.lit(1)).alias("_n")).select(
+            F.col("doc_id").alias("_odd"), "_text", (F.monotonically_increasing_id() + F.lit(top)).alias("_number")))
+        same = rows["doc_id"].eqNullSafe(numbers["_odd"]) & (F.sha2(Q.text_of(), 256) == numbers["_text"])
+        rows = rows.join(numbers, same, "left").withColumn("_row", F.coalesce("_number", "_row")).select(*COLUMNS, "_row").dropDuplicates(["_row"])
+    found = jaccard_join.jaccard_join(rows, id_col="_row")
+    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(stay, "_row", "left_semi").select(*COLUMNS)
 
 
 def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

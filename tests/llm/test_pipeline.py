@@ -63,3 +63,15 @@ def test_stages(spark):
         ids = b"".join(x.to_bytes(4, "little") for x in ORACLE.encode_ordinary(old[i].text))
         assert (r.n_tokens, r.ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(old[i].text.encode()).hexdigest()
+
+
+def test_rows_of_one_id_or_none_are_told_apart(spark):
+    """Only true copies go, whatever the order of rows; nothing is dropped for its doc_id."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, "another text of the same id, long enough to have shingles"), (1, " ".join(words)), (None, "x y z a b c d e"),
+            (None, "x y z a b c d e"), (None, "p q r s t u v"), (2, " ".join(["other", *words])), (3, "only once here as it seems to be"), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 4):
+        got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, docs.repartition(parts), SF).collect()]
+        want = {(2, rows[6][1]), rows[1], rows[3], rows[5], rows[7], rows[8], rows[9]}
+        assert set(got) == want and len(got) == len(want)
