@@ -46,13 +46,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end byte of each word; words end at ASCII white space and at the end of a text."""
     n = len(data)
@@ -70,11 +63,21 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 #: words of up to so many bytes are hashed eight bytes at a time, all at once; longer ones by BLAKE2, one by one
 SHORT = 64
+#: words hashed at a time
+BLOCK = 1 << 16
 _BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of each word's bytes and length: a chain of SplitMix64 steps over eight bytes each."""
+    out = np.empty(len(starts), U)
+    for lo in range(0, len(starts), BLOCK):  # small temporaries, whatever the batch
+        s, e = starts[lo:lo + BLOCK], ends[lo:lo + BLOCK]
+        out[lo:lo + BLOCK] = _word_hashes(data[s[0]:e[-1]], s - s[0], e - s[0], seed)
+    return out
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     size = ends - starts
     out = mix(size.astype(U) * U(BASE) ^ U(seed))
     lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))  # eight bytes from any place
