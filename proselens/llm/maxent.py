@@ -45,7 +45,7 @@ ROUNDS, RATE, MINIBATCH = 4, 0.15, 8192
 STEPS_A_UNIT = 64
 #: training tokens of a unit, tokens whose features are made at a time
 UNIT, CHUNK = 3_000_000, 65_536
-SLICE = 16_384
+SLICE, PIECE = 16_384, 32_768
 END = np.uint64(0x5851F42D4C957F2D)
 F32 = np.float32
 PARAMS = (CLASSES << CLASS_BITS[0]) + (1 << WORD_BITS[0])
@@ -194,7 +194,8 @@ class MaxEnt:
         return softmax(added(self.klass, rows, self.klass[rows[0, -1]] + self.prior))
 
     def halvings(self, ids: np.ndarray, f: np.ndarray):
-        """For each depth: tokens that are not alone yet, slots of their features, whether right, log odds at the start.
+        """For each depth: tokens that are not alone yet, their words, slots of their two context features; and
+        for each of these words the slot of its bias, whether it is right, and the log odds at the start.
 
         Where a word lies at each depth is worked out once for each distinct word of ``ids``.
         """
@@ -221,8 +222,8 @@ class MaxEnt:
             mid = (lo + hi) >> 1
             right = words >= mid
             node = K.mix((lo.view(np.uint64) << np.uint64(20)) ^ hi.view(np.uint64))
-            own, bias, odds = np.take(node, w), slot(END ^ node), np.log((hi - mid) / (mid - lo)).astype(F32)
-            yield at, (np.take(bias, w), slot(previous ^ own), slot(before ^ own)), np.take(right, w), np.take(odds, w)
+            own = np.take(node, w)
+            yield at, w, slot(previous ^ own), slot(before ^ own), slot(END ^ node), right, np.log((hi - mid) / (mid - lo)).astype(F32)
             lo, hi = np.where(right, mid, lo), np.where(right, hi, mid)
 
     def log10(self, ids: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -234,12 +235,12 @@ class MaxEnt:
             k = np.searchsorted(self.start + self.sizes, ids[a:b], "right")
             p = self.of_class(self.class_rows(f[a:b]))[k, np.arange(len(k))]
             out[a:b] = np.log(np.maximum(p, 1e-30))
-        for at, (s, t, u), right, odds in self.halvings(ids, f):
-            x = np.take(self.word, s)
-            x += np.take(self.word, t)
-            x += np.take(self.word, u)
-            x += odds
-            np.negative(x, out=x, where=right)
+        for at, w, previous, before, bias, right, odds in self.halvings(ids, f):
+            odds += np.take(self.word, bias)
+            x = np.take(odds, w)
+            x += np.take(self.word, previous)
+            x += np.take(self.word, before)
+            np.negative(x, out=x, where=np.take(right, w))
             out[at] -= np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))
         return out / np.log(10)
 
@@ -261,23 +262,28 @@ class MaxEnt:
         grad /= now
         self.klass[at] = np.take(self.klass, at, axis=0) - grad
         share = F32(1 / len(ids))
-        for _, slots, right, odds in self.halvings(ids, f):
-            for s in slots:
-                odds += np.take(self.word, s)
-            d = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-            d -= right
+        for _, w, previous, before, bias, right, odds in self.halvings(ids, f):
+            odds += np.take(self.word, bias)
+            x = np.take(odds, w)
+            x += np.take(self.word, previous)
+            x += np.take(self.word, before)
+            d = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            d -= np.take(right, w)
             d *= share
-            for s in slots:
-                np.add.at(work, s, d)
-        past = seen[self.klass.size:]
-        change = work * work
-        past += change
-        np.sqrt(past, out=change)
-        change += F32(1e-6)
-        np.divide(work, change, out=change)
-        change *= F32(rate)
-        self.word -= change
-        work.fill(0)
+            np.add.at(work, previous, d)
+            np.add.at(work, before, d)
+            np.add.at(work, bias, np.bincount(w, d, len(bias)).astype(F32))
+        past, rate = seen[self.klass.size:], F32(rate)
+        for lo in range(0, len(work), PIECE):  # all steps on a piece while it is in the cache
+            grad, old, word = work[lo:lo + PIECE], past[lo:lo + PIECE], self.word[lo:lo + PIECE]
+            change = grad * grad
+            old += change
+            np.sqrt(old, out=change)
+            change += F32(1e-6)
+            np.divide(grad, change, out=change)
+            change *= rate
+            word -= change
+            grad.fill(0)
 
 
 def chunks(n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
