@@ -82,3 +82,29 @@ def test_conllu_to_metrics(spark, tmp_path):
     assert syntax[7].mean_depth_per_sentence == 2.0 and syntax[7].mean_propositions_per_sentence == 1.0
     words = {r.doc_id: r for r in M.c_descriptive(docs, tok=t).collect()}
     assert (words[7].DESWC, words[7].DESSC, words[7].DESPC) == (5.0, 2.0, 1.0)
+
+
+def _small_inputs(spark, tmp_path):
+    docs = [(1, "The cat sees a house. The cat runs!", "en", "web", 35), (2, "", "de", "web", 0), (3, "Der Hund und die Katze.", "de", "book", 23)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, [1.0, 2.0], 5), (2, [3.0], 5)], "vec_id long, embedding array<float>, label int") \
+        .write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path)
+
+
+def test_sinks_and_map_queries_return_their_whole_work(spark, tmp_path):
+    from proselens.functions import groups as G
+    from proselens.plans import matrix_queries as MQ
+    sf = _small_inputs(spark, tmp_path)
+    full = {r["doc_id"]: r.asDict() for r in MQ.full(spark, sf).collect()}
+    sunk = {r["doc_id"]: r.asDict() for r in MQ.q_sink_metric_matrix(spark, sf).collect()}
+    assert {k: {m: v for m, v in r.items() if m != "n_fields"} for k, r in sunk.items()} == full
+    assert {r["n_fields"] for r in sunk.values()} == {147}
+    assert {tuple(r) for r in MQ.q_distinct_groups(spark, sf).collect()} == {(f, g) for f, _, _, g in G.group_rows()}
+    vectors = sorted(tuple(r) for r in MQ.q_sink_embeddings(spark, sf).collect())
+    assert vectors == [(1, [1.0, 2.0], 5, 2), (2, [3.0], 5, 1)]
+    wide = {r["doc_id"]: r.asDict() for r in MQ.q_map_to_wide(spark, sf).collect()}
+    zero = {r["doc_id"]: r.asDict() for r in MQ.q_null_to_zero(spark, sf).collect()}
+    for r in MQ.q_scan_metric_payload(spark, sf).collect():
+        assert wide[r["doc_id"]] == r.asDict() | {"none": None} and zero[r["doc_id"]] == r.asDict() | {"none": 0.0}
+    assert len(wide) == len(zero) == 3
