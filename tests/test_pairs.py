@@ -84,3 +84,31 @@ def test_pair_stats_equal_brute_force(spark):
         if r:
             assert abs((r["cw_s"] or 0) - s) < 1e-9 and abs((r["cw_q"] or 0) - q) < 1e-9
             assert abs((r["cwa_s"] or 0) - sa) < 1e-9 and abs((r["cwa_q"] or 0) - qa) < 1e-9
+
+
+def test_pair_batches_cut_and_blocked(spark, monkeypatch):
+    """Small batches and blocks: documents are completed over batches, blocks hold few counters."""
+    monkeypatch.setattr(PR, "BLOCK", 7)
+    monkeypatch.setattr(PR, "WORDS", 20)
+    rows = make_tokens(seed=11, n_docs=5)
+    tok = spark.createDataFrame(rows, "doc_id long, sent_id int, tok_id int, form string, lemma string, stem string, upos string, "
+                                      "prontype string, number string, gender string, person string")
+    import pyarrow as pa
+    t = pa.Table.from_pandas(PR._words(tok).toPandas().sort_values(["doc_id", "sent_id"]), preserve_index=False)
+    exp = {doc: v for doc, v in brute(rows).items() if doc in {r[0] for r in rows}}
+    for adjacent in (False, True):
+        got = {r["doc_id"]: r for b in PR._pair_batches(adjacent)(iter(t.to_batches(max_chunksize=9))) for r in b.to_pylist()}
+        assert set(got) == set(exp)
+        for doc, (acc, s, q, sa, qa) in exp.items():
+            r = got[doc]
+            assert all(r[f"{k}_adj"] == acc[k][1] for k in acc) and abs(r["cwa_s"] - sa) < 1e-9 and abs(r["cwa_q"] - qa) < 1e-9
+            if not adjacent:
+                assert all(r[f"{k}_all"] == acc[k][0] for k in acc) and abs(r["cw_s"] - s) < 1e-9 and abs(r["cw_q"] - q) < 1e-9
+
+
+def test_cohesion_plan_has_no_row_per_item(spark):
+    """The items are neither exploded nor joined: the words are exchanged once."""
+    docs = spark.createDataFrame([(1, "en", "A cat sees a house. The cat runs.")], "doc_id long, lang string, text string")
+    from proselens.operators import annotate as A
+    plan = PR.pair_stats(A.tokens(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
