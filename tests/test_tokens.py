@@ -67,3 +67,23 @@ def test_permutation_invariance(spark):
     a = M.m_descriptive(docs_df(spark, rows)).orderBy("doc_id").collect()
     b = M.m_descriptive(docs_df(spark, list(reversed(rows))).repartition(3)).orderBy("doc_id").collect()
     assert a == b
+
+
+def test_tag_rule_is_not_copied_by_filters(spark):
+    from proselens.operators import annotate as A
+    docs = spark.createDataFrame([(1, "en", "A cat runs.")], "doc_id long, lang string, text string")
+    t = A.tokens(docs).where(A.is_content(F.col("upos")) & F.col("number").isNotNull()).select("doc_id", "upos", "number", "lemma")
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("iendo") == 1, plan
+
+
+def test_matrix_job_caches_no_token_rows(spark, monkeypatch, tmp_path):
+    from proselens.plans import jobs
+    spark.createDataFrame([(1, "A cat runs. It sees a house.", "en")], "doc_id long, text string, lang string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def refused(*_):
+        raise AssertionError("token rows cached")
+    monkeypatch.setattr(type(spark.range(1)), "persist", refused)
+    assert jobs.compute_and_save_metrics(spark, str(tmp_path)).count() == 1
