@@ -159,3 +159,25 @@ def test_network_learns_and_stops_early(spark):
     assert network.best_epoch == int(np.argmin(values)) and len(values) <= min(60, network.best_epoch + 6)
     fixed, _ = ML.train_mlp(t, "x", epochs=4, patience=None)
     assert len(fixed.history) == 4 and fixed.best_epoch == 3
+
+
+def test_line_search_losses_and_slopes_are_those_of_every_trial_vector():
+    """Losses at all step lengths from two products, and Hessians of the rows that have a loss, against the formulas."""
+    rng = np.random.default_rng(5)
+    z = np.c_[rng.uniform(size=(200, 4)), np.ones(200)]
+    y, f = np.where(rng.uniform(size=200) > 0.4, 1.0, -1.0), np.arange(200) % 5
+    hinge, w, step = np.array([True, False, True]), rng.normal(size=(3, 5)), rng.normal(size=(3, 5))
+    found = LN._objectives(z, y, f, 2, (hinge, w, step))
+    slope, second = LN._derivatives(z, y, f, 2, (hinge, w))
+    a, b = z[f != 2], y[f != 2]
+    for m in range(3):
+        for k, length in enumerate([0.0, *LN.STEPS]):
+            margin = b * (a @ (w[m] + length * step[m]))
+            loss = np.maximum(0, 1 - margin) ** 2 if hinge[m] else np.log1p(np.exp(-margin))
+            assert np.isclose(found[m, k], loss.sum(), rtol=1e-12)
+        margin = b * (a @ w[m])
+        sig = 1 / (1 + np.exp(margin))
+        one = -2 * np.maximum(0, 1 - margin) if hinge[m] else -sig
+        curve = 2.0 * (margin < 1) if hinge[m] else sig * (1 - sig)
+        assert np.allclose(slope[m], (one * b) @ a, rtol=1e-12)
+        assert np.allclose(second[m], a.T @ (a * curve[:, None]), rtol=1e-12)
