@@ -108,3 +108,15 @@ def test_sinks_and_map_queries_return_their_whole_work(spark, tmp_path):
     for r in MQ.q_scan_metric_payload(spark, sf).collect():
         assert wide[r["doc_id"]] == r.asDict() | {"none": None} and zero[r["doc_id"]] == r.asDict() | {"none": 0.0}
     assert len(wide) == len(zero) == 3
+
+
+def test_full_matrix_takes_mtld_in_batches_with_the_values_of_its_query(spark):
+    from conftest import docs_df
+    from proselens.operators import metrics as M
+    from proselens.plans import jobs
+    d = docs_df(spark, [(1, "en", "The cat saw the cat. The dog saw the cat again and the dog. " * 4), (2, "en", "One two three."), (3, "es", None), (4, "fr", "")])
+    wide = jobs.full_matrix(d)
+    assert "ArrowEvalPython" in wide._jdf.queryExecution().executedPlan().toString()
+    want = {r["doc_id"]: r["mtld"] for r in M.m_lexical_diversity(d).select("doc_id", "mtld").collect()}
+    assert want[1] > 0
+    assert {r["doc_id"]: r["mtld"] for r in wide.select("doc_id", "mtld").collect()} == want
